@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 _made: dict[str, list[str]] = {}
 
 
@@ -62,6 +65,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stable_rows(df: DataFrame) -> DataFrame:
+    """``df``, or a written copy unless its rows come straight from files.
+
+    Only then does every pass over it see the same partitions, in the same order.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return df if plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation") else materialise(df, "rows")
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """Where a task reads and writes ``path`` itself."""
     if "://" not in path and not path.startswith("file:"):
@@ -72,7 +86,14 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def small_batches(spark: SparkSession, records: int = 512) -> None:
-    """Bound the rows of an Arrow batch: documents may be very long, blocks are megabytes."""
+    """Bound the rows of an Arrow batch: documents may be very long, blocks are megabytes.
+
+    Also lets Python workers import this package where they see the driver's folders; a
+    cluster that doesn't share them gets it by --py-files.
+    """
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, (env.get("PYTHONPATH"), ROOT)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
 
 

@@ -11,8 +11,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Query name: module of this subpackage that has the function of that name.
 QUERIES = {
+    "op1_seekable_bundles": "contracts",
+    "op2_feistel_training_order": "contracts",
+    "op3_ngram_jaccard_join": "contracts",
     "op4_sampled_splitters": "contracts",
+    "op5_suffix_tree_scoring": "contracts",
+    "op6_time_varying_curriculum": "contracts",
+    "op7_benchmark_decontamination": "contracts",
     "op8_ngram_likelihood_ratio": "contracts",
+    "op9_weak_supervision_pii": "contracts",
+    "op10_pattern_grammar_toxicity": "contracts",
 }
 
 ORACLES: dict[str, str] = {}
