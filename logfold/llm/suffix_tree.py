@@ -31,7 +31,7 @@ from logfold.llm.common import batches, materialise, small_batches
 DEPTH = 5
 END = b"\n"
 #: States need this many occurrences, and this gain in nats over their shorter state.
-LEAST_COUNT, LEAST_GAIN = 8, 4.0
+LEAST_COUNT, LEAST_GAIN = 3, 2.0
 
 BUNDLE = pa.schema([("bundle", pa.int64()), ("payload", pa.binary())])
 BLOCK = pa.schema([("owner", pa.int32()), ("bundle", pa.int64()), ("kind", pa.string()), ("payload", pa.binary())])
