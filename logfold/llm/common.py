@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -65,6 +66,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner acts when the driver's garbage is collected, which may take hours.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stable_rows(df: DataFrame) -> DataFrame:
     """``df``, or a written copy unless its rows come straight from files.
 

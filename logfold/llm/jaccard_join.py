@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import materialise, small_batches, stable_rows
+from logfold.llm.common import materialise, settle, small_batches, stable_rows
 
 SHINGLE = 4
 PERCENT = 85
@@ -32,7 +32,7 @@ FREQUENT = 32
 SALTS = 64
 BYTES = 6
 
-SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary()), ("low", pa.binary())])
+SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -70,14 +70,13 @@ def _loaded(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sets(size: int, percent: int):
+def _sets(size: int):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             rows = []
             for uid, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 s = shingles(text, size)
-                low = s[: prefix_length(len(s), LEVELS + 4, percent)]
-                rows.append((uid, doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), _stored(s), (low >> np.uint64(1)).tobytes()))
+                rows.append((uid, doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), _stored(s)))
             if not rows:
                 continue
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SETS, strict=True)], schema=SETS)
@@ -85,28 +84,75 @@ def _sets(size: int, percent: int):
     return run
 
 
-def _tokens(whole: bool):
-    """Rows of token, uid, i (its place in the set by hash), n and m (how many tokens the text gives here)."""
+def _tokens(percent: int | None, wanted=None):
+    """Rows of token, uid, i (its place in the set by hash), n and m (how many tokens of the text are looked at).
+
+    Those are the longest prefix by hash and some more, in case a few are frequent; all
+    tokens without ``percent``. A bitmap ``wanted`` leaves out tokens it doesn't have.
+    """
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            uids, ns = b.column(0).to_numpy(), b.column(1).to_numpy()
-            sets = [_loaded(v).astype(np.int64) << 15 if whole else np.frombuffer(v, np.int64) for v in b.column(2).to_pylist()]
-            sizes = np.array([len(s) for s in sets], np.int64)
+            uids, ns = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int32)
+            m = [int(n) if percent is None else prefix_length(int(n), LEVELS + 4, percent) for n in ns]
+            sets = [_loaded(v[: k * BYTES]) for v, k in zip(b.column(2).to_pylist(), m, strict=True)]
+            sizes = np.array(m, np.int64)
             if not sizes.sum():
                 continue
-            place = np.concatenate([np.arange(k) for k in sizes])
-            token = np.concatenate(sets) >> 15 << 15
+            token = np.concatenate(sets).astype(np.int64)
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in m])
+            text = np.repeat(np.arange(len(m)), sizes)
+            if wanted is not None:
+                have = wanted.value.has(token)
+                token, place, text = token[have], place[have], text[have]
             for at in range(0, len(token), 200_000):
                 part = slice(at, at + 200_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[part]), pa.array(np.repeat(uids, sizes)[part]), pa.array(place[part].astype(np.int32)), pa.array(np.repeat(ns, sizes)[part].astype(np.int32)), pa.array(np.repeat(sizes, sizes)[part].astype(np.int32))],
-                    names=["token", "uid", "i", "n", "m"],
-                )
+                t = text[part]
+                yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(uids[t]), pa.array(place[part]), pa.array(ns[t]), pa.array(sizes[t].astype(np.int32))], names=["token", "uid", "i", "n", "m"])
 
     return run
 
 
+class Bitmap:
+    """Hashed keys, 16 bits for each: false positives only, about one in sixteen."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = _slots(keys, len(self.words) * 64)
+        return (self.words[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ (h >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bitmap(keys: DataFrame, most_bits: int = 26):
+    """A broadcast bitmap of a written column of integers; None where 2 ** ``most_bits`` bits are too few."""
+    n, name = keys.count(), keys.columns[0]
+    bits = 1 << max(10, (16 * n - 1).bit_length())
+    if bits > 1 << most_bits:
+        return None
+
+    def slots(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(bits // 64, np.int64)
+        for b in parts:
+            at = _slots(b.column(0).to_numpy(), bits)
+            np.bitwise_or.at(words, at >> 6, np.int64(1) << (at & 63))
+        found = np.flatnonzero(words)
+        for at in range(0, len(found), 100_000):
+            part = found[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(words[part])], names=["w", "b"])
+
+    words = np.zeros(bits // 64, np.int64)
+    for r in keys.select(F.col(name).cast("long")).mapInArrow(slots, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        words[r["w"]] = r["b"]
+    return keys.sparkSession.sparkContext.broadcast(Bitmap(words))
+
+
 TOKENS = "token long, uid long, i int, n int, m int"
 
 
@@ -121,50 +167,40 @@ def _by_salt(left: DataFrame, right: DataFrame, key: str, by: Column, how: str =
     return salted.join(spread, [key, "__s"], how).drop("__s")
 
 
-def _pick(sets: DataFrame, uids: DataFrame, most_bits: int = 26) -> DataFrame:
-    """The rows of ``sets`` (uid, ...) for ``uids``, written.
-
-    A bitmap of the wanted hashes, of at most 2 ** ``most_bits`` bits, thins the sets out
-    before the join; where it would be too full it is left out.
-    """
+def _pick(sets: DataFrame, uids: DataFrame) -> DataFrame:
+    """The rows of ``sets`` (uid, ...) for ``uids``, written; a bitmap thins the sets out before the join."""
     uids = materialise(uids.select("uid").distinct(), "join-uids")
-    bits = min(1 << most_bits, 1 << (16 * max(64, uids.count()) - 1).bit_length())
-    if uids.count() <= bits // 4:
-        slot = F.pmod(F.xxhash64("uid"), F.lit(bits))
-        words = uids.select((slot / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-        table = np.zeros(bits // 64, np.int64)
-        for r in words.collect():
-            table[r["w"]] = r["b"]
-        shared = sets.sparkSession.sparkContext.broadcast(table)
+    wanted = _bitmap(uids)
+    if wanted is not None:
 
         def thin(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts:
-                at = b.column(b.num_columns - 1).to_numpy()
-                yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)).select(list(range(b.num_columns - 1)))
+                yield b.filter(pa.array(wanted.value.has(b.column(0).to_numpy())))
 
-        sets = sets.withColumn("__slot", slot).mapInArrow(thin, sets.schema)
+        sets = sets.mapInArrow(thin, sets.schema)
     return materialise(sets.join(uids, "uid", "left_semi"), "join-sets")
 
 
-def _candidate_prefixes(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _candidate_prefixes(sets: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     """token, uid, rank, n: the longest prefixes (all levels) of texts, less tokens in one text only."""
-    low = sets.select("uid", "n", "low").where("n > 0").join(reps, "uid", "left_semi")
-    tokens = low.mapInArrow(_tokens(False), TOKENS)
-    counts = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "join-counts")
-    shared = materialise(tokens.join(counts, "token"), "join-shared")
-    texts = shared.groupBy("uid").agg(
+    texts = sets.where("n > 0").join(copies, "uid", "left_anti").select("uid", "n", "shingles")
+    counts = materialise(texts.mapInArrow(_tokens(percent), TOKENS).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "join-counts")
+    settle(sets.sparkSession)
+    tokens = texts.mapInArrow(_tokens(percent, _bitmap(counts.select("token"))), TOKENS)
+    shared = tokens.join(counts, "token")
+    grouped = shared.groupBy("uid").agg(
         F.first("n").alias("n"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("i", "token", (F.col("df") > FREQUENT).alias("hot")))).alias("t")
     )
     reach = F.least(F.col("n"), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + LEVELS)
     n_hot = F.size(F.filter("t", lambda x: x["hot"]))
-    marked = materialise(texts.withColumn("reach", reach).withColumn("short", (F.col("m") < F.col("n")) & (F.col("m") - n_hot < F.col("reach"))), "join-texts")
+    marked = materialise(grouped.withColumn("reach", reach).withColumn("short", (F.col("m") < F.col("n")) & (F.col("m") - n_hot < F.col("reach"))), "join-texts")
+    settle(sets.sparkSession)
     # Enough rare tokens: the prefix is the rare tokens by hash. The ranks count rare tokens only.
     plain = marked.where("NOT short").mapInArrow(_ranked, "token long, uid long, rank int, n int")
     # Else the order needs the whole set, and which of its tokens are frequent.
-    wanted = marked.where("short").select("uid")
-    whole = _pick(sets.select("uid", "n", "shingles"), wanted)
-    hot = counts.where(F.col("df") > FREQUENT).select("token")
-    flagged = whole.mapInArrow(_tokens(True), TOKENS).join(hot, "token", "left_semi").groupBy("uid").agg(F.collect_set("token").alias("hot"))
+    whole = _pick(sets.select("uid", "n", "shingles"), marked.where("short").select("uid"))
+    hot = materialise(counts.where(F.col("df") > FREQUENT).select("token"), "join-hot")
+    flagged = whole.mapInArrow(_tokens(None, _bitmap(hot)), TOKENS).join(hot, "token", "left_semi").groupBy("uid").agg(F.collect_set("token").alias("hot"))
     full = whole.join(flagged, "uid", "left").select("uid", "n", "shingles", "hot").mapInArrow(_full_prefix(percent), "token long, uid long, rank int, n int")
     prefixes = materialise(plain.unionByName(full), "join-prefixes")
     again = prefixes.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -197,7 +233,7 @@ def _full_prefix(percent: int):
         for b in parts:
             rows = []
             for uid, n, raw, hot in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                token = _loaded(raw).astype(np.int64) << 15
+                token = _loaded(raw).astype(np.int64)
                 late = np.isin(token, np.array(hot or [], np.int64))
                 order = np.concatenate((token[~late], token[late]))[: prefix_length(n, LEVELS, percent)]
                 rows += [(int(t), uid, k, n) for k, t in enumerate(order)]
@@ -322,13 +358,16 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
-    sets = materialise(docs.select((F.monotonically_increasing_id() if row is None else row).alias("uid"), "doc_id", "text").mapInArrow(_sets(size, percent), "uid long, doc_id long, n long, sig binary, shingles binary, low binary"), "join-all")
+    sets = materialise(docs.select((F.monotonically_increasing_id() if row is None else row).alias("uid"), "doc_id", "text").mapInArrow(_sets(size), "uid long, doc_id long, n long, sig binary, shingles binary"), "join-all")
     members = sets.select("uid", "doc_id", "n", "sig")
     part = members.where("n > 0").groupBy("sig", F.pmod("uid", F.lit(SALTS)).alias("s")).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low_id"))
-    classes = materialise(part.groupBy("sig").agg(F.min("uid").alias("rep"), F.min("low_id").alias("low_id")), "join-classes")
-    posted = _candidate_prefixes(sets, classes.select(F.col("rep").alias("uid")), percent)
+    classes = materialise(part.groupBy("sig").agg(F.min("uid").alias("rep"), F.min("low_id").alias("low_id"), F.collect_list("s").alias("salts")), "join-classes")
+    keys = classes.select("sig", "rep", F.explode("salts").alias("s"))
+    copies = materialise(members.withColumn("s", F.pmod("uid", F.lit(SALTS))).join(keys, ["sig", "s"]).where("uid <> rep").select("uid"), "join-copies")
+    posted = _candidate_prefixes(sets, copies, percent)
     texts = posted.groupBy("uid").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "rank", "df")).alias("t"))
     posted = materialise(texts.mapInArrow(_levels(percent), "token long, uid long, rank int, n int, level int"), "join-postings")
+    settle(spark)
     label = links = None
     for turn in range(leader_rounds + 1):
         now = _open(posted, label)
@@ -338,6 +377,7 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         more = _verified(pairs, sets, percent)
         links = more if links is None else links.unionByName(more)
         label = components(links)
+        settle(spark)
     ids = classes.select("sig", F.col("rep").alias("uid"), "low_id")
     ids = ids.withColumn("comp", F.col("uid")) if label is None else ids.join(label, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
     least = ids.groupBy("comp").agg(F.min("low_id").alias("component"))
