@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -59,6 +60,18 @@ def release(spark: SparkSession) -> None:
         remove(spark, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Work folders made inside are deleted at the end, but for the last one."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    start = len(made)
+    yield
+    for path in made[start:-1]:
+        remove(spark, path)
+    made[start:] = made[-1:] if len(made) > start else []
+    settle(spark)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends there."""
     path = new_dir(df.sparkSession, name)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import materialise, settle, small_batches, stable_rows
+from logfold.llm.common import materialise, scratch, settle, small_batches, stable_rows
 
 SHINGLE = 4
 PERCENT = 85
@@ -356,9 +356,14 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     component is null if no row of it has one; repeated rows are one class; an empty
     table gives no rows; extra columns are dropped. Sets are compared by 48-bit hashes.
     """
+    with scratch(docs.sparkSession):
+        return materialise(_linked(docs, size, percent, leader_rounds, F.monotonically_increasing_id() if row is None else row), "join-rows")
+
+
+def _linked(docs: DataFrame, size: int, percent: int, leader_rounds: int, row: Column) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark, 256)
-    sets = materialise(docs.select((F.monotonically_increasing_id() if row is None else row).alias("uid"), "doc_id", "text").mapInArrow(_sets(size), "uid long, doc_id long, n long, sig binary, shingles binary"), "join-all")
+    sets = materialise(docs.select(row.alias("uid"), "doc_id", "text").mapInArrow(_sets(size), "uid long, doc_id long, n long, sig binary, shingles binary"), "join-all")
     members = sets.select("uid", "doc_id", "n", "sig")
     part = members.where("n > 0").groupBy("sig", F.pmod("uid", F.lit(SALTS)).alias("s")).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low_id"))
     classes = materialise(part.groupBy("sig").agg(F.min("uid").alias("rep"), F.min("low_id").alias("low_id"), F.collect_list("s").alias("salts")), "join-classes")
