@@ -38,13 +38,15 @@ class Replication:
 def publish(r: Replication, changes: DataFrame) -> None:
     """Append a batch of changes (gid, type, key, values) to the sharded log, behind what it holds.
 
-    With publish off the batch is dropped, and is not sent later. The log is read for
-    each shard's last position, so running a batch again would append it again: publish
-    from a stream with a checkpoint, or filter by gid.
+    With publish off the batch is dropped, and is not sent later. Changes up to the log's
+    last gid are in it already and are left out, so a batch may be run again.
     """
     if not r.publish:
         return
     spark = changes.sparkSession
+    sent = last_gid(spark, r.log)
+    if sent is not None:
+        changes = changes.where(F.col("gid") > sent)
     placed = logs.sequenced(r.with_shard(changes)).withColumn("node_id", F.lit(r.node_id).cast(T.DecimalType(20, 0)))
     last = last_positions(spark, r.log)
     if last:
@@ -60,6 +62,17 @@ def last_positions(spark: SparkSession, log: str) -> dict[int, int]:
     return {int(x["shard"]): x["last_seq"] for x in logs.bounds(spark.read.parquet(log)).collect()}
 
 
+def last_gid(spark: SparkSession, log: str) -> int | None:
+    return spark.read.parquet(log).agg(F.max("gid")).first()[0] if last_positions(spark, log) else None
+
+
+def start_publisher(spark: SparkSession, r: Replication, source: str, schema: T.StructType, once: bool = True) -> StreamingQuery:
+    """Publish the change files that arrive in the folder ``source``: at first what is there, then (unless ``once``) as they come."""
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", r.files_per_trigger).parquet(source)
+    write = arriving.writeStream.foreachBatch(lambda batch, _: publish(r, batch)).option("checkpointLocation", f"{r.checkpoints}-publisher")
+    return (write.trigger(availableNow=True) if once else write.trigger(processingTime="1 second")).start()
+
+
 def apply_batch(r: Replication, batch: DataFrame) -> Manifest:
     """Apply a batch of log messages to the state: exactly-once in effect.
 

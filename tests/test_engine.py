@@ -168,3 +168,39 @@ def test_entry_imports_without_the_training_data_subpackage(spark, tmp_path):
         "q = e.queries(); assert len(q) == 33 and set(e.oracle_sql()) == set(q)\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_publisher_stream_is_idempotent(spark, replication, tmp_path):
+    r = replication
+    changes = spark.createDataFrame([(i, "insert", i % 9, f"v{i}") for i in range(30)], ROWS)
+    changes.coalesce(1).write.mode("append").parquet(f"{tmp_path}/captured")
+    rep.start_publisher(spark, r, f"{tmp_path}/captured", changes.schema).awaitTermination()
+    rep.publish(r, changes)  # run again: nothing is appended
+    changes.withColumn("gid", changes["gid"] + 30).coalesce(1).write.mode("append").parquet(f"{tmp_path}/captured")
+    rep.start_publisher(spark, r, f"{tmp_path}/captured", changes.schema).awaitTermination()
+    log = spark.read.parquet(r.log)
+    assert log.count() == 60 and sum(rep.last_positions(spark, r.log).values()) == 60
+
+
+def test_schedule():
+    from logfold.streaming.schedule import CLEANUP, SLEEP, SNAPSHOT, Schedule
+
+    s = Schedule(Config(cleanup_interval_ms=10, snapshot_interval_ms=100, sleep_timeout_ms=500, shards=8), 0)
+    assert s.due(5) == [] and s.due(10) == [CLEANUP] and s.due(15) == [] and s.due(100) == [CLEANUP, SNAPSHOT]
+    assert s.after_message(1, 127, 120) == [] and s.after_message(1, 128, 150) == [SNAPSHOT] and s.after_message(2, 128, 150) == []
+    s.saw_change(160)
+    assert s.due(240) == [CLEANUP] and s.due(700) == [CLEANUP, SNAPSHOT, SLEEP]
+    assert Schedule(Config(cleanup_interval_ms=0, snapshots=False, sleep_timeout_ms=5), 0).due(9) == [SLEEP]
+
+
+def test_metrics(spark):
+    from logfold.telemetry import Metrics, observed
+
+    df, seen = observed(spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "gid long, state int"))
+    df.collect()
+    assert seen.get == {"published": 2, "pending_publish": 1, "total": 3}
+    m = Metrics()
+    m.add("published", 2)
+    m.add("published")
+    m.took("scan", 5)
+    assert m.values == {"published": 3} and m.durations == {"scan": {3: 1}}
