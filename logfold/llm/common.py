@@ -99,6 +99,12 @@ def stable_rows(df: DataFrame) -> DataFrame:
     return df if plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation") else materialise(df, "rows")
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for name in (f"__{stem}{'_' * i}" for i in range(len(taken) + 1)) if name.lower() not in taken)
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """Where a task reads and writes ``path`` itself."""
     if "://" not in path and not path.startswith("file:"):
@@ -144,6 +150,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def held(value: Column) -> Column:
+    """``value``, kept where it is computed: no filter from above is pushed through it.
+
+    A pushed filter would repeat the expression, inside the lambdas of its own inputs.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def literal_array(values: Iterable[float], kind: str = "double") -> Column:
     """A constant array as one folded literal, however long."""
     said = ",".join(f"{v:.7g}" if kind != "bigint" else str(int(v)) for v in values)

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import batches, materialise, small_batches
+from logfold.llm.common import batches, fresh, materialise, small_batches
 
 WINDOW = 13
 #: Lower-cases A-Z; every other ASCII byte that is no letter or digit becomes a space.
@@ -227,10 +227,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", share:
 
 
 def _remove_in_blocks(docs: DataFrame, benchmark: DataFrame, share: int, window: int, limit: int) -> DataFrame:
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
-    numbered = rows.select(F.col("__row").alias("doc_id"), "text")
-    bad = report(numbered, benchmark, share, block_chars=limit, window=window).where("contaminated").select(F.col("doc_id").alias("__row"))
-    return rows.join(bad, "__row", "left_anti").drop("__row")
+    row = fresh(docs, "row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-docs")
+    numbered = rows.select(F.col(row).alias("doc_id"), "text")
+    bad = report(numbered, benchmark, share, block_chars=limit, window=window).where("contaminated").select(F.col("doc_id").alias(row))
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def _cutter(shared: Broadcast, mode: str, share: int):

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import SPACE, bounded_labels, literal_array, words
+from logfold.llm.common import SPACE, bounded_labels, held, literal_array, words
 
 SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -72,7 +72,7 @@ def _repeats(df: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
         lambda s, j: s + F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - F.get(at, j), F.lit(3))),
     )
-    return found.withColumn("n_repeat_words", F.when(F.size(at) > 0, covered).otherwise(F.lit(0).cast("long"))).drop("mask", "packed", "at")
+    return found.withColumn("n_repeat_words", held(F.when(F.size(at) > 0, covered).otherwise(F.lit(0).cast("long")))).drop("mask", "packed", "at")
 
 
 def _unigram(word: Column, buckets: int) -> Column:
@@ -104,7 +104,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int, prior: flo
         n_raw, n_target = sum(raw[lo : lo + buckets]), sum(target[lo : lo + buckets])
         for r, t in zip(raw[lo : lo + buckets], target[lo : lo + buckets], strict=True):
             p = (r + 1) / (n_raw + buckets)
-            out.append(math.log((t + prior * p) / (n_target + prior) / p))
+            out.append(math.log((t + prior * p) / (n_target + prior) / p) if n_target else 0.0)
     return out
 
 

@@ -4,6 +4,11 @@ Texts become token ids, cut into sequences; a keyed Feistel permutation with
 cycle-walking gives every sequence a global slot; each range of slots is written as one
 shard of fixed stride, so a reader finds slot s at (s - first) * stride and can resume
 anywhere.
+
+How many sequences a text has is only known once it is tokenised, which is the costly
+part and done once. So texts are numbered by what they can have at most (a token has a
+byte at least), the permutation is of those numbers, and the slots are what remains of
+them in order: the numbers that no sequence has are closed up when the shards are counted.
 """
 
 from __future__ import annotations
@@ -15,8 +20,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logfold.llm.common import batches, filesystem, materialise, new_dir, small_batches, stable_rows
@@ -76,34 +82,47 @@ def materialise_order(docs: DataFrame, path: str | None = None, length: int = 51
     A document is tokenised whole, ended, and cut; its last sequence is padded with the
     id after the end's. Ids are two little-endian bytes each, or four where the
     vocabulary needs it. The index has doc_id, part (the sequence's place in its
-    document), slot, shard, file, byte_offset, n_tokens (without padding) and
-    tokens_crc32 (of the row as stored). Null ids are kept; repeated rows are separate
-    documents; an empty table gives an empty index; extra columns are ignored.
-
-    The first pass counts each partition's sequences, the second writes them: with a
-    running number in scan order the permutation needs no sort. The second checks each
-    partition against the first. Attempts write files of their own; the committed index
-    names those that count.
+    document), slot (gapless from 0), shard, file, byte_offset, n_tokens (without padding)
+    and tokens_crc32 (of the row as stored). Shards have about ``rows_per_shard`` rows.
+    Null ids are kept; repeated rows are separate documents; an empty table gives an empty
+    index; extra columns are ignored.
+
+    The first pass adds up each partition's bytes, the second writes: with running numbers
+    in scan order the permutation needs no sort. The second checks each partition against
+    the first. Attempts write files of their own; the committed index names those that count.
     """
+    index = _written(docs, path, length, rows_per_shard, key, vocabulary)
+    return index.join(_first_slots(index), "shard").select("doc_id", "part", (F.col("first") + F.col("row")).alias("slot"), "shard", "file", "byte_offset", "n_tokens", "tokens_crc32")
+
+
+def _first_slots(index: DataFrame) -> DataFrame:
+    """shard, first: the first slot of each shard, from the shards' counts."""
+    counts = index.groupBy("shard").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+
+
+def _written(docs: DataFrame, path: str | None, length: int, rows_per_shard: int, key: int, vocabulary: str) -> DataFrame:
+    """The index by shard and row, its files in the order of the shards' rows."""
     spark = docs.sparkSession
     small_batches(spark)
     path = path or new_dir(spark, "shards")
     rows = stable_rows(docs.select("doc_id", "text"))
-    counts = sorted((r["pid"], r["sequences"], r["seal"]) for r in rows.mapInArrow(_counter(length, vocabulary), "pid int, sequences long, seal long").collect())
-    total = sum(c for _, c, _ in counts)
+    counts = sorted((r["pid"], r["most"], r["seal"]) for r in rows.mapInArrow(_counter(length), "pid int, most long, seal long").collect())
     enc = encoding(vocabulary)
     width = 2 if enc.max_token_value + 2 < 1 << 16 else 4
-    first, at = {}, 0
+    first, total = {}, 0
     for pid, n, seal in counts:
-        first[pid] = (at, n, seal)
-        at += n
+        first[pid] = (total, n, seal)
+        total += n
     shared = spark.sparkContext.broadcast(first)
-    parts = max(1, min(-(-total // rows_per_shard), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cut = rows.mapInArrow(_cutter(shared, total, length, width, key, vocabulary), "doc_id long, part int, slot long, n_tokens int, ids binary")
-    placed = cut.withColumn("shard", F.floor(F.col("slot") / rows_per_shard).cast("int"))
-    ordered = placed.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("slot")
-    pad = enc.max_token_value + 2
-    index = ordered.mapInArrow(_writer(path, length * width, np.array([pad], f"<u{width}").tobytes(), rows_per_shard), "doc_id long, part int, slot long, shard int, file string, byte_offset long, n_tokens int, tokens_crc32 long")
+    span = 2 * rows_per_shard
+    parts = max(1, min(-(-total // span), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cut = rows.mapInArrow(_cutter(shared, total, length, width, key, vocabulary), "doc_id long, part int, number long, n_tokens int, ids binary")
+    placed = cut.withColumn("shard", F.floor(F.col("number") / span).cast("int"))
+    ordered = placed.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("number")
+    pad = np.array([enc.max_token_value + 2], f"<u{width}").tobytes()
+    index = ordered.mapInArrow(_writer(path, length * width, pad), "doc_id long, part int, row long, shard int, file string, byte_offset long, n_tokens int, tokens_crc32 long")
     return materialise(index, "order-index")
 
 
@@ -111,64 +130,67 @@ def _sequences(n: int, length: int) -> int:
     return -(-n // length)
 
 
-def _counter(length: int, vocabulary: str):
-    schema = pa.schema([("pid", pa.int32()), ("sequences", pa.int64()), ("seal", pa.int64())])
+def _counter(length: int):
+    schema = pa.schema([("pid", pa.int32()), ("most", pa.int64()), ("seal", pa.int64())])
 
     def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = seal = 0
+        most = seal = 0
         for b in parts:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m = len(tokens(text, vocabulary))
-                n += _sequences(m, length)
-                seal = zlib.crc32(b"%s:%d" % (str(doc).encode(), m), seal)
-        yield from batches([(TaskContext.get().partitionId(), n, seal)], schema)
+            for doc, n in zip(b.column(0).to_pylist(), pc.binary_length(b.column(1).cast(pa.binary())).to_pylist(), strict=True):
+                most += _sequences((n or 0) + 1, length)
+                seal = zlib.crc32(b"%s:%d" % (str(doc).encode(), n or 0), seal)
+        yield from batches([(TaskContext.get().partitionId(), most, seal)], schema)
 
     return count
 
 
 def _cutter(shared, total: int, length: int, width: int, key: int, vocabulary: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("slot", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("number", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary())])
 
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         pid = TaskContext.get().partitionId()
         start, expected, sealed = shared.value.get(pid, (0, 0, 0))
         done = seal = 0
         for b in parts:
-            held = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held, at = [], []
+            sizes = pc.binary_length(b.column(1).cast(pa.binary())).to_pylist()
+            for doc, text, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sizes, strict=True):
                 ids = tokens(text, vocabulary)
-                seal = zlib.crc32(b"%s:%d" % (str(doc).encode(), len(ids)), seal)
+                seal = zlib.crc32(b"%s:%d" % (str(doc).encode(), size or 0), seal)
+                most, n = _sequences((size or 0) + 1, length), _sequences(len(ids), length)
+                if n > most:
+                    raise RuntimeError(f"the vocabulary gives a text of {size} bytes {len(ids)} tokens")
                 raw = ids.astype(f"<u{width}").tobytes()
-                held += [(doc, i, raw[i * length * width : (i + 1) * length * width]) for i in range(_sequences(len(ids), length))]
-            slots = feistel(np.arange(start + done, start + done + len(held)), total, key) if held else []
-            done += len(held)
-            for (doc, part, raw), slot in zip(held, slots, strict=True):
-                yield doc, part, int(slot), len(raw) // width, raw
+                held += [(doc, i, raw[i * length * width : (i + 1) * length * width]) for i in range(n)]
+                at += range(start + done, start + done + n)
+                done += most
+            numbers = feistel(np.array(at, np.int64), total, key) if held else []
+            for (doc, part, raw), number in zip(held, numbers, strict=True):
+                yield doc, part, int(number), len(raw) // width, raw
         if (done, seal) != (expected, sealed):
-            raise RuntimeError(f"partition {pid} has changed since its sequences were counted")
+            raise RuntimeError(f"partition {pid} has changed since it was counted")
 
     return lambda parts: batches(each(parts), schema)
 
 
-def _writer(path: str, stride: int, pad: bytes, rows_per_shard: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("slot", pa.int64()), ("shard", pa.int32()), ("file", pa.string()), ("byte_offset", pa.int64()), ("n_tokens", pa.int32()), ("tokens_crc32", pa.int64())])
+def _writer(path: str, stride: int, pad: bytes):
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("shard", pa.int32()), ("file", pa.string()), ("byte_offset", pa.int64()), ("n_tokens", pa.int32()), ("tokens_crc32", pa.int64())])
 
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        out, current, name = None, None, ""
+        out, current, name, at = None, None, "", 0
         for b in parts:
-            for doc, part, slot, n, raw, shard in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            columns = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "part", "n_tokens", "ids", "shard"))
+            for doc, part, n, raw, shard in zip(*columns, strict=True):
                 if shard != current:
                     if out:
                         out.close()
-                    current, at, name = shard, shard * rows_per_shard, f"{path}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.bin"
+                    current, at, name = shard, 0, f"{path}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.bin"
                     fs, local = filesystem(name)
                     fs.create_dir(local.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(local, compression=None)
-                if slot != at:
-                    raise RuntimeError(f"slot {slot} came where {at} is due")
                 row = raw + pad * ((stride - len(raw)) // len(pad))
                 out.write(row)
-                yield doc, part, slot, shard, name, (slot - shard * rows_per_shard) * stride, n, zlib.crc32(row)
+                yield doc, part, at, shard, name, at * stride, n, zlib.crc32(row)
                 at += 1
         if out:
             out.close()
@@ -197,8 +219,30 @@ def read_slots(spark: SparkSession, index: DataFrame, length: int = 512, start:
     return files.mapInArrow(lambda parts: batches(each(parts), schema), "slot long, ids binary")
 
 
-def report(docs: DataFrame, length: int = 512, **options: object) -> DataFrame:
-    """The index joined with what the shards hold when read back: their bytes' checksum by slot."""
-    index = materialise_order(docs, length=length, **options)
-    back = read_slots(docs.sparkSession, index, length).select(F.col("slot").alias("s"), F.crc32("ids").alias("read_crc32"))
-    return index.join(back, F.expr("slot = s"), "left").select("doc_id", "part", "slot", "shard", "byte_offset", "n_tokens", F.col("read_crc32").alias("tokens_crc32"))
+def report(docs: DataFrame, path: str | None = None, length: int = 512, rows_per_shard: int = 8192, key: int = 20240229, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The index, with the checksum of what the shards hold for each slot when read back.
+
+    Index files hold their shards' rows in order, so each shard is read in sequence.
+    """
+    index = _written(docs, path, length, rows_per_shard, key, vocabulary)
+    stride = length * (2 if encoding(vocabulary).max_token_value + 2 < 1 << 16 else 4)
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("shard", pa.int32()), ("byte_offset", pa.int64()), ("n_tokens", pa.int32()), ("tokens_crc32", pa.int64())])
+
+    def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        current, data = None, None
+        for b in parts:
+            for doc, part, row, shard, file, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file != current:
+                    if data:
+                        data.close()
+                    fs, name = filesystem(file)
+                    current, data = file, fs.open_input_file(name)
+                if data.tell() != at:
+                    data.seek(at)
+                yield doc, part, row, shard, at, n, zlib.crc32(data.read(stride))
+        if data:
+            data.close()
+
+    rows = index.select("doc_id", "part", "row", "shard", "file", "byte_offset", "n_tokens")
+    back = rows.mapInArrow(lambda parts: batches(each(parts), schema), "doc_id long, part int, row long, shard int, byte_offset long, n_tokens int, tokens_crc32 long")
+    return back.join(_first_slots(index), "shard").select("doc_id", "part", (F.col("first") + F.col("row")).alias("slot"), "shard", "byte_offset", "n_tokens", "tokens_crc32")
