@@ -30,9 +30,13 @@ LEVELS = 4
 #: A token in more texts than this comes after all others in the order.
 FREQUENT = 32
 SALTS = 64
-BYTES = 6
+BYTES = 5
+#: A set's outline has this many bits, one for each element's hash.
+OUTLINE = 1024
+#: So many tokens beyond the longest prefix are looked at, in case some are frequent.
+SPARE = 16
 
-SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
+SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("outline", pa.binary()), ("shingles", pa.binary())])
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -70,13 +74,19 @@ def _loaded(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _outline(codes: np.ndarray) -> bytes:
+    bits = np.zeros(OUTLINE, bool)
+    bits[(codes & np.uint64(OUTLINE - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _sets(size: int):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             rows = []
             for uid, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 s = shingles(text, size)
-                rows.append((uid, doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), _stored(s)))
+                rows.append((uid, doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), _outline(s), _stored(s)))
             if not rows:
                 continue
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SETS, strict=True)], schema=SETS)
@@ -94,7 +104,7 @@ def _tokens(percent: int | None, wanted=None):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             uids, ns = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int32)
-            m = [int(n) if percent is None else prefix_length(int(n), LEVELS + 4, percent) for n in ns]
+            m = [int(n) if percent is None else prefix_length(int(n), LEVELS + SPARE, percent) for n in ns]
             sets = [_loaded(v[: k * BYTES]) for v, k in zip(b.column(2).to_pylist(), m, strict=True)]
             sizes = np.array(m, np.int64)
             if not sizes.sum():
@@ -274,8 +284,23 @@ def _compatible(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    pairs = materialise(pairs, "join-pairs")
+    """The pairs (a, b) whose whole sets reach the threshold.
+
+    First by their outlines: each bit that only one has is an element that only one has,
+    so sets whose outlines differ in too many bits can't link.
+    """
+    light = sets.select("uid", "n", "outline")
+    drawn = pairs.join(light.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("outline").alias("ob")), "b")
+    drawn = drawn.join(light.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("outline").alias("oa")), "a").select("a", "b", "na", "nb", "oa", "ob")
+
+    def alike(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            oa, ob = (np.frombuffer(b"".join(p.column(k).to_pylist()), np.uint64).reshape(p.num_rows, -1) for k in (4, 5))
+            apart = np.bitwise_count(oa ^ ob).sum(axis=1).astype(np.int64)
+            keep = apart * (100 + percent) <= (100 - percent) * (p.column(2).to_numpy() + p.column(3).to_numpy())
+            yield p.select([0, 1]).filter(pa.array(keep))
+
+    pairs = materialise(drawn.mapInArrow(alike, "a long, b long"), "join-pairs")
     picked = _pick(sets.select("uid", "n", "shingles"), pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))))
     one = picked.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     two = picked.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
@@ -354,7 +379,7 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     the smallest doc_id that links reach, the row's own included. Null, empty and blank
     texts have no shingles and link with nothing; rows without an id link, and their
     component is null if no row of it has one; repeated rows are one class; an empty
-    table gives no rows; extra columns are dropped. Sets are compared by 48-bit hashes.
+    table gives no rows; extra columns are dropped. Sets are compared by 40-bit hashes.
     """
     with scratch(docs.sparkSession):
         return materialise(_linked(docs, size, percent, leader_rounds, F.monotonically_increasing_id() if row is None else row), "join-rows")
@@ -363,7 +388,7 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def _linked(docs: DataFrame, size: int, percent: int, leader_rounds: int, row: Column) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark, 256)
-    sets = materialise(docs.select(row.alias("uid"), "doc_id", "text").mapInArrow(_sets(size), "uid long, doc_id long, n long, sig binary, shingles binary"), "join-all")
+    sets = materialise(docs.select(row.alias("uid"), "doc_id", "text").mapInArrow(_sets(size), "uid long, doc_id long, n long, sig binary, outline binary, shingles binary"), "join-all")
     members = sets.select("uid", "doc_id", "n", "sig")
     part = members.where("n > 0").groupBy("sig", F.pmod("uid", F.lit(SALTS)).alias("s")).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low_id"))
     classes = materialise(part.groupBy("sig").agg(F.min("uid").alias("rep"), F.min("low_id").alias("low_id"), F.collect_list("s").alias("salts")), "join-classes")
