@@ -17,7 +17,3 @@ def make_docs(spark):
         return df
 
     return make
-
-
-#: Columns whose names an operator may use for itself.
-CLASHING = ["size", "k", "w", "hits", "uid", "token", "n", "shard", "slot", "bucket", "copies", "base", "bundle", "label", "score", "comp", "__row", "rank"]

@@ -5,8 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import base_scores, decontaminated, jaccard_components, measures, personal, shingles
-from conftest import CLASHING
+from brute import CLASHING, base_scores, decontaminated, jaccard_components, measures, personal, shingles
 from pyspark.sql import functions as F
 
 from logfold.llm import contracts, curriculum, decontam, jaccard_join, pii, quality, sharding, suffix_tree, toxicity, training_order, warc
