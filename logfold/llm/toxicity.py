@@ -34,6 +34,9 @@ TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.,;:!?|()\"\n]")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
 EVENTS = ("insult", "insult_targeted", "insult_negated", "insult_reported", "threat", "threat_targeted", "threat_negated", "threat_reported")
 STEMS = range(4, 8)
+#: What a text is judged by: all insults, all threats, then each event by itself.
+SHARED = 2
+FEATURES = SHARED + len(EVENTS)
 
 
 @dataclass(frozen=True)
@@ -126,9 +129,11 @@ class Model:
     def features(self, text: str) -> list[float]:
         folded, of = text.lower(), self.lexicon.of
         if not any(of(w)[0] in (INSULT, THREAT) for w in set(WORD.findall(folded))):
-            return [0.0] * len(EVENTS)
+            return [0.0] * FEATURES
         classes = (of(t) if t[0].isalpha() else (BREAK, 0.0) for t in TOKEN.findall(folded))
-        return [math.log1p(v) for v in self.grammar.events(classes)]
+        events = self.grammar.events(classes)
+        half = len(EVENTS) // 2
+        return [math.log1p(v) for v in (sum(events[:half]), sum(events[half:]), *events)]
 
     def score(self, text: str) -> float:
         z = self.bias + sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
@@ -154,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 25_000, lexicon_bound:
     total = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     n_toxic, n_clean = total[0], total[1] - total[0]
     if not n_toxic or not n_clean:
-        return Model(Lexicon({}, {}), [1.0] * len(EVENTS), -2.0)
+        return Model(Lexicon({}, {}), PRIOR[:-1], PRIOR[-1])
     base = n_toxic / (n_toxic + n_clean)
     tried = max(1, counted.where("toxic + clean >= 3").count())
     a, b = F.col("toxic"), F.col("clean")
@@ -162,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 25_000, lexicon_bound:
     strong = counted.where(a > 0).withColumn("gain", gain).where((a > 2 * base * (a + b)) & (F.col("gain") > 2 * math.log(tried) + 4))
     rows = strong.orderBy(F.desc("gain"), "feature").limit(lexicon_bound).collect()
     lexicon = _lexicon([(r["feature"], r["toxic"], r["clean"]) for r in rows], n_toxic, n_clean)
-    model = Model(lexicon, [0.0] * len(EVENTS), 0.0)
+    model = Model(lexicon, [0.0] * FEATURES, 0.0)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -206,15 +211,24 @@ def _lexicon(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> Le
     return Lexicon({w: max(0.1, v) for w, v in words.items()}, {f: max(0.1, v) for f, v in stems.items()})
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[list[float], float]:
-    """Weighted ridge logistic regression by Newton's method; event weights start from 1, the bias from -2."""
+#: Where the weights start from and are drawn to: two shared ones, those of single events, the bias.
+PRIOR = [1.0] * SHARED + [0.0] * len(EVENTS) + [-2.0]
+RIDGE = [0.02] * SHARED + [1.0] * len(EVENTS) + [0.02]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[list[float], float]:
+    """Weighted ridge logistic regression by Newton's method.
+
+    The ridge is stronger for single events, so that an event which the labels don't show
+    is judged by what all events of its kind have in common.
+    """
     a = np.hstack([x, np.ones((len(x), 1))])
-    prior = np.array([1.0] * x.shape[1] + [-2.0])
+    prior, ridge = np.array(PRIOR), np.array(RIDGE)
     w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         grad = a.T @ (n * (p - y)) + ridge * (w - prior)
-        hess = (a * (n * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        hess = (a * (n * p * (1 - p))[:, None]).T @ a + np.diag(ridge)
         move = np.linalg.solve(hess, grad)
         w = w - move * min(1.0, 5.0 / max(1e-9, float(np.abs(move).max())))
         if np.abs(move).max() < 1e-8:
