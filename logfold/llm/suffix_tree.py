@@ -2,21 +2,27 @@
 
 A text is its tokens spelled out: lower-cased words joined by a space, then an end
 symbol, so the tree's probability of the symbols is a probability of the tokens. A
-context of up to five symbols is a state if it is frequent and its next-symbol
-distribution diverges from that of its longest shorter state; distributions are smoothed
-towards that state; each symbol is scored by the longest suffix that is a state.
+context is a state if it is frequent and its next-symbol distribution diverges from that
+of its longest shorter state; distributions are smoothed towards that state; each symbol
+is scored by the longest suffix that is a state. Contexts are one to five symbols, then
+begin with the word that the symbol before those is in, then with the word 1, 3, 7, ...
+words before that, up to the whole text before the symbol. No length bounds them: a
+context is followed until it is too rare or nothing longer could diverge enough.
 
 Neither the tree nor the vocabulary is broadcast. Documents are packed into bundles of
 bounded size; a bundle asks the owners of its words and (context, next symbol) grams
 for their counts and probabilities, each owner puts together what all bundles say about
-its share of the keys, and the answers go back to the bundles.
+its share of the keys, and the answers go back to the bundles. The contexts of up to five
+symbols take one such round, each longer reach one more, for what is still followed only.
 """
 
 from __future__ import annotations
 
 import io
 import math
+import struct
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import batches, materialise, small_batches
+from logfold.llm.common import batches, materialise, new_dir, remove, settle, small_batches
 
+#: Contexts of so many symbols are counted together; longer ones are hashed.
 DEPTH = 5
 END = b"\n"
 #: States need this many occurrences, and this gain in nats over their shorter state.
 LEAST_COUNT, LEAST_GAIN = 3, 2.0
+#: Longer contexts need this much of that gain for each of their next symbols.
+LONG_GAIN = 1.0
 
 BUNDLE = pa.schema([("bundle", pa.int64()), ("payload", pa.binary())])
 BLOCK = pa.schema([("owner", pa.int32()), ("bundle", pa.int64()), ("kind", pa.string()), ("payload", pa.binary())])
@@ -109,6 +118,48 @@ def grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (code << np.uint64(8)) | data[at], starts
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+BASE = 0x5851F42D4C957F2D
+BYTE_HASH = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+
+
+def long_grams(bodies: list[bytes], pick: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (context, next symbol) grams of the symbols ``pick``, and which contexts are whole.
+
+    A context takes in ``reach`` words beyond its last DEPTH symbols, the first of which
+    may reach into those, or it is the whole text before the symbol and its start. A gram
+    is 56 bits of the context's hash, then the next symbol.
+    """
+    pad = END * DEPTH
+    data = np.frombuffer(b"".join(pad + b + END for b in bodies), np.uint8)
+    lengths = np.array([len(b) + 1 for b in bodies], np.int64)
+    begin = np.cumsum(lengths + DEPTH) - lengths
+    text = np.searchsorted(np.cumsum(lengths), pick, side="right")
+    at = pick + (text + 1) * DEPTH
+    starts = np.zeros(len(data), bool)
+    starts[1:] = data[:-1] == 32
+    starts[begin] = True
+    number = np.cumsum(starts, dtype=np.int32)
+    back = number[at - DEPTH - 1] - reach
+    first = number[begin][text] - 1
+    whole = back < first
+    since = np.where(whole, begin[text] - 1, np.flatnonzero(starts)[np.maximum(back, first)])
+    del number, starts, back, first, text
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(BYTE_HASH[data] * _powers(BASE, len(data)), dtype=np.uint64)
+        h = (sums[at - 1] - sums[since - 1]) * _powers(pow(BASE, -1, 1 << 64), len(data))[since]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return (h & ~np.uint64(0xFF)) | data[at], whole
+
+
 def _word_ids(bodies: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct tokens, the token numbers of all texts in sequence, and each text's token count."""
     known: dict[bytes, int] = {END: 0}
@@ -134,20 +185,28 @@ def _owners(kind: str, keys: np.ndarray, owners: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(owners)).astype(np.int32)
 
 
-def _encode(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences with their bytes apart, and the counts, compressed."""
-    deltas = np.diff(keys, prepend=np.uint64(0))
-    raw = deltas.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplaned(raw: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _encode(keys: np.ndarray, counts: np.ndarray, shorter: np.ndarray | None = None) -> bytes:
+    """Sorted keys as differences with their bytes apart, the counts and what shorter states say, compressed."""
+    raw = _planes(np.diff(keys, prepend=np.uint64(0))) + _planes(counts.astype("<u4"))
+    if shorter is not None:
+        raw += _planes(shorter.astype("<f4"))
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _decode(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _decode(payload: bytes, kind: str) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
-    n = len(raw) // 12
-    deltas = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
-    counts = np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel()
+    n = len(raw) // (16 if kind == "x" else 12)
     with np.errstate(over="ignore"):
-        return np.cumsum(deltas, dtype=np.uint64), counts
+        keys = np.cumsum(_unplaned(raw[: 8 * n], "<u8"), dtype=np.uint64)
+    return keys, _unplaned(raw[8 * n : 12 * n], "<u4"), _unplaned(raw[12 * n :], "<f4")
 
 
 def _ask(owners: int):
@@ -171,14 +230,14 @@ def _ask(owners: int):
     return ask
 
 
-def _blocks(bundle: int, kind: str, keys: np.ndarray, counts: np.ndarray, owners: int) -> Iterator[tuple]:
+def _blocks(bundle: int, kind: str, keys: np.ndarray, counts: np.ndarray, owners: int, shorter: np.ndarray | None = None) -> Iterator[tuple]:
     owner = _owners(kind, keys, owners)
     order = np.lexsort((keys, owner))
     edges = np.searchsorted(owner[order], np.arange(owners + 1))
     for o in range(owners):
         part = order[edges[o] : edges[o + 1]]
         if len(part):
-            yield o, bundle, kind, _encode(keys[part], counts[part])
+            yield o, bundle, kind, _encode(keys[part], counts[part], None if shorter is None else shorter[part])
 
 
 # --- what an owner answers -------------------------------------------------------------
@@ -189,12 +248,12 @@ def _answer(pairs, least_count: int, least_gain: float):
         yield from batches(each(parts), REPLY, size=64)
 
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        current, blocks = None, {"g": [], "w": []}
+        current, blocks = None, {k: [] for k in "gwx"}
         for b in parts:
             for owner, bundle, kind, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if owner != current and current is not None:
                     yield from _answers(current, blocks, pairs.value, least_count, least_gain)
-                    blocks = {"g": [], "w": []}
+                    blocks = {k: [] for k in "gwx"}
                 current = owner
                 blocks[kind].append((bundle, payload))
         if current is not None:
@@ -207,28 +266,38 @@ def _answers(owner: int, blocks: dict, pairs: np.ndarray, least_count: int, leas
     for kind, held in blocks.items():
         if not held:
             continue
-        decoded = [_decode(p) for _, p in held]
-        keys, where = np.unique(np.concatenate([k for k, _ in decoded]), return_inverse=True)
-        counts = np.bincount(where, weights=np.concatenate([c for _, c in decoded])).astype(np.int64)
-        values = counts.astype("<i8") if kind == "w" else log10_next(keys, counts, pairs, least_count, least_gain).astype("<f4")
+        decoded = [_decode(p, kind) for _, p in held]
+        keys, first, where = np.unique(np.concatenate([d[0] for d in decoded]), return_index=True, return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([d[1] for d in decoded])).astype(np.int64)
+        if kind == "w":
+            values = counts.astype("<i8")
+        elif kind == "g":
+            values = _signed(*log10_next(keys, counts, pairs, least_count, least_gain))
+        else:
+            q = 10.0 ** np.concatenate([d[2] for d in decoded])[first].astype(np.float64)
+            values = _signed(*longer_next(keys, counts, q, least_count, least_gain))
         at = 0
-        for i, ((bundle, _), (k, _)) in enumerate(zip(held, decoded, strict=True)):
+        for i, ((bundle, _), (k, *_)) in enumerate(zip(held, decoded, strict=True)):
             mine = values[where[at : at + len(k)]]
             at += len(k)
             stats = (int(counts.sum()), int((counts > 0).sum())) if kind == "w" and i == 0 else (0, 0)
-            raw = mine.view(np.uint8).reshape(len(k), -1).T.tobytes()
-            yield bundle, kind, owner, zstandard.ZstdCompressor(level=1).compress(raw), *stats
+            yield bundle, kind, owner, zstandard.ZstdCompressor(level=1).compress(_planes(mine)), *stats
+
+
+def _signed(p: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Logarithms of probabilities, positive where longer contexts are still to be seen."""
+    return np.copysign(p, np.where(follow, 1.0, -1.0)).astype("<f4")
 
 
 def _values(payload: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
-    width = 8 if kind == "w" else 4
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view("<i8" if kind == "w" else "<f4").ravel()
+    return _unplaned(np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8), "<i8" if kind == "w" else "<f4")
 
 
-def log10_next(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> np.ndarray:
+def log10_next(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
     """log10 P(next symbol | longest suffix of the context that is a state) of sorted, distinct grams.
 
+    Also whether longer contexts may be states: see ``_follow``.
+
     ``counts`` are training counts, 0 for grams only asked for; ``keys`` hold all grams of
     each two-symbol context that they have any of. ``pairs[a, x]`` counts x after a.
     A state s gives P(x|s) = (c(sx) + T * P(x|shorter)) / (c(s) + T), T its distinct
@@ -259,7 +328,40 @@ def log10_next(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, least_co
             term = np.where(c > 0, c * np.log(c / n_all / q), 0.0)
         state = np.repeat((n >= least_count) & (np.add.reduceat(term, starts) >= least_gain), sizes)
         p = np.where(state, (c + t_all * q) / np.maximum(n_all + t_all, 1), q)[where]
-    return np.log10(p)
+    return np.log10(p), _follow(keys, counts, p, least_count, least_gain)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the grams of each context start, and how many there are."""
+    starts = np.flatnonzero(np.diff(keys >> np.uint64(8), prepend=np.uint64(1 << 63)))
+    return starts, np.diff(np.append(starts, len(keys)))
+
+
+def _follow(keys: np.ndarray, counts: np.ndarray, p: np.ndarray, least_count: int, least_gain: float) -> np.ndarray:
+    """Whether a longer context of each gram's context can be a state.
+
+    Its counts c' are at most these, so its gain, the sum of c'(x) log(c'(x) / n' / p(x)),
+    is at most the sum of c(x) log(1 / p(x)).
+    """
+    starts, sizes = _groups(keys)
+    most = np.add.reduceat(counts * -np.log(p), starts)
+    return np.repeat((np.add.reduceat(counts, starts) >= least_count) & (most >= least_gain), sizes)
+
+
+def longer_next(keys: np.ndarray, counts: np.ndarray, q: np.ndarray, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
+    """``log10_next`` for the grams of one reach; ``q`` is P(next symbol) by their shorter states.
+
+    Many next symbols diverge by chance: a state needs least_gain times LONG_GAIN for each.
+    """
+    starts, sizes = _groups(keys)
+    n, t = np.add.reduceat(counts, starts), np.add.reduceat((counts > 0).astype(np.int64), starts)
+    n_all, t_all = np.repeat(n, sizes), np.repeat(t, sizes)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        term = np.where(counts > 0, counts * np.log(counts / n_all / q), 0.0)
+    need = least_gain * np.maximum(1.0, LONG_GAIN * t)
+    state = np.repeat((n >= least_count) & (np.add.reduceat(term, starts) >= need), sizes)
+    p = np.where(state, (counts + t_all * q) / np.maximum(n_all + t_all, 1), q)
+    return np.log10(p), _follow(keys, counts, p, least_count, least_gain)
 
 
 def _pair_counts(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,38 +379,109 @@ def _pair_counts(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- scores ----------------------------------------------------------------------------
 
 
-def _scores(owners: int, tokens: int, distinct: int):
-    def score(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, replies = None, {"g": [], "w": []}
+def _advance(owners: int, reach: int, tokens: int, distinct: int):
+    """Take in a bundle's replies, and ask for contexts of ``reach`` words where one is to be seen.
+
+    Gives a bundle's scored rows ("d"), its rows with such symbols ("z") and what they ask ("x").
+    """
+
+    def advance(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(each(parts), BLOCK, size=64)
+
+    def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        current, replies = None, {}
         for b in parts:
             for bundle, kind, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bundle != current:
-                    current, replies = bundle, {"g": [], "w": []}
+                    current, replies = bundle, {}
                 if kind == "z":
-                    yield _scored(payload, {k: np.concatenate([_values(p, k) for p in v]) for k, v in replies.items()}, owners, tokens, distinct)
+                    values = {k: np.concatenate([_values(p, k) for p in v]) for k, v in replies.items()}
+                    yield from _moved(bundle, *(_first(payload, values, owners, tokens, distinct) if reach == 1 else _later(payload, values, owners, reach // 2)), owners, reach)
                 else:
-                    replies[kind].append(payload)
+                    replies.setdefault(kind, []).append(payload)
+
+    return advance
+
 
-    return score
+def _dealt(keys: np.ndarray, values: np.ndarray, kind: str, owners: int) -> np.ndarray:
+    """Replies in the order of the sorted ``keys`` that were asked for."""
+    out = np.empty(len(keys), values.dtype)
+    out[np.lexsort((keys, _owners(kind, keys, owners)))] = values
+    return out
 
 
-def _scored(payload: bytes, values: dict[str, np.ndarray], owners: int, tokens: int, distinct: int) -> pa.RecordBatch:
+def _first(payload: bytes, values: dict[str, np.ndarray], owners: int, tokens: int, distinct: int) -> tuple:
     docs, held, bodies = _unpacked(payload)
     words, ids, lengths = _word_ids(bodies)
-    keys = _word_keys(words)
-    c = np.empty(len(words), np.int64)
-    c[np.lexsort((keys, _owners("w", keys, owners)))] = values["w"]
+    c = _dealt(_word_keys(words), values["w"], "w", owners)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     known = np.add.reduceat((c > 0)[ids].astype(np.int64), starts)
     base = np.add.reduceat(np.log10(c + 1)[ids], starts) - lengths * math.log10(tokens + distinct + 1)
     code, begin = grams(bodies)
     unique, where = np.unique(code, return_inverse=True)
-    p = np.empty(len(unique))
-    p[np.lexsort((unique, _owners("g", unique, owners)))] = values["g"]
-    score = np.add.reduceat(p[where], begin)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths), pa.array(known), pa.array(base), pa.array(score)], schema=SCORE
-    )
+    p = _dealt(unique, values["g"], "g", owners)[where]
+    before = np.arange(len(code)) - np.repeat(begin, np.diff(np.append(begin, len(code))))
+    rows = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths), pa.array(known), pa.array(base), pa.array(np.zeros(len(docs)))], schema=SCORE)
+    return rows, bodies, np.arange(len(code)), p, before >= DEPTH
+
+
+def _later(payload: bytes, values: dict[str, np.ndarray], owners: int, reach: int) -> tuple:
+    rows, bodies, pick = _opened(payload)
+    keys, whole = long_grams(bodies, pick, reach)
+    unique, where = np.unique(keys, return_inverse=True)
+    return rows, bodies, pick, _dealt(unique, values["x"], "x", owners)[where], ~whole
+
+
+def _moved(bundle: int, rows: pa.RecordBatch, bodies: list[bytes], pick: np.ndarray, p: np.ndarray, longer: np.ndarray, owners: int, reach: int) -> Iterator[tuple]:
+    sizes = np.array([len(x) + 1 for x in bodies], np.int64)
+    text = np.searchsorted(np.cumsum(sizes), pick, side="right")
+    goes_on = longer & ~np.signbit(p)
+    p = -np.abs(p)
+    score = rows.column("score").to_numpy() + np.bincount(text[~goes_on], weights=p[~goes_on], minlength=len(bodies))
+    rows = rows.set_column(5, "score", pa.array(score))
+    stays = np.bincount(text[goes_on], minlength=len(bodies)) > 0
+    if not stays.all():
+        yield 0, bundle, "d", _sealed(rows.filter(pa.array(~stays)))
+    if not stays.any():
+        return
+    rows, bodies = rows.filter(pa.array(stays)), [x for x, s in zip(bodies, stays, strict=True) if s]
+    marks = np.zeros(int(sizes.sum()), bool)
+    marks[pick[goes_on]] = True
+    marks = marks[np.repeat(stays, sizes)]
+    yield 0, bundle, "z", _closed(rows, bodies, marks)
+    p = p[goes_on]
+    train = np.repeat(~np.array(rows.column("held_out")), sizes[stays])[marks]
+    keys, _ = long_grams(bodies, np.flatnonzero(marks), reach)
+    unique, first, where = np.unique(keys, return_index=True, return_inverse=True)
+    yield from _blocks(bundle, "x", unique, np.bincount(where, weights=train).astype(np.int64), owners, p[first])
+
+
+def _sealed(rows: pa.RecordBatch) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, rows.schema) as w:
+        w.write_batch(rows)
+    return out.getvalue()
+
+
+def _closed(rows: pa.RecordBatch, bodies: list[bytes], marks: np.ndarray) -> bytes:
+    table = _sealed(rows.append_column("body", pa.array(bodies, pa.binary())))
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(table)) + table + np.packbits(marks).tobytes())
+
+
+def _opened(payload: bytes) -> tuple[pa.RecordBatch, list[bytes], np.ndarray]:
+    """Rows, bodies, and the symbols whose contexts are followed."""
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    at = 8 + struct.unpack_from("<q", raw)[0]
+    with pa.ipc.open_stream(raw[8:at]) as r:
+        rows = r.read_next_batch()
+    return rows.select(range(6)), rows.column(6).to_pylist(), np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=at)))
+
+
+def _unsealed(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in parts:
+        for payload in b.column(0).to_pylist():
+            with pa.ipc.open_stream(payload) as r:
+                yield from r
 
 
 def score(docs: DataFrame, bundle_bytes: int = 4 << 20, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> DataFrame:
@@ -317,11 +490,12 @@ def score(docs: DataFrame, bundle_bytes: int = 4 << 20, least_count: int = LEAST
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word
     counts, log10) and score (the tree's log10 probability of the tokens). Null and empty
     texts are their end alone; texts of any length are scored whole; repeated rows count
-    and score each; an empty table gives no rows; extra columns are dropped.
+    and score each; an empty table gives no rows; extra columns are dropped. Contexts
+    over five symbols are told apart by 56-bit hashes.
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
-    packed = materialise(docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text").mapInArrow(_pack(bundle_bytes), "bundle long, payload binary"), "lm-bundles")
+    packed, old = _written(docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text").mapInArrow(_pack(bundle_bytes), "bundle long, payload binary"), "lm-bundles")
     small_batches(spark, 16)
     n = packed.select("bundle").count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -329,12 +503,33 @@ def score(docs: DataFrame, bundle_bytes: int = 4 << 20, least_count: int = LEAST
     matrix = np.zeros((256, 256), np.int64)
     for r in packed.select("payload").mapInArrow(_pair_counts, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         matrix[r["pair"] >> 8, r["pair"] & 255] = r["n"]
-    asked = packed.mapInArrow(_ask(owners), "owner int, bundle long, kind string, payload binary")
+    block, reply = "owner int, bundle long, kind string, payload binary", "bundle long, kind string, owner int, payload binary, tokens long, distinct long"
     answer = _answer(spark.sparkContext.broadcast(matrix), least_count, least_gain)
-    dealt = asked.repartitionById(owners, F.col("owner")).mapInArrow(answer, "bundle long, kind string, owner int, payload binary, tokens long, distinct long")
-    replies = materialise(dealt, "lm-replies")
+
+    def answered(asked: DataFrame) -> DataFrame:
+        return asked.repartitionById(owners, F.col("owner")).mapInArrow(answer, reply)
+
+    replies, path = _written(answered(packed.mapInArrow(_ask(owners), block)), "lm-replies")
     tokens, distinct = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    both = replies.select("bundle", "kind", "owner", "payload").unionByName(packed.select("bundle", F.lit("z").alias("kind"), F.lit(0).alias("owner"), "payload"))
-    ordered = both.repartition(max(1, min(n, 4 * parts)), "bundle").sortWithinPartitions("bundle", "kind", "owner").select("bundle", "kind", "payload")
-    scored = ordered.mapInArrow(_scores(owners, tokens, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    texts, old, done, reach = packed.select("bundle", F.lit("z").alias("kind"), F.lit(0).alias("owner"), "payload"), [old, path], [], 1
+    while reach == 1 or not texts.isEmpty():
+        both = replies.select("bundle", "kind", "owner", "payload").unionByName(texts)
+        ordered = both.repartition(max(1, min(n, 4 * parts)), "bundle").sortWithinPartitions("bundle", "kind", "owner").select("bundle", "kind", "payload")
+        moved, path = _written(ordered.mapInArrow(_advance(owners, reach, tokens, distinct), block), "lm-moved")
+        done.append(materialise(moved.where("kind = 'd'").select("payload"), "lm-done"))
+        for folder in old:
+            remove(spark, folder)
+        settle(spark)
+        texts, replies = moved.where("kind = 'z'").select("bundle", "kind", "owner", "payload"), answered(moved.where("kind = 'x'"))
+        old, reach = [path], 2 * reach
+    for folder in old:
+        remove(spark, folder)
+    scored = reduce(DataFrame.unionByName, done).mapInArrow(_unsealed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written and read back, and the folder it lies in."""
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path

@@ -285,6 +285,62 @@ def test_op5_the_tree_predicts_held_out_texts_better_than_words_alone(spark, mak
     assert r[0] > r[1]
 
 
+def test_op5_learns_across_words_however_far_back(spark, make_docs):
+    # the last word is told by the first one only, the three between are always the same
+    middle, ends = "then came the", {"amber": "lantern", "basil": "lectern"}
+    docs = [(i, f"{first} {middle} {last}") for i in range(300) for first, last in [list(ends.items())[i % 2]]]
+    wrong = {i: f"{first} {middle} {last}" for i, (first, last) in enumerate(zip(ends, reversed(ends.values()), strict=True))}
+    ids = [d for d in range(1000, 1100) if zlib.crc32(str(d).encode()) % 7 == 2][:4]
+    asked = [(ids[0], docs[0][1]), (ids[1], docs[1][1]), (ids[2], wrong[0]), (ids[3], wrong[1])]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(make_docs(docs + asked)).collect()}
+    assert min(got[ids[0]], got[ids[1]]) > max(got[ids[2]], got[ids[3]]) + 1
+
+
+def plain_long_tree(train, texts, least_count, least_gain):
+    """Scores by dictionaries of all contexts: up to 5 bytes, then 1, 2, 4, ... words beyond them."""
+    from collections import Counter, defaultdict
+
+    def contexts(s, i):
+        out = [s[i - d : i] for d in range(6)]
+        k = 1
+        while len(out[-1]) < i:
+            starts = [5, *(j + 1 for j in range(5, i - 6) if s[j : j + 1] == b" ")] if i > 10 else []
+            out.append(s[starts[-k] if k <= len(starts) else 0 : i])
+            k *= 2
+        return out
+
+    def spelled(t):
+        return b"\n" * 5 + suffix_tree.spelled(t.encode()) + b"\n"
+
+    after = defaultdict(Counter)
+    for s in map(spelled, train):
+        for i in range(5, len(s)):
+            for c in dict.fromkeys(contexts(s, i)):
+                after[c][s[i]] += 1
+    total = after[b""]
+    for s in map(spelled, texts):
+        score = 0.0
+        for i in range(5, len(s)):
+            p = {b: (total[b] + 1) / (sum(total.values()) + 256) for b in range(256)}
+            for d, context in enumerate(contexts(s, i)[1:], 1):
+                c = after[context]
+                n, types = sum(c.values()), len(c)
+                gain = sum(k * math.log(k / n / p[b]) for b, k in c.items())
+                if n >= least_count and gain >= least_gain * (types if d > 5 else 1):
+                    p = {b: (c[b] + types * p[b]) / (n + types) for b in range(256)}
+            score += math.log10(p[s[i]])
+        yield score
+
+
+def test_op5_every_row_equals_a_plain_tree_of_unbounded_contexts(spark, make_docs):
+    rows = [(i, sentence(40, i % 6)) for i in range(14)] + [(50, "new words unseen zz"), (51, sentence(60, 3)), (52, "")]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(make_docs(rows), bundle_bytes=700).collect()}
+    train = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    picked = [r for r in rows if r[0] in (0, 1, 3, 50, 51, 52)]
+    for (d, _), want in zip(picked, plain_long_tree(train, [t for _, t in picked], 3, 2.0), strict=True):
+        assert math.isclose(got[d], want, rel_tol=1e-5), d
+
+
 # --- op6 -------------------------------------------------------------------------------
 
 
