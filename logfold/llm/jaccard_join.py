@@ -371,9 +371,11 @@ def _all_pairs(now: DataFrame, percent: int) -> DataFrame:
 
 
 def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, leader_rounds: int = 2, row: Column | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and row for every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, row and comp for every row of ``docs`` (doc_id, text).
 
     ``row`` numbers the rows, all different; without it they get numbers of their own.
+    comp is the number of one row of the component, never null: only components have it
+    in common, while unrelated texts without id, or of one id, may share a component_id.
 
     Rows whose shingle sets are equal form one class; classes are joined. component_id is
     the smallest doc_id that links reach, the row's own included. Null, empty and blank
@@ -411,28 +413,29 @@ def _linked(docs: DataFrame, size: int, percent: int, leader_rounds: int, row: C
     ids = classes.select("sig", F.col("rep").alias("uid"), "low_id")
     ids = ids.withColumn("comp", F.col("uid")) if label is None else ids.join(label, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
     least = ids.groupBy("comp").agg(F.min("low_id").alias("component"))
-    labelled = _by_salt(ids.select("sig", "comp", "uid"), least, "comp", F.col("uid")).select("sig", "component")
-    rows = _by_salt(members.where("n > 0"), labelled, "sig", F.col("uid")).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("uid").alias("row"))
-    alone = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("uid").alias("row"))
+    labelled = _by_salt(ids.select("sig", "comp", "uid"), least, "comp", F.col("uid")).select("sig", "comp", "component")
+    rows = _by_salt(members.where("n > 0"), labelled, "sig", F.col("uid")).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("uid").alias("row"), "comp")
+    alone = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("uid").alias("row"), F.col("uid").alias("comp"))
     return rows.unionByName(alone)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """The contract's columns of ``link_components``."""
-    return link_components(docs).drop("row")
+    return link_components(docs).drop("row", "comp")
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
     """``docs``, all columns, with one row of each component: that of the smallest doc_id.
 
-    Texts without shingles all stay; of repeated rows with that id, one does.
+    A component without any id keeps one row too. Texts without shingles all stay; of
+    repeated rows with that id, one does.
     """
     docs = stable_rows(docs)
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     found = link_components(rows, row=F.col("__row"), **options)
     linked = found.where("n_shingles > 0").withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    part = linked.groupBy("component_id", F.pmod("row", F.lit(SALTS)).alias("s")).agg(F.min("key").alias("key"))
-    first = part.groupBy("component_id").agg(F.min("key").alias("key"))
+    part = linked.groupBy("comp", F.pmod("row", F.lit(SALTS)).alias("s")).agg(F.min("key").alias("key"))
+    first = part.groupBy("comp").agg(F.min("key").alias("key"))
     keep = first.select(F.col("key.row").alias("__row")).unionByName(found.where("n_shingles = 0").select(F.col("row").alias("__row")))
     keep = materialise(keep, "join-kept")
     return rows.join(keep, "__row", "left_semi").drop("__row")

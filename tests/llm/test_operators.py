@@ -164,6 +164,14 @@ def test_op3_keep_one(spark, make_docs):
     assert jaccard_join.report(make_docs(rows).limit(0)).count() == 0
 
 
+def test_op3_keep_one_takes_unrelated_texts_without_id_or_of_one_id_apart(spark, make_docs):
+    alone = [(None, sentence(50, i)) for i in (21, 22, 23)]
+    pair = [(None, sentence(50, 24)), (None, sentence(50, 24))]
+    one_id = [(2, sentence(50, 25)), (2, sentence(50, 26)), (8, sentence(50, 25)), (9, sentence(50, 26))]
+    kept = jaccard_join.keep_one(make_docs(alone + pair + one_id)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted((d or 0, t) for d, t in [*alone, pair[0], *one_id[:2]])
+
+
 def test_op3_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 30)] + [(200, 201), (202, 203), (201, 203)]
     got = {r["uid"]: r["comp"] for r in jaccard_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
