@@ -149,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 25_000, lexicon_bound:
     """Learn the lexicon, then the event weights, from at most ``bound`` labelled rows.
 
     Only ids that are not held out are labelled here. A word or stem enters the lexicon
-    if its documents are toxic far more often than chance allows, given how many are
-    tried; of stems found in the same documents the longest stays.
+    if its documents have over twice the odds of being toxic that all have, and far more
+    often are than chance allows, given how many are tried; of stems found in the same documents the longest stays.
     """
     small_batches(docs.sparkSession)
     marks = F.broadcast(bounded_labels(labels.where(~held_out(F.col("doc_id"))), "toxic", bound))
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 25_000, lexicon_bound:
     tried = max(1, counted.where("toxic + clean >= 3").count())
     a, b = F.col("toxic"), F.col("clean")
     gain = 2 * (a * F.log(a / ((a + b) * base)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - base)))).otherwise(0.0))
-    strong = counted.where(a > 0).withColumn("gain", gain).where((a > 2 * base * (a + b)) & (F.col("gain") > 2 * math.log(tried) + 4))
+    strong = counted.where(a > 0).withColumn("gain", gain).where((a * n_clean > 2 * b * n_toxic) & (F.col("gain") > 2 * math.log(tried) + 4))
     rows = strong.orderBy(F.desc("gain"), "feature").limit(lexicon_bound).collect()
     lexicon = _lexicon([(r["feature"], r["toxic"], r["clean"]) for r in rows], n_toxic, n_clean)
     model = Model(lexicon, [0.0] * FEATURES, 0.0)

@@ -577,6 +577,20 @@ def test_op10_mined_words_stems_and_odd_texts(spark, make_docs):
     assert toxicity.score(df, marks.limit(0)).count() == len(rows)
 
 
+def test_op10_learns_words_where_half_or_more_of_the_labels_are_toxic(spark, make_docs):
+    for toxic in (5, 8):  # of ten
+        rows, labels = [], []
+        for i in range(400):
+            bad = i % 10 < toxic
+            rows.append((i, sentence(30, i) + f" you {'blargh' if bad else VOCABULARY[i % len(VOCABULARY)]}. " + sentence(10, i + 9)))
+            labels.append((i, 1, int(bad)))
+        df, marks = make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        assert "blargh" in toxicity.fit(df, marks).lexicon.words
+        got = {x["doc_id"]: x for x in toxicity.score(df, marks).collect()}
+        right = [got[i]["predicted"] == y for i, _, y in labels if got[i]["held_out"]]
+        assert len(right) > 50 and sum(right) / len(right) > 0.98
+
+
 def test_op10_grammar_marks_scopes():
     g = toxicity.Grammar()
     name = lambda kinds: [n for n, v in zip(toxicity.EVENTS, g.events((k, 1.0) for k in kinds), strict=True) if v]
