@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import materialise, scratch, settle, small_batches, stable_rows
+from logfold.llm.common import fresh, materialise, scratch, settle, small_batches, stable_rows
 
 SHINGLE = 4
 PERCENT = 85
@@ -431,11 +431,12 @@ def keep_one(docs: DataFrame, **options: object) -> DataFrame:
     repeated rows with that id, one does.
     """
     docs = stable_rows(docs)
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = link_components(rows, row=F.col("__row"), **options)
+    row = fresh(docs, "row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    found = link_components(rows, row=F.col(row), **options)
     linked = found.where("n_shingles > 0").withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     part = linked.groupBy("comp", F.pmod("row", F.lit(SALTS)).alias("s")).agg(F.min("key").alias("key"))
     first = part.groupBy("comp").agg(F.min("key").alias("key"))
-    keep = first.select(F.col("key.row").alias("__row")).unionByName(found.where("n_shingles = 0").select(F.col("row").alias("__row")))
+    keep = first.select(F.col("key.row").alias(row)).unionByName(found.where("n_shingles = 0").select(F.col("row").alias(row)))
     keep = materialise(keep, "join-kept")
-    return rows.join(keep, "__row", "left_semi").drop("__row")
+    return rows.join(keep, row, "left_semi").drop(row)

@@ -172,6 +172,11 @@ def test_op3_keep_one_takes_unrelated_texts_without_id_or_of_one_id_apart(spark,
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted((d or 0, t) for d, t in [*alone, pair[0], *one_id[:2]])
 
 
+def test_op3_keep_one_leaves_columns_of_its_own_names(spark, make_docs):
+    kept = jaccard_join.keep_one(make_docs([(1, "a b"), (2, "a b")], extra=["__ROW"]))
+    assert kept.columns[-1] == "__ROW" and [(r["doc_id"], r["__ROW"]) for r in kept.collect()] == [(1, "__ROW")]
+
+
 def test_op3_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 30)] + [(200, 201), (202, 203), (201, 203)]
     got = {r["uid"]: r["comp"] for r in jaccard_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
