@@ -6,14 +6,16 @@ frequent ones by hash. A text's prefix is as long as any partner must reach into
 l - 1 tokens; a pair must then share min(l, l') prefix tokens. Each text takes the l that
 its postings say is cheapest. Candidates are verified on the whole sets.
 
-Links are wanted for components only, so pairs that are already connected are not
-verified: texts are first compared with one leader for each prefix token, the components
-of those links are found, and all pairs between different components follow.
+Texts that share rare prefix tokens only meet pair by pair. Those that share a frequent
+one meet in groups, of which no pairs are made: see ``_grouped_links``. How many texts a
+token may be in to be rare comes from the histogram of the postings.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +29,18 @@ SHINGLE = 4
 PERCENT = 85
 #: Prefixes are lengthened by up to LEVELS - 1 tokens.
 LEVELS = 4
-#: A token in more texts than this comes after all others in the order.
-FREQUENT = 32
+#: Pairs that rare tokens make, for each posting; a token in no more texts than LEAST_FREQUENT is rare anyway.
+PAIRS, LEAST_FREQUENT = 0.25, 8
 SALTS = 64
-BYTES = 5
 #: A set's outline has this many bits, one for each element's hash.
 OUTLINE = 1024
 #: So many tokens beyond the longest prefix are looked at, in case some are frequent.
 SPARE = 16
+#: A group's common tokens are those that one in COMMON of its texts has; so many of its texts share a task.
+COMMON, SHARE = 8, 4096
 
-SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("outline", pa.binary()), ("shingles", pa.binary())])
+SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("outline", pa.binary()), ("head", pa.binary())])
+WHOLE = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("codes", pa.binary())])
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -64,54 +68,55 @@ def prefix_length(n: int, level: int, percent: int = PERCENT) -> int:
     return min(n, n - least_overlap(n, percent) + level)
 
 
-def _stored(codes: np.ndarray) -> bytes:
-    return (codes >> np.uint64(64 - 8 * BYTES)).view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
-
-
-def _loaded(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // BYTES, 8), np.uint8)
-    out[:, :BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, BYTES)
-    return out.view("<u8").ravel()
-
-
 def _outline(codes: np.ndarray) -> bytes:
     bits = np.zeros(OUTLINE, bool)
     bits[(codes & np.uint64(OUTLINE - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
-def _sets(size: int):
+def _head_length(n: int, percent: int) -> int:
+    return prefix_length(n, LEVELS + SPARE, percent)
+
+
+def _sets(size: int, percent: int):
+    """Of every text its set's size, digest, outline and least hashes: enough for the longest prefix, and some more."""
+
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             rows = []
             for uid, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 s = shingles(text, size)
-                rows.append((uid, doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), _outline(s), _stored(s)))
-            if not rows:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SETS, strict=True)], schema=SETS)
+                rows.append((uid, doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), _outline(s), s[: _head_length(len(s), percent)].tobytes()))
+            yield from _batch(rows, SETS)
 
     return run
 
 
-def _tokens(percent: int | None, wanted=None):
-    """Rows of token, uid, i (its place in the set by hash), n and m (how many tokens of the text are looked at).
+def _batch(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    Those are the longest prefix by hash and some more, in case a few are frequent; all
-    tokens without ``percent``. A bitmap ``wanted`` leaves out tokens it doesn't have.
+
+def _codes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _tokens(wanted=None):
+    """Rows of token, uid, i (its place in the set by hash), n and m (how many tokens of the text are given) for uid, n and sorted hashes.
+
+    A bitmap ``wanted`` leaves out tokens it doesn't have.
     """
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             uids, ns = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int32)
-            m = [int(n) if percent is None else prefix_length(int(n), LEVELS + SPARE, percent) for n in ns]
-            sets = [_loaded(v[: k * BYTES]) for v, k in zip(b.column(2).to_pylist(), m, strict=True)]
-            sizes = np.array(m, np.int64)
+            raw = b.column(2).to_pylist()
+            sizes = np.array([len(v) // 8 for v in raw], np.int64)
             if not sizes.sum():
                 continue
-            token = np.concatenate(sets).astype(np.int64)
-            place = np.concatenate([np.arange(k, dtype=np.int32) for k in m])
-            text = np.repeat(np.arange(len(m)), sizes)
+            token = _codes(b"".join(raw)).astype(np.int64)
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+            text = np.repeat(np.arange(len(sizes)), sizes)
             if wanted is not None:
                 have = wanted.value.has(token)
                 token, place, text = token[have], place[have], text[have]
@@ -177,8 +182,8 @@ def _by_salt(left: DataFrame, right: DataFrame, key: str, by: Column, how: str =
     return salted.join(spread, [key, "__s"], how).drop("__s")
 
 
-def _pick(sets: DataFrame, uids: DataFrame) -> DataFrame:
-    """The rows of ``sets`` (uid, ...) for ``uids``, written; a bitmap thins the sets out before the join."""
+def _whole(texts: DataFrame, uids: DataFrame, size: int) -> DataFrame:
+    """uid, n, codes: the whole sets of ``uids``, written; a bitmap thins ``texts`` (uid, text) out before the join."""
     uids = materialise(uids.select("uid").distinct(), "join-uids")
     wanted = _bitmap(uids)
     if wanted is not None:
@@ -187,19 +192,41 @@ def _pick(sets: DataFrame, uids: DataFrame) -> DataFrame:
             for b in parts:
                 yield b.filter(pa.array(wanted.value.has(b.column(0).to_numpy())))
 
-        sets = sets.mapInArrow(thin, sets.schema)
-    return materialise(sets.join(uids, "uid", "left_semi"), "join-sets")
+        texts = texts.mapInArrow(thin, "uid long, text string")
+
+    def cut(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            rows = []
+            for uid, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                s = shingles(text, size)
+                rows.append((uid, len(s), s.tobytes()))
+            yield from _batch(rows, WHOLE)
 
+    return materialise(texts.join(uids, "uid", "left_semi").mapInArrow(cut, "uid long, n long, codes binary"), "join-sets")
 
-def _candidate_prefixes(sets: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
-    """token, uid, rank, n: the longest prefixes (all levels) of texts, less tokens in one text only."""
-    texts = sets.where("n > 0").join(copies, "uid", "left_anti").select("uid", "n", "shingles")
-    counts = materialise(texts.mapInArrow(_tokens(percent), TOKENS).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "join-counts")
+
+def _frequent(counts: DataFrame, postings: int) -> int:
+    """The most texts that a rare token is in: all rare tokens' pairs are at most PAIRS for each posting."""
+    bits = F.length(F.bin(F.col("df") - 1))  # k for 2 ** (k - 1) < df <= 2 ** k
+    pairs, most = 0.0, LEAST_FREQUENT
+    for r in counts.groupBy(bits.alias("k")).agg(F.sum(F.expr("df * (df - 1) / 2")).alias("pairs")).orderBy("k").collect():  # a row for each power of two
+        pairs += r["pairs"]
+        if pairs > PAIRS * postings:
+            break
+        most = max(most, 1 << r["k"])
+    return most
+
+
+def _candidate_prefixes(sets: DataFrame, copies: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
+    """token, uid, rank, n, df: the longest prefixes (all levels) of texts, less tokens in one text only; and the most texts a rare token is in."""
+    heads = sets.where("n > 0").join(copies, "uid", "left_anti").select("uid", "n", "head")
+    counts = materialise(heads.mapInArrow(_tokens(), TOKENS).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "join-counts")
     settle(sets.sparkSession)
-    tokens = texts.mapInArrow(_tokens(percent, _bitmap(counts.select("token"))), TOKENS)
+    most = _frequent(counts, heads.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8)
+    tokens = heads.mapInArrow(_tokens(_bitmap(counts.select("token"))), TOKENS)
     shared = tokens.join(counts, "token")
     grouped = shared.groupBy("uid").agg(
-        F.first("n").alias("n"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("i", "token", (F.col("df") > FREQUENT).alias("hot")))).alias("t")
+        F.first("n").alias("n"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("i", "token", (F.col("df") > most).alias("hot")))).alias("t")
     )
     reach = F.least(F.col("n"), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + LEVELS)
     n_hot = F.size(F.filter("t", lambda x: x["hot"]))
@@ -208,13 +235,13 @@ def _candidate_prefixes(sets: DataFrame, copies: DataFrame, percent: int) -> Dat
     # Enough rare tokens: the prefix is the rare tokens by hash. The ranks count rare tokens only.
     plain = marked.where("NOT short").mapInArrow(_ranked, "token long, uid long, rank int, n int")
     # Else the order needs the whole set, and which of its tokens are frequent.
-    whole = _pick(sets.select("uid", "n", "shingles"), marked.where("short").select("uid"))
-    hot = materialise(counts.where(F.col("df") > FREQUENT).select("token"), "join-hot")
-    flagged = whole.mapInArrow(_tokens(None, _bitmap(hot)), TOKENS).join(hot, "token", "left_semi").groupBy("uid").agg(F.collect_set("token").alias("hot"))
-    full = whole.join(flagged, "uid", "left").select("uid", "n", "shingles", "hot").mapInArrow(_full_prefix(percent), "token long, uid long, rank int, n int")
+    whole = _whole(texts, marked.where("short").select("uid"), size)
+    hot = materialise(counts.where(F.col("df") > most).select("token"), "join-hot")
+    flagged = whole.mapInArrow(_tokens(_bitmap(hot)), TOKENS).join(hot, "token", "left_semi").groupBy("uid").agg(F.collect_set("token").alias("hot"))
+    full = whole.join(flagged, "uid", "left").select("uid", "n", "codes", "hot").mapInArrow(_full_prefix(percent), "token long, uid long, rank int, n int")
     prefixes = materialise(plain.unionByName(full), "join-prefixes")
     again = prefixes.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    return prefixes.join(again, "token")
+    return prefixes.join(again, "token"), most
 
 
 def _ranked(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +270,7 @@ def _full_prefix(percent: int):
         for b in parts:
             rows = []
             for uid, n, raw, hot in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                token = _loaded(raw).astype(np.int64)
+                token = _codes(raw).astype(np.int64)
                 late = np.isin(token, np.array(hot or [], np.int64))
                 order = np.concatenate((token[~late], token[late]))[: prefix_length(n, LEVELS, percent)]
                 rows += [(int(t), uid, k, n) for k, t in enumerate(order)]
@@ -252,11 +279,12 @@ def _full_prefix(percent: int):
     return run
 
 
-def _levels(percent: int):
+def _levels(percent: int, most: int):
     """Choose each text's level and cut its prefix to it.
 
     Level l costs the postings of its prefix, and the verification of as many texts as
-    can share l tokens of it: a l-th of the postings at most.
+    can share l tokens of it: a l-th of the postings at most. A frequent token makes no
+    pairs; it counts like a rare one in ``most`` texts.
     """
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,24 +294,24 @@ def _levels(percent: int):
                 best = None
                 for level in range(1, LEVELS + 1):
                     p = prefix_length(n, level, percent)
-                    postings = sum(x["df"] - 1 for x in t if x["rank"] < p)
+                    postings = sum(min(x["df"], most) - 1 for x in t if x["rank"] < p)
                     cost = postings + postings / level * (4 + n / 100)
                     if best is None or cost < best[0]:
                         best = cost, level, p
-                rows += [(x["token"], uid, x["rank"], n, best[1]) for x in t if x["rank"] < best[2]]
-            token, u, rank, n_, level = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token, pa.int64()), pa.array(u, pa.int64()), pa.array(rank, pa.int32()), pa.array(n_, pa.int32()), pa.array(level, pa.int32())], names=["token", "uid", "rank", "n", "level"]
-            )
+                rows += [(x["token"], uid, x["rank"], n, x["df"], best[1]) for x in t if x["rank"] < best[2]]
+            yield from _batch(rows, POSTED)
 
     return run
 
 
+POSTED = pa.schema([("token", pa.int64()), ("uid", pa.int64()), ("rank", pa.int32()), ("n", pa.int32()), ("df", pa.int64()), ("level", pa.int32())])
+
+
 def _compatible(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold.
 
     First by their outlines: each bit that only one has is an element that only one has,
@@ -301,17 +329,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield p.select([0, 1]).filter(pa.array(keep))
 
     pairs = materialise(drawn.mapInArrow(alike, "a long, b long"), "join-pairs")
-    picked = _pick(sets.select("uid", "n", "shingles"), pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))))
-    one = picked.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    two = picked.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    both = pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "sa", "sb")
+    picked = _whole(texts, pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))), size)
+    return _near(pairs, picked, [], percent)
+
+
+def _near(pairs: DataFrame, sets: DataFrame, within: list[str], percent: int) -> DataFrame:
+    """The pairs (a, b, and the columns ``within`` of a group) whose sets (uid, n, codes) differ little enough to link, written.
+
+    Two texts of n and n' shingles link when no more than (100 - percent) / (100 + percent)
+    of n + n' are in one of them only. That number is the same for the sets themselves and
+    for their differences from a third set; n and n' are those of the texts.
+    """
+    one = sets.select(*within, F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("codes").alias("sb"))
+    two = sets.select(*within, F.col("uid").alias("a"), F.col("n").alias("na"), F.col("codes").alias("sa"))
+    both = pairs.join(one, [*within, "b"]).join(two, [*within, "a"]).select("a", "b", "na", "nb", "sa", "sb")
 
     def verify(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
             keep = []
             for na, nb, sa, sb in zip(*(p.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                shared = len(np.intersect1d(_loaded(sa), _loaded(sb), assume_unique=True))
-                keep.append(100 * shared >= percent * (na + nb - shared))
+                x, y = _codes(sa), _codes(sb)
+                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                keep.append((100 + percent) * apart <= (100 - percent) * (na + nb))
             yield p.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return materialise(both.mapInArrow(verify, "a long, b long"), "join-links")
@@ -338,80 +377,187 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
-def _with_components(posted: DataFrame, label: DataFrame | None) -> DataFrame:
-    if label is None:
-        return posted.withColumn("comp", F.col("uid"))
-    return posted.join(label, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+def _rare_pairs(posted: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share enough prefix tokens, all of them rare.
 
+    The places of a shared token in both orders bound what a pair can share: no more
+    tokens before it than the nearer place, and none after it than the shorter rest.
+    """
+    left = posted.select("token", F.col("uid").alias("u"), F.col("n").alias("nu"), F.col("rank").alias("ru"), F.col("level").alias("lu"))
+    most = F.least("ru", "rank") + F.least(F.col("nu") - F.col("ru"), F.col("n") - F.col("rank"))
+    enough = (100 + percent) * most >= percent * (F.col("nu") + F.col("n"))
+    met = left.join(posted, "token").where((F.col("u") < F.col("uid")) & _compatible("nu", "n", percent) & enough)
+    pairs = met.groupBy(F.col("u").alias("a"), F.col("uid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("lu", "level")).alias("need"))
+    return pairs.where("shared >= need").select("a", "b")
 
-def _open(posted: DataFrame, label: DataFrame | None) -> DataFrame:
-    """The postings, with components, of tokens that texts of two or more components share."""
-    now = _with_components(posted, label)
-    split = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return materialise(now.join(split, "token", "left_semi"), "join-open")
 
+# --- texts that share frequent tokens --------------------------------------------------
 
-def _leader_pairs(now: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each text with its tokens' leaders: of every token, the text that a hash draws."""
-    lead = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), F.col("uid").alias("lead"), F.col("n").alias("n_lead"), F.col("comp").alias("c_lead"))).alias("l"))
-    pairs = now.where("rank < 24").join(lead.select("token", "l.*"), "token").where((F.col("comp") != F.col("c_lead")) & _compatible("n", "n_lead", percent))
-    return pairs.select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
 
+def _first_groups(posted: DataFrame, percent: int) -> DataFrame:
+    """cl, uid: every two texts of compatible sizes that share a token are in one group.
+
+    A token's texts of two neighbouring size bands are a group; groups of a band whose
+    tokens have the same text of least hash are one.
+    """
+    band = F.floor(F.log("n") / math.log(100 / (percent - 0.5)))
+    at = posted.select("token", "uid", F.explode(F.array(band, band + 1)).alias("band"))
+    lead = at.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "uid")).alias("l"), F.count("*").alias("k")).where("k > 1")
+    named = lead.select("token", "band", F.xxhash64("band", "l.uid").alias("cl"))
+    return at.join(named, ["token", "band"]).select("cl", "uid").distinct()
 
-def _all_pairs(now: DataFrame, percent: int) -> DataFrame:
-    """All pairs in different components that share enough prefix tokens.
 
-    Of every token, the texts outside its largest component meet all others.
+def _group_counts(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cl, token and how many sets of the batch have it."""
+    for b in parts:
+        cl, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
+        for c in np.unique(cl):
+            token, f = np.unique(np.concatenate([_codes(raw[i]) for i in np.flatnonzero(cl == c)]), return_counts=True)
+            for at in range(0, len(token), 200_000):
+                part = token[at : at + 200_000].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c)), pa.array(part), pa.array(f[at : at + 200_000].astype(np.int64))], names=["cl", "token", "f"])
+
+
+DIFFERENT = pa.schema([("cl", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("codes", pa.binary())])
+
+
+def _differences(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's difference from its group's middle, the tokens that more than half have; the rarer a difference in the group, the earlier it comes.
+
+    Rows come by group; the group's common tokens (uid null) before its sets.
     """
-    main = now.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    left = now.join(main, "token").where("comp <> main").select("token", F.col("uid").alias("u"), F.col("n").alias("nu"), F.col("level").alias("lu"), F.col("comp").alias("cu"), "main")
-    met = left.join(now.select("token", "uid", "n", "level", "comp"), "token").where((F.col("cu") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("u") < F.col("uid"))) & _compatible("nu", "n", percent))
-    pairs = met.groupBy(F.least("u", "uid").alias("a"), F.greatest("u", "uid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("lu", "level")).alias("need"))
-    return pairs.where("shared >= need").select("a", "b")
+    group, nothing = None, np.zeros(0, np.uint64)
+    for b in parts:
+        rows = []
+        for cl, k, uid, n, raw, shared, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if cl != group:
+                group, common, often, middle = cl, nothing, nothing, nothing
+            if uid is None:
+                common, often = np.array(shared, np.int64).astype(np.uint64), np.array(f, np.int64)
+                order = np.argsort(common)
+                common, often = common[order], often[order]
+                middle = common[2 * often > k]
+                often = np.minimum(often, k - often)
+                continue
+            x = np.setxor1d(_codes(raw), middle, assume_unique=True)
+            at = np.minimum(np.searchsorted(common, x), max(0, len(common) - 1))
+            rare = np.where(common[at] == x, often[at], 0) if len(common) else np.zeros(len(x), np.int64)
+            rows.append((cl, uid, n, len(x), x[np.lexsort((x, rare))].tobytes()))
+        yield from _batch(rows, DIFFERENT)
+
+
+MET = pa.schema([("cl", pa.int64()), ("token", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("probe", pa.bool_())])
+
+
+def _difference_prefixes(percent: int):
+    """The first differences of each text: two texts, one of which isn't linked with the hub, link only if they share one of those.
+
+    With the slack g = (100 + percent) x - (100 - percent) n of a text of n shingles and x
+    differences, two texts link if and only if they share (g + g') / 2 (100 + percent)
+    differences. The hub has the least slack, h: texts with g + h <= 0 link with it, so of
+    any other pair one has g > -h.
+    """
+    up, down = 100 + percent, 100 - percent
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            rows = []
+            for cl, uid, n, x, raw, g, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                probe = g + h > 0
+                shared = max(1, -(-(g + h if probe else g - h + 1) // (2 * up)), x - down * n // percent)
+                rows += [(cl, t, uid, n, x, probe) for t in _codes(raw)[: max(0, x - shared + 1)].astype(np.int64).tolist()]
+            yield from _batch(rows, MET)
+
+    return run
+
 
+def _grouped_links(posted: DataFrame, texts: DataFrame, size: int, percent: int) -> list[DataFrame]:
+    """Links (a, b) that connect all texts which link and share a token of ``posted`` (token, uid, n).
 
-def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, leader_rounds: int = 2, row: Column | None = None) -> DataFrame:
+    The texts of a group are described by their differences from its middle, which are
+    few where the texts are near copies. Two texts differ in x + x' less twice the
+    differences they share, so those with fewest are linked with one text, the hub,
+    without any comparison, and all others must share many differences with a partner:
+    a prefix filter on differences, rare ones first, finds candidates. Texts that share
+    a difference which is still frequent are a group again; as the middle is what most
+    have, it is at most half as large, so this ends.
+    """
+    members = materialise(_first_groups(posted, percent), "join-members")
+    if members.isEmpty():
+        return []
+    spark, links = posted.sparkSession, []
+    whole = _whole(texts, members, size)
+    while True:
+        sizes = members.groupBy("cl").agg(F.count("*").alias("k"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("k > 1")
+        rows = members.join(sizes, "cl").join(whole, "uid").select("cl", "k", F.pmod(F.xxhash64("uid"), "shares").cast("int").alias("s"), "uid", "n", "codes")
+        rows = materialise(rows, "join-grouped")
+        counts = rows.select("cl", "codes").mapInArrow(_group_counts, "cl long, token long, f long").groupBy("cl", "token").agg(F.sum("f").alias("f"))
+        common = counts.join(sizes, "cl").where(F.col("f") * COMMON >= F.col("k")).groupBy("cl", "k", "shares").agg(F.collect_list("token").alias("common"), F.collect_list("f").alias("f"))
+        heads = common.select("cl", "k", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("s"), F.lit(None).cast("long").alias("uid"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("codes"), "common", "f")
+        both = rows.withColumn("common", F.lit(None).cast("array<long>")).withColumn("f", F.lit(None).cast("array<long>")).unionByName(heads)
+        both = both.repartition("cl", "s").sortWithinPartitions("cl", "s", F.col("uid").asc_nulls_first())
+        apart = materialise(both.select("cl", "k", "uid", "n", "codes", "common", "f").mapInArrow(_differences, "cl long, uid long, n long, x long, codes binary"), "join-apart")
+        slack = apart.withColumn("g", (100 + percent) * F.col("x") - (100 - percent) * F.col("n"))
+        hubs = slack.groupBy("cl").agg(F.min(F.struct("g", "uid")).alias("hub"))
+        slack = slack.join(hubs, "cl").withColumn("h", F.col("hub.g"))
+        links.append(materialise(slack.where((F.col("g") + F.col("h") <= 0) & (F.col("uid") != F.col("hub.uid"))).select(F.col("uid").alias("a"), F.col("hub.uid").alias("b")), "join-hubs"))
+        first = materialise(slack.select("cl", "uid", "n", "x", "codes", "g", "h").mapInArrow(_difference_prefixes(percent), "cl long, token long, uid long, n long, x long, probe boolean"), "join-differences")
+        shared = materialise(first.groupBy("cl", "token").agg(F.count("*").alias("df"), F.max("probe").alias("probed")).where("df > 1 AND probed"), "join-shared")
+        most = _frequent(shared, first.count())
+        rare = first.join(shared.where(F.col("df") <= most).select("cl", "token"), ["cl", "token"])
+        one = rare.where("probe").select("cl", "token", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"))
+        two = rare.select("cl", "token", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"), "probe")
+        fits = (100 + percent) * F.abs(F.col("xa") - F.col("xb")) <= (100 - percent) * (F.col("na") + F.col("nb"))
+        pairs = one.join(two, ["cl", "token"]).where((F.col("a") != F.col("b")) & (~F.col("probe") | (F.col("a") < F.col("b"))) & _compatible("na", "nb", percent) & fits)
+        pairs = materialise(pairs.select("cl", "a", "b").distinct(), "join-pairs")
+        links.append(_near(pairs, apart, ["cl"], percent))
+        settle(spark)
+        hot = first.join(shared.where(F.col("df") > most).select("cl", "token"), ["cl", "token"])
+        members = materialise(hot.select(F.xxhash64("cl", "token").alias("cl"), "uid"), "join-members")
+        if members.isEmpty():
+            return links
+
+
+def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, row: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, row and comp for every row of ``docs`` (doc_id, text).
 
-    ``row`` numbers the rows, all different; without it they get numbers of their own.
-    comp is the number of one row of the component, never null: only components have it
-    in common, while unrelated texts without id, or of one id, may share a component_id.
+    ``row`` numbers the rows, all different and the same whenever ``docs`` is read;
+    without it they get numbers of their own. comp is the number of one row of the
+    component, never null: only components have it in common, while unrelated texts
+    without id, or of one id, may share a component_id.
 
     Rows whose shingle sets are equal form one class; classes are joined. component_id is
     the smallest doc_id that links reach, the row's own included. Null, empty and blank
     texts have no shingles and link with nothing; rows without an id link, and their
     component is null if no row of it has one; repeated rows are one class; an empty
-    table gives no rows; extra columns are dropped. Sets are compared by 40-bit hashes.
+    table gives no rows; extra columns are dropped. Sets are compared by 64-bit hashes.
     """
+    if row is None:
+        docs, row = stable_rows(docs.select("doc_id", "text")), F.monotonically_increasing_id()
     with scratch(docs.sparkSession):
-        return materialise(_linked(docs, size, percent, leader_rounds, F.monotonically_increasing_id() if row is None else row), "join-rows")
+        return materialise(_linked(docs, size, percent, row), "join-rows")
 
 
-def _linked(docs: DataFrame, size: int, percent: int, leader_rounds: int, row: Column) -> DataFrame:
+def _linked(docs: DataFrame, size: int, percent: int, row: Column) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark, 256)
-    sets = materialise(docs.select(row.alias("uid"), "doc_id", "text").mapInArrow(_sets(size), "uid long, doc_id long, n long, sig binary, outline binary, shingles binary"), "join-all")
+    texts = docs.select(row.alias("uid"), "text")
+    sets = materialise(docs.select(row.alias("uid"), "doc_id", "text").mapInArrow(_sets(size, percent), "uid long, doc_id long, n long, sig binary, outline binary, head binary"), "join-all")
     members = sets.select("uid", "doc_id", "n", "sig")
     part = members.where("n > 0").groupBy("sig", F.pmod("uid", F.lit(SALTS)).alias("s")).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low_id"))
     classes = materialise(part.groupBy("sig").agg(F.min("uid").alias("rep"), F.min("low_id").alias("low_id"), F.collect_list("s").alias("salts")), "join-classes")
     keys = classes.select("sig", "rep", F.explode("salts").alias("s"))
     copies = materialise(members.withColumn("s", F.pmod("uid", F.lit(SALTS))).join(keys, ["sig", "s"]).where("uid <> rep").select("uid"), "join-copies")
-    posted = _candidate_prefixes(sets, copies, percent)
-    texts = posted.groupBy("uid").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "rank", "df")).alias("t"))
-    posted = materialise(texts.mapInArrow(_levels(percent), "token long, uid long, rank int, n int, level int"), "join-postings")
+    found, most = _candidate_prefixes(sets, copies, texts, size, percent)
+    grouped = found.groupBy("uid").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "rank", "df")).alias("t"))
+    posted = materialise(grouped.mapInArrow(_levels(percent, most), "token long, uid long, rank int, n int, df long, level int"), "join-postings")
+    settle(spark)
+    links = [_verified(_rare_pairs(posted.where(F.col("df") <= most), percent), sets, texts, size, percent)]
+    links += _grouped_links(posted.where(F.col("df") > most), texts, size, percent)
+    label = components(reduce(DataFrame.unionByName, links))
     settle(spark)
-    label = links = None
-    for turn in range(leader_rounds + 1):
-        now = _open(posted, label)
-        if now.isEmpty():
-            break
-        pairs = _leader_pairs(now, turn, percent) if turn < leader_rounds else _all_pairs(now, percent)
-        more = _verified(pairs, sets, percent)
-        links = more if links is None else links.unionByName(more)
-        label = components(links)
-        settle(spark)
     ids = classes.select("sig", F.col("rep").alias("uid"), "low_id")
-    ids = ids.withColumn("comp", F.col("uid")) if label is None else ids.join(label, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    ids = ids.join(label, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
     least = ids.groupBy("comp").agg(F.min("low_id").alias("component"))
     labelled = _by_salt(ids.select("sig", "comp", "uid"), least, "comp", F.col("uid")).select("sig", "comp", "component")
     rows = _by_salt(members.where("n > 0"), labelled, "sig", F.col("uid")).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("uid").alias("row"), "comp")

@@ -141,8 +141,11 @@ def near(base, edits, seed):
     return " ".join(w)
 
 
-def test_op3_a_large_cluster_with_links_only_between_some(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 6)
+@pytest.mark.parametrize(("pairs", "least"), [(0.25, 8), (0.0, 2)])
+def test_op3_a_large_cluster_with_links_only_between_some(spark, make_docs, monkeypatch, pairs, least):
+    monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", least)
+    monkeypatch.setattr(jaccard_join, "SHARE", 7)
     base, passage = sentence(120, 11), sentence(60, 12)
     rows = [(1000 - i, near(base, r.randrange(6), i)) for i, r in ((i, random.Random(i)) for i in range(60))]
     rows += [(2000 + i, passage + " " + sentence(15 + i, 100 + i)) for i in range(25)]
