@@ -44,12 +44,38 @@ class Config:
         return min(5, self.replicas if self.replicas > 0 else self.shards // 2 + 1)
 
 
+#: Settings by the section of a file that they may stand in, under their name there.
+SECTIONS = {
+    "replication_log": {"shards": "shards", "max_entries": "max_entries", "replicas": "replicas", "compress": "compress", "update_existing": None},
+    "snapshot": {"enabled": "snapshots", "interval": "snapshot_interval_ms", "interval_ms": "snapshot_interval_ms"},
+    "stream": {"prefix": "stream_prefix"},
+}
+
+
 def load(path: str | Path | None = None) -> Config:
-    """A flat TOML file's values over the defaults; a missing file gives the defaults, an unknown key an error."""
+    """A TOML file's values over the defaults, flat or in sections.
+
+    A missing file gives the defaults; an unknown key or section, or a value of another
+    type, is an error.
+    """
     if path is None or not Path(path).exists():
         return Config()
-    said = tomllib.loads(Path(path).read_text())
-    unknown = set(said) - {f.name for f in fields(Config)}
+    said, flat = tomllib.loads(Path(path).read_text()), {}
+    names, unknown = {f.name: type(f.default) for f in fields(Config)}, []
+    for key, value in said.items():
+        if isinstance(value, dict) and key in SECTIONS:
+            for name, inner in value.items():
+                if name not in SECTIONS[key]:
+                    unknown.append(f"{key}.{name}")
+                elif SECTIONS[key][name]:
+                    flat[SECTIONS[key][name]] = inner
+        elif key in names:
+            flat[key] = value
+        else:
+            unknown.append(key)
     if unknown:
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
-    return replace(Config(), **said)
+    wrong = [k for k, v in flat.items() if type(v) is not names[k]]
+    if wrong:
+        raise ValueError(f"settings of another type: {', '.join(sorted(wrong))}")
+    return replace(Config(), **flat)

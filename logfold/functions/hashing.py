@@ -37,11 +37,15 @@ def _head(major: int, n: Column) -> Column:
     )
 
 
-def _text(said: str) -> Column:
+def _text(said: str) -> bytes:
     raw = said.encode()
     n = len(raw)
     head = bytes([0x60 + n]) if n < 24 else bytes([0x78, n]) if n < 256 else bytes([0x79]) + n.to_bytes(2, "big")
-    return F.unhex(F.lit((head + raw).hex()))
+    return head + raw
+
+
+def _constant(data: bytes) -> Column:
+    return F.unhex(F.lit(data.hex()))
 
 
 def cbor(value: Column, kind: T.DataType) -> Column:
@@ -60,25 +64,45 @@ def cbor(value: Column, kind: T.DataType) -> Column:
     return F.when(value.isNull(), _byte(0xF6)).otherwise(out)
 
 
-def key_bytes(table: str, key: dict[str, tuple[Column, T.DataType]]) -> Column:
-    parts = [_byte(0x9F), _text(table)]
+def _parts(table: str, key: dict[str, tuple[Column, T.DataType]]) -> tuple[bytes, list[Column]]:
+    """The bytes of a key that are the same for all rows, from the start, and the expressions of the rest."""
+    fixed, parts = b"\x9f" + _text(table), []
     for name in sorted(key):
-        parts += [_byte(0x82), _text(name), cbor(*key[name])]
-    return F.concat(*parts, _byte(0xFF))
+        said = b"\x82" + _text(name)
+        if parts:
+            parts.append(_constant(said))
+        else:
+            fixed += said
+        parts.append(cbor(*key[name]))
+    return (fixed, [*parts, _byte(0xFF)]) if parts else (fixed + b"\xff", [])
+
+
+def key_bytes(table: str, key: dict[str, tuple[Column, T.DataType]]) -> Column:
+    fixed, parts = _parts(table, key)
+    return F.concat(_constant(fixed), *parts)
+
+
+def key_hash(table: str, key: dict[str, tuple[Column, T.DataType]]) -> Column:
+    """``fnv1`` of ``key_bytes``; what all rows have in common is hashed once, in the plan."""
+    fixed, parts = _parts(table, key)
+    return fnv1(F.concat(*parts) if parts else _constant(b""), fnv1_of(fixed))
+
 
+def fnv1(data: Column, seed: int = SEED_HI << 32 | SEED_LO) -> Column:
+    """struct(hi, lo): the two 32-bit limbs of the FNV-1 hash of a binary column, from ``seed`` on."""
+    start = F.struct(F.lit(seed >> 32).cast("long").alias("hi"), F.lit(seed & LIMB).cast("long").alias("lo"))
 
-def fnv1(data: Column) -> Column:
-    """struct(hi, lo): the two 32-bit limbs of the FNV-1 hash of a binary column."""
-    digits = F.hex(data)
+    def hashed(digits: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            byte = F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+            low = s["lo"] * PRIME_LOW
+            hi = (s["hi"] * PRIME_LOW + F.shiftright(low, 32) + F.shiftleft(s["lo"], 8)).bitwiseAND(LIMB)
+            return F.struct(hi.alias("hi"), low.bitwiseAND(LIMB).bitwiseXOR(byte).alias("lo"))
 
-    def step(s: Column, i: Column) -> Column:
-        byte = F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long")
-        low = s["lo"] * PRIME_LOW
-        hi = (s["hi"] * PRIME_LOW + F.shiftright(low, 32) + F.shiftleft(s["lo"], 8)).bitwiseAND(LIMB)
-        return F.struct(hi.alias("hi"), low.bitwiseAND(LIMB).bitwiseXOR(byte).alias("lo"))
+        return F.when(F.length(digits) > 0, F.aggregate(F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")), start, step)).when(digits.isNotNull(), start)
 
-    seed = F.struct(F.lit(SEED_HI).cast("long").alias("hi"), F.lit(SEED_LO).cast("long").alias("lo"))
-    return F.aggregate(F.sequence(F.lit(1), F.octet_length(data)), seed, step)
+    # A lambda's variable is evaluated once; an expression inside the inner lambda would be for each byte.
+    return F.transform(F.array(F.hex(data)), hashed)[0]
 
 
 def shard_of(hash_: Column, shards: int) -> Column:
@@ -89,7 +113,7 @@ def shard_of(hash_: Column, shards: int) -> Column:
 
 
 def fnv1_of(data: bytes) -> int:
-    """The same hash in Python, for configuration values such as a node's id."""
+    """The same hash in Python, for what is known in the plan and for settings such as a node's id."""
     h = SEED_HI << 32 | SEED_LO
     for b in data:
         h = (h * ((1 << 40) + PRIME_LOW)) % (1 << 64) ^ b

@@ -6,8 +6,11 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
+from threading import Event, Thread
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,3 +78,20 @@ class FileLease:
 
     def refresh_every_ms(self) -> int:
         return self.ttl_ms // 2
+
+    @contextmanager
+    def kept(self) -> Iterator[None]:
+        """Refreshes the lease, which this node has, at half its time-to-live while the body runs."""
+        over = Event()
+
+        def refresh() -> None:
+            while not over.wait(self.refresh_every_ms() / 1000):
+                self.acquire()
+
+        thread = Thread(target=refresh, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            over.set()
+            thread.join()

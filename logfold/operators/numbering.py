@@ -16,9 +16,28 @@ def _bucket(order: str, width: int) -> Column:
     return F.floor(F.col(order) / width).cast("long")
 
 
-def _before(summary: DataFrame, by: list[str]) -> Window:
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join that takes null keys for equal."""
+    there = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    return left.join(there, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]).drop(*(f"__r_{k}" for k in keys))
+
+
+def _earlier(buckets: DataFrame, by: list[str], name: str, value: str, fold, none: Column) -> DataFrame:
+    """Adds ``name``: ``fold`` of ``value`` over the buckets before, within ``by``.
+
+    In two levels: buckets inside a group of WIDTH neighbours, and one row for each group,
+    so that a task sees one in WIDTH ** 2 of a log's rows.
+    """
+    grouped = buckets.withColumn("__g", _bucket("__b", WIDTH))
+    over = lambda keys, order: Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy(*by, "__g").agg(fold(value).alias("__v"))
+    before = groups.select(*by, "__g", fold("__v").over(over(by, "__g")).alias("__outer"))
+    inner = grouped.withColumn("__inner", fold(value).over(over([*by, "__g"], "__b")))
+    return _on(inner, before, [*by, "__g"]).select(*buckets.columns, _both(F.col("__outer"), F.col("__inner"), fold, none).alias(name))
+
+
+def _both(outer: Column, inner: Column, fold, none: Column) -> Column:
+    return F.coalesce(outer, none) + F.coalesce(inner, none) if fold is F.sum else F.coalesce(inner, outer)
 
 
 def numbered(df: DataFrame, order: str, name: str, by: list[str] | None = None, width: int = WIDTH) -> DataFrame:
@@ -26,9 +45,9 @@ def numbered(df: DataFrame, order: str, name: str, by: list[str] | None = None,
     by = by or []
     cut = df.withColumn("__b", _bucket(order, width))
     counts = cut.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
-    bases = counts.select(*by, "__b", F.coalesce(F.sum("__n").over(_before(counts, by)), F.lit(0)).alias("__base"))
+    bases = _earlier(counts, by, "__base", "__n", F.sum, F.lit(0)).drop("__n")
     inside = Window.partitionBy(*by, "__b").orderBy(order)
-    out = cut.withColumn("__i", F.row_number().over(inside)).join(bases, [*by, "__b"])
+    out = _on(cut.withColumn("__i", F.row_number().over(inside)), bases, [*by, "__b"])
     return out.select(*df.columns, (F.col("__base") + F.col("__i")).cast("long").alias(name))
 
 
@@ -37,7 +56,7 @@ def with_previous(df: DataFrame, order: str, value: str, name: str, by: list[str
     by = by or []
     cut = df.withColumn("__b", _bucket(order, width))
     last = cut.groupBy(*by, "__b").agg(F.max(F.struct(order, value)).alias("__last"))
-    earlier = last.select(*by, "__b", F.max("__last").over(_before(last, by))[value].alias("__edge"))
+    earlier = _earlier(last, by, "__edge", "__last", F.max, F.lit(None)).select(*by, "__b", F.col("__edge")[value].alias("__edge"))
     inside = Window.partitionBy(*by, "__b").orderBy(order)
-    out = cut.withColumn("__p", F.lag(value).over(inside)).withColumn("__i", F.row_number().over(inside)).join(earlier, [*by, "__b"])
+    out = _on(cut.withColumn("__p", F.lag(value).over(inside)).withColumn("__i", F.row_number().over(inside)), earlier, [*by, "__b"])
     return out.select(*df.columns, F.when(F.col("__i") == 1, F.col("__edge")).otherwise(F.col("__p")).alias(name))

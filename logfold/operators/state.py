@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.changes import DELETE
+from logfold.changes import DELETE, checked_type
 
 
 def last_writer(changes: DataFrame, key: tuple[str, ...], order: str = "gid") -> DataFrame:
@@ -24,11 +24,12 @@ def apply(base: DataFrame, changes: DataFrame, key: tuple[str, ...], order: str
 
     ``guard`` names a column that tells captured rows (base) from applied ones (applied),
     so that applied rows are not captured again. A null-safe full outer join on the key.
+    An unknown or null type is an error.
     """
     won = last_writer(changes, key, order)
     names = [c for c in base.columns if c != guard]
     left = base.select(*(F.col(c).alias(f"b_{c}") for c in names), F.lit(True).alias("__there"))
-    right = won.select(*(F.col(c).alias(f"c_{c}") for c in names), F.col("type").alias("__op"))
+    right = won.select(*(F.col(c).alias(f"c_{c}") for c in names), checked_type(F.col("type")).alias("__op"))
     both = left.join(right, [F.col(f"b_{k}").eqNullSafe(F.col(f"c_{k}")) for k in key], "full_outer")
     applied = F.col("__op").isNotNull()
     out = both.where(~applied | (F.col("__op") != DELETE))

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logfold import changes as ch
-from logfold.functions.hashing import fnv1, key_bytes, shard_of
+from logfold.functions.hashing import key_hash, shard_of
 from logfold.operators import lease, logs, state
 from logfold.operators.numbering import numbered, with_previous
 from logfold.plans import oracles
 from logfold.plans.oracles import CUTOFF, HALF, IDLE_MS, INTERVAL_MS, LEASE_ATTEMPTS, NAMES, RETAINED, SHARDS
 from logfold.sources.tables import event_changes, load, order_changes
+from logfold.store import Folder, Store, work_dir
 from logfold.spec import OWN_PREFIX, columns_of, is_user_table, may_be_watched, spec_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +45,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _key_hash(df: DataFrame) -> DataFrame:
-    return df.withColumn("h", fnv1(key_bytes("events", {"user_id": (F.col("pk"), T.LongType())})))
+    return df.withColumn("h", key_hash("events", {"user_id": (F.col("pk"), T.LongType())}))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ def q06_global_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q07_fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = ch.to_log(event_changes(spark, sf_dir).select(F.col("gid").alias("id"), *LOGGED, "type"), LOGGED)
-    ids = event_changes(spark, sf_dir).where(F.col("gid") % 97 == 0).select(F.col("gid").alias("id"))
+    ids = event_changes(spark, sf_dir).where(F.col("state") == ch.PENDING).select(F.col("gid").alias("id"))
     return ch.from_log(log, ids)
 
 
@@ -207,10 +208,17 @@ def q22_snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q23_restore_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node that failed takes the latest snapshot and reads the log on from the snapshot's position."""
     c = event_changes(spark, sf_dir).select("pk", "gid", "type", "value", "props", "node_id")
-    cut = _last_point(spark, sf_dir)
-    snapshot = state.state_of(c.where(F.col("gid") <= cut), KEY)
-    return state.apply(snapshot, c.where(F.col("gid") > cut), KEY, guard=None)
+    cut = c.select(_last_point(spark, sf_dir).alias("at")).first()
+    lead, late = (Store(spark, work_dir(spark, name)) for name in ("lead", "late"))
+    to = work_dir(spark, "snapshot")
+    lead.commit(state.state_of(c.where(F.col("gid") <= (cut["at"] if cut else -1)), KEY), {1: cut["at"] if cut else -1}, lead.manifest())
+    lead.save_snapshot(to)
+    at = late.restore_snapshot(to).positions[1]
+    lead.folder.delete()
+    Folder(spark, to).delete()
+    return state.apply(late.read(), c.where(F.col("gid") > at), KEY, guard=None)
 
 
 @query

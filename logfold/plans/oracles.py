@@ -70,7 +70,7 @@ def all_sql() -> dict[str, str]:
             FROM orders b FULL OUTER JOIN a ON a.o_orderkey = b.o_orderkey
             WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.o_totalprice IS DISTINCT FROM b.o_totalprice""",
         "q06_global_log": f"WITH {CHG} SELECT row_number() OVER (ORDER BY gid) AS id, gid AS change_table_id, table_name, created_at FROM chg",
-        "q07_fetch_rows": f"WITH {CHG} SELECT pk, value, props, type FROM chg WHERE gid % 97 = 0",
+        "q07_fetch_rows": f"WITH {CHG} SELECT pk, value, props, type FROM chg WHERE state = 0",
         "q08_mark_published": f"""WITH {CHG}, m AS (SELECT gid, CASE WHEN gid <= (SELECT count(*) // 2 FROM chg) THEN 1 ELSE 0 END AS state FROM chg)
             SELECT state, count(*) AS n, count(*) FILTER (state = 0) AS global_rows, min(gid) AS first_gid FROM m GROUP BY state""",
         "q09_cleanup": f"WITH {BOTH} SELECT coalesce(table_name, '(all)') AS table_name, count(*) AS removed FROM both_logs WHERE state = 1 AND created_at <= {CUTOFF} GROUP BY ROLLUP (table_name)",

@@ -1,4 +1,6 @@
+import random
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import types as T
@@ -46,17 +48,16 @@ def test_a_failure_between_write_and_commit_loses_nothing(spark, replication, mo
     r = replication
     rep.publish(r, spark.createDataFrame([(1, "insert", 1, "a"), (2, "insert", 2, "b")], ROWS))
     log = spark.read.parquet(r.log)
-    real = Store.commit
+    real = Store._put
 
-    def fails(self, rows, positions, expected):
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={expected.version + 1}")
+    def fails(self, new, expected, name):
         raise OSError("lost")
 
-    monkeypatch.setattr(Store, "commit", fails)
+    monkeypatch.setattr(Store, "_put", fails)
     with pytest.raises(OSError, match="lost"):
         rep.apply_batch(r, log)
     assert Store(spark, r.state).read() is None
-    monkeypatch.setattr(Store, "commit", real)
+    monkeypatch.setattr(Store, "_put", real)
     rep.apply_batch(r, log)
     assert state_of(spark, r) == [(1, "a"), (2, "b")]
 
@@ -104,6 +105,123 @@ def test_commits_refuse_a_second_writer_and_vacuum(spark, tmp_path):
     assert store.vacuum(keep=1) == [1]
 
 
+def test_two_writers_of_one_version_leave_the_first_ones_rows(spark, tmp_path):
+    one, two = (Store(spark, f"{tmp_path}/s") for _ in range(2))
+    start = one.commit(spark.range(1), {1: 1}, one.manifest())
+    names = [one._write(spark.range(n), 2) for n in (5, 7)]
+    kept = one._put(Manifest(2, {1: 2}, names[0]), start, names[0])
+    two.manifest = lambda: start  # it looked before the first one was done
+    with pytest.raises(RuntimeError, match="another writer"):
+        two._put(Manifest(2, {1: 3}, names[1]), start, names[1])
+    assert one.manifest() == kept and one.read().count() == 5 and names[1] not in one.folder.names()
+
+
+def test_a_restored_state_reads_on_from_the_snapshots_position(spark, replication, tmp_path):
+    r, to = replication, f"{tmp_path}/snapshot"
+    rep.publish(r, spark.createDataFrame([(i, "insert", i, "a") for i in range(20)], ROWS))
+    rep.apply_batch(r, spark.read.parquet(r.log))
+    store = Store(spark, r.state)
+    store.save_snapshot(to)
+    rep.publish(r, spark.createDataFrame([(30, "delete", 3, None), (31, "update", 4, "b"), (29, "insert", 50, "c")], ROWS))
+    rep.apply_batch(r, spark.read.parquet(r.log))
+    want, at = state_of(spark, r), store.manifest()
+    with pytest.raises(ValueError, match="older"):
+        store.restore_snapshot(to)
+    assert store.manifest() == at and len(at.deltas) == 1
+    from dataclasses import replace
+
+    other = replace(r, state=f"{tmp_path}/other")
+    restored = Store(spark, other.state).restore_snapshot(to)
+    assert sum(restored.positions.values()) == 20 and len(state_of(spark, other)) == 20
+    rep.apply_batch(other, spark.read.parquet(r.log))
+    assert state_of(spark, other) == want
+
+
+def test_deltas_and_rewritten_states_are_the_same(spark, replication, tmp_path):
+    from dataclasses import replace
+
+    rng = random.Random(5)
+    often, seldom = replace(replication, deltas=1), replace(replication, state=f"{tmp_path}/other", deltas=50)
+    for batch in range(5):
+        rows = [(batch * 20 + i, rng.choice(["insert", "update", "delete"]), rng.randrange(15), rng.choice([None, f"t{batch}-{i}"])) for i in range(20)]
+        rep.publish(replication, spark.createDataFrame(rows, ROWS))
+        for r in (often, seldom):
+            rep.apply_batch(r, spark.read.parquet(r.log))
+    assert state_of(spark, often) == state_of(spark, seldom)
+    assert len(Store(spark, seldom.state).manifest().deltas) == 4
+
+
+def test_late_and_repeated_changes_are_published_once(spark, replication):
+    r = replication
+    rep.publish(r, spark.createDataFrame([(10, "insert", 1, "a"), (20, "insert", 2, "b")], ROWS))
+    rep.publish(r, spark.createDataFrame([(5, "insert", 3, "late"), (10, "insert", 1, "a"), (15, "insert", 4, "late too")], ROWS))
+    rep.publish(r, spark.createDataFrame([], ROWS))
+    rep.publish(r, spark.createDataFrame([(20, "insert", 2, "b")], ROWS))
+    log = spark.read.parquet(r.log)
+    assert sorted(x["gid"] for x in log.collect()) == [5, 10, 15, 20]
+    assert log.select("shard", "seq").distinct().count() == 4
+
+
+@pytest.mark.parametrize("bad", [None, "merge"])
+def test_a_change_without_a_known_type_is_not_applied(spark, replication, bad):
+    rep.publish(replication, spark.createDataFrame([(1, "insert", 1, "a"), (2, bad, 2, "b")], ROWS))
+    with pytest.raises(Exception, match="unknown change type"):
+        rep.apply_batch(replication, spark.read.parquet(replication.log))
+    assert Store(spark, replication.state).manifest() == Manifest()
+
+
+def test_a_node_publishes_applies_snapshots_restores_and_sleeps(spark, replication, tmp_path):
+    from dataclasses import replace
+
+    from logfold.streaming.node import RESTORE, Node
+    from logfold.streaming.schedule import CLEANUP, SLEEP, SNAPSHOT
+
+    now = [0]
+    schema = T.StructType.fromDDL(ROWS)
+    config = Config(node_id=7, shards=1, max_entries=30, cleanup_interval_ms=1000, sleep_timeout_ms=5000, polling_interval_ms=1)
+    (tmp_path / "captured").mkdir()
+
+    def node(name, **options):
+        r = replace(replication, state=f"{tmp_path}/{name}", checkpoints=f"{tmp_path}/c-{name}")
+        return Node(spark, r, replace(config, **options), f"{tmp_path}/captured", schema, f"{tmp_path}/snapshot", FileLease(tmp_path, "snapshot", 7), lambda: now[0])
+
+    def capture(low, high):
+        spark.createDataFrame([(i, "insert", i % 40, f"v{i}") for i in range(low, high)], ROWS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/captured")
+
+    lead = node("lead")
+    assert lead.step() == []
+    capture(0, 20)
+    assert lead.step() == [] and len(state_of(spark, lead.replication)) == 20
+    capture(20, 60)
+    assert lead.step() == [SNAPSHOT] and Store(spark, f"{tmp_path}/snapshot").manifest().positions == {1: 60}
+    now[0] = 1000
+    assert lead.step() == [CLEANUP] and lead.metrics.values == {"applied": 60, "retired": 1}
+    late = node("late", publish=False)
+    assert late.step() == [RESTORE] and state_of(spark, late.replication) == state_of(spark, lead.replication)
+    now[0] = 9000
+    assert lead.run() == [CLEANUP, SNAPSHOT, SLEEP]
+    lead.stop()
+    assert lead.run() == []
+
+
+def test_steps_are_tried_seven_times():
+    from logfold.streaming.node import tried
+
+    calls = []
+
+    def fails():
+        calls.append(1)
+        if len(calls) % 7:
+            raise OSError("down")
+        return "up"
+
+    assert tried(fails) == "up" and len(calls) == 7
+    calls.clear()
+    with pytest.raises(OSError):
+        tried(fails, attempts=6)
+    assert len(calls) == 6
+
+
 def test_sqlite_source_reads_batches_and_streams(spark, tmp_path):
     path = str(tmp_path / "books.db")
     db = sqlite3.connect(path)
@@ -139,9 +257,13 @@ def test_specs_types_and_configuration(spark, tmp_path):
     (tmp_path / "c.toml").write_text("shards = 8\nmax_entries = 1024\nnode_id = 4\n")
     c = load(tmp_path / "c.toml")
     assert (c.snapshot_every, c.log_replicas, c.node) == (128, 5, 4)
-    (tmp_path / "bad.toml").write_text("shard = 8\n")
-    with pytest.raises(ValueError, match="unknown"):
-        load(tmp_path / "bad.toml")
+    (tmp_path / "s.toml").write_text("node_id = 4\n[replication_log]\nshards = 8\n[snapshot]\nenabled = false\ninterval = 90\n[stream]\nprefix = 'p'\n")
+    c = load(tmp_path / "s.toml")
+    assert (c.shards, c.snapshots, c.snapshot_interval_ms, c.stream_prefix, c.snapshot_every) == (8, False, 90, "p", 0)
+    for bad, why in (("shard = 8", "unknown"), ("[snapshot]\nx = 1", "snapshot.x"), ("[other]\nx = 1", "other"), ("shards = '8'", "another type")):
+        (tmp_path / "bad.toml").write_text(bad)
+        with pytest.raises(ValueError, match=why):
+            load(tmp_path / "bad.toml")
 
 
 def test_file_lease(tmp_path):
@@ -149,6 +271,11 @@ def test_file_lease(tmp_path):
     assert a.acquire(0) and not b.acquire(5_000) and a.acquire(6_000)
     assert not b.acquire(15_999) and b.acquire(16_000) and not a.acquire(17_000)
     assert a.refresh_every_ms() == 5_000
+    short = FileLease(tmp_path, "short", 1, ttl_ms=200)
+    assert short.acquire()
+    with short.kept():
+        time.sleep(0.6)
+        assert not FileLease(tmp_path, "short", 2, ttl_ms=200).acquire()
 
 
 def test_entry_imports_without_the_training_data_subpackage(spark, tmp_path):
@@ -194,7 +321,9 @@ def test_schedule():
 
 
 def test_metrics(spark):
-    from logfold.telemetry import Metrics, observed
+    from urllib.request import urlopen
+
+    from logfold.telemetry import Metrics, observed, serve
 
     df, seen = observed(spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "gid long, state int"))
     df.collect()
@@ -204,3 +333,8 @@ def test_metrics(spark):
     m.add("published")
     m.took("scan", 5)
     assert m.values == {"published": 3} and m.durations == {"scan": {3: 1}}
+    assert 'logfold_scan_ms_bucket{le="7"} 1' in m.exposition()
+    server = serve(m)
+    with urlopen(f"http://127.0.0.1:{server.server_port}/metrics") as said:
+        assert said.read().decode() == m.exposition()
+    server.shutdown()
