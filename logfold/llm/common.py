@@ -54,6 +54,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the work folders of earlier operators; their results must be written by now."""
     for path in _made.pop(spark.sparkContext.applicationId, []):
@@ -91,8 +96,13 @@ def settle(spark: SparkSession) -> None:
 def stable_rows(df: DataFrame) -> DataFrame:
     """``df``, or a written copy unless its rows come straight from files.
 
-    Only then does every pass over it see the same partitions, in the same order.
+    Only then does every pass over it see the same partitions, in the same order. How
+    files are split may depend on the cores there are, which change when executors are
+    lost: from here on the session keeps to those of now, unless it has a number already.
     """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
     plan = df._jdf.queryExecution().optimizedPlan()
     while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
         plan = plan.children().head()

@@ -1,19 +1,20 @@
-"""Language-model scoring with a probabilistic suffix tree.
+"""Language-model scoring with a probabilistic suffix tree over words.
 
-A text is its tokens spelled out: lower-cased words joined by a space, then an end
-symbol, so the tree's probability of the symbols is a probability of the tokens. A
-context is a state if it is frequent and its next-symbol distribution diverges from that
-of its longest shorter state; distributions are smoothed towards that state; each symbol
-is scored by the longest suffix that is a state. Contexts are one to five symbols, then
-begin with the word that the symbol before those is in, then with the word 1, 3, 7, ...
-words before that, up to the whole text before the symbol. No length bounds them: a
-context is followed until it is too rare or nothing longer could diverge enough.
+The symbols are a text's tokens: its lower-cased words, then an end. A context is the
+words before a token, back to the start of the text at most. It is a state if it is
+frequent and its next-token distribution diverges from that of its longest shorter state;
+distributions are smoothed towards that state; each token is scored by the longest suffix
+of what stands before it that is a state. Contexts of 1, 2, 3, 4, 8, 16, ... words are
+tried: no length bounds them, a context is followed until it is too rare or nothing
+longer could diverge enough.
 
 Neither the tree nor the vocabulary is broadcast. Documents are packed into bundles of
-bounded size; a bundle asks the owners of its words and (context, next symbol) grams
-for their counts and probabilities, each owner puts together what all bundles say about
-its share of the keys, and the answers go back to the bundles. The contexts of up to five
-symbols take one such round, each longer reach one more, for what is still followed only.
+bounded size; a bundle asks the owners of its words and (context, next token) grams for
+their counts and probabilities, each owner puts together what all bundles say about its
+share of the contexts, and the answers go back to the bundles: one round for each reach,
+for those tokens only whose context occurs often enough, as the shorter gram before it
+has told. A context that occurs more often than ``HOT`` is dealt to several owners by its
+next tokens; their sums are put together first.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import io
 import math
 import struct
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import batches, materialise, new_dir, remove, settle, small_batches
+from logfold.llm.common import batches, exists, new_dir, remove, settle, small_batches
 
-#: Contexts of so many symbols are counted together; longer ones are hashed.
-DEPTH = 5
-END = b"\n"
-#: States need this many occurrences, and this gain in nats over their shorter state.
-LEAST_COUNT, LEAST_GAIN = 3, 2.0
-#: Longer contexts need this much of that gain for each of their next symbols.
-LONG_GAIN = 1.0
+#: States need this many occurrences, and this gain in nats over their shorter state,
+LEAST_COUNT, LEAST_GAIN = 2, 2.0
+#: and this much more for each of their next tokens, as many diverge by chance.
+TYPE_GAIN = 1.0
+#: Occurrences of a context that one owner takes.
+HOT = 4 << 20
+#: Contexts grow by one word up to this reach, then double.
+STEPS = 4
 
 BUNDLE = pa.schema([("bundle", pa.int64()), ("payload", pa.binary())])
 BLOCK = pa.schema([("owner", pa.int32()), ("bundle", pa.int64()), ("kind", pa.string()), ("payload", pa.binary())])
-REPLY = pa.schema([("bundle", pa.int64()), ("kind", pa.string()), ("owner", pa.int32()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
+REPLY = pa.schema([("bundle", pa.int64()), ("kind", pa.string()), ("owner", pa.int32()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("most", pa.int64())])
 SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+SUMS = pa.schema([("context", pa.int64()), ("salts", pa.int32()), ("n", pa.int64()), ("types", pa.int64()), ("gain", pa.float64())])
+STATE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+BASE = 0x5851F42D4C957F2D
+#: Stands before the first word of a text.
+BEGIN = np.uint64(0x9E3779B97F4A7C15)
+X_BITS = 40
+
+
+@dataclass(frozen=True)
+class Limits:
+    least_count: int = LEAST_COUNT
+    least_gain: float = LEAST_GAIN
+    hot: int = HOT
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -77,7 +93,7 @@ def _pack(limit: int):
                 ids.append(doc)
                 helds.append(held)
                 bodies.append(body)
-                size += len(body) + DEPTH + 1
+                size += len(body) + 1
         if ids:
             yield base + n, _packed(ids, helds, bodies)
 
@@ -85,308 +101,339 @@ def _pack(limit: int):
 
 
 def _packed(ids: list, helds: list, bodies: list[bytes]) -> bytes:
-    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(helds, pa.bool_()), pa.array(bodies, pa.binary())], names=["doc", "held", "body"])
+    none = np.zeros(len(ids))
+    rows = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(helds, pa.bool_()), *(pa.array(none.astype(k)) for k in (np.int64, np.int64, float, float))], schema=SCORE)
+    return _closed(rows, bodies, {})
+
+
+def _sealed(rows: pa.RecordBatch) -> bytes:
     out = io.BytesIO()
-    with pa.ipc.new_stream(out, batch.schema) as w:
-        w.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    with pa.ipc.new_stream(out, rows.schema) as w:
+        w.write_batch(rows)
+    return out.getvalue()
 
 
-def _unpacked(payload: bytes) -> tuple[list, list[bool], list[bytes]]:
-    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)) as r:
-        table = r.read_all()
-    return tuple(table.column(c).to_pylist() for c in ("doc", "held", "body"))
+def _squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-# --- what a bundle asks ----------------------------------------------------------------
+def _closed(rows: pa.RecordBatch, bodies: list[bytes], arrays: dict[str, np.ndarray]) -> bytes:
+    """A bundle: its rows, its texts, and arrays over its tokens."""
+    parts = [_sealed(rows.append_column("body", pa.array(bodies, pa.binary())))]
+    for name, a in arrays.items():
+        raw = _planes(a)
+        parts.append(struct.pack("<4s2sq", name.encode(), a.dtype.str[1:].encode(), len(raw)) + raw)
+    return _squeezed(b"".join(struct.pack("<q", len(p)) + p for p in parts))
 
 
-def grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The (context, next symbol) gram of every symbol of every text, and where texts start.
+def _opened(payload: bytes) -> tuple[pa.RecordBatch, list[bytes], dict[str, np.ndarray]]:
+    raw, at, parts = zstandard.ZstdDecompressor().decompress(payload), 0, []
+    while at < len(raw):
+        n = struct.unpack_from("<q", raw, at)[0]
+        parts.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    with pa.ipc.open_stream(parts[0]) as r:
+        rows = r.read_next_batch()
+    arrays = {}
+    for p in parts[1:]:
+        name, kind, n = struct.unpack_from("<4s2sq", p)
+        arrays[name.rstrip(b"\0").decode()] = _unplaned(np.frombuffer(p, np.uint8, n, 14), kind.decode())
+    return rows.select(range(6)), rows.column(6).to_pylist(), arrays
 
-    Bytes of a gram from the highest: the last symbol before, the one before that, ...
-    to DEPTH, then the next symbol. Before a text stand end symbols.
-    """
-    pad = END * DEPTH
-    data = np.frombuffer(b"".join(pad + b + END for b in bodies), np.uint8)
-    lengths = np.array([len(b) + 1 for b in bodies], np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    at = np.arange(int(lengths.sum())) + np.repeat((np.arange(len(bodies)) + 1) * DEPTH, lengths)
-    code = np.zeros(len(at), np.uint64)
-    for back in range(1, DEPTH + 1):
-        code = (code << np.uint64(8)) | data[at - back]
-    return (code << np.uint64(8)) | data[at], starts
 
+def _planes(values: np.ndarray) -> bytes:
+    """The values' bytes, those of one place together: they compress better so."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
 
+def _unplaned(raw: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-BASE = 0x5851F42D4C957F2D
-BYTE_HASH = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 
+# --- what a bundle asks ----------------------------------------------------------------
 
-def long_grams(bodies: list[bytes], pick: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """The (context, next symbol) grams of the symbols ``pick``, and which contexts are whole.
 
-    A context takes in ``reach`` words beyond its last DEPTH symbols, the first of which
-    may reach into those, or it is the whole text before the symbol and its start. A gram
-    is 56 bits of the context's hash, then the next symbol.
-    """
-    pad = END * DEPTH
-    data = np.frombuffer(b"".join(pad + b + END for b in bodies), np.uint8)
-    lengths = np.array([len(b) + 1 for b in bodies], np.int64)
-    begin = np.cumsum(lengths + DEPTH) - lengths
-    text = np.searchsorted(np.cumsum(lengths), pick, side="right")
-    at = pick + (text + 1) * DEPTH
-    starts = np.zeros(len(data), bool)
-    starts[1:] = data[:-1] == 32
-    starts[begin] = True
-    number = np.cumsum(starts, dtype=np.int32)
-    back = number[at - DEPTH - 1] - reach
-    first = number[begin][text] - 1
-    whole = back < first
-    since = np.where(whole, begin[text] - 1, np.flatnonzero(starts)[np.maximum(back, first)])
-    del number, starts, back, first, text
-    with np.errstate(over="ignore"):
-        sums = np.cumsum(BYTE_HASH[data] * _powers(BASE, len(data)), dtype=np.uint64)
-        h = (sums[at - 1] - sums[since - 1]) * _powers(pow(BASE, -1, 1 << 64), len(data))[since]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(32)
-    return (h & ~np.uint64(0xFF)) | data[at], whole
-
-
-def _word_ids(bodies: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct tokens, the token numbers of all texts in sequence, and each text's token count."""
-    known: dict[bytes, int] = {END: 0}
-    ids: list[int] = []
-    lengths = []
-    for body in bodies:
-        words = body.split(b" ") if body else []
-        ids.extend([known.setdefault(w, len(known)) for w in words])
-        ids.append(0)
-        lengths.append(len(words) + 1)
-    return list(known), np.array(ids, np.int64), np.array(lengths, np.int64)
-
-
-def _word_keys(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def _owners(kind: str, keys: np.ndarray, owners: int) -> np.ndarray:
-    """Grams belong together by the last two symbols of their context, words by their hash."""
-    if kind == "g":
+class Tokens:
+    """A bundle's tokens in sequence: of every text its words and its end."""
+
+    def __init__(self, bodies: list[bytes]):
+        known: dict[bytes, int] = {b"\n": 0}
+        ids: list[int] = []
+        sizes = []
+        for body in bodies:
+            words = body.split(b" ") if body else []
+            ids.extend([known.setdefault(w, len(known)) for w in words])
+            ids.append(0)
+            sizes.append(len(words) + 1)
+        self.words, self.ids, self.sizes = list(known), np.array(ids, np.int64), np.array(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.text = np.repeat(np.arange(len(bodies)), self.sizes)
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+
+    def contexts(self, pick: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the contexts of ``reach`` words before the tokens ``pick``, and which begin with the text's begin."""
+        data = np.insert(self.hashes[self.ids], self.starts, BEGIN)
+        text = self.text[pick]
+        at, first = pick + text + 1, self.starts[text] + text
+        since = np.maximum(at - reach, first)
         with np.errstate(over="ignore"):
-            keys = ((keys >> np.uint64(32)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((keys >> np.uint64(32)) % np.uint64(owners)).astype(np.int32)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data ^ (data >> np.uint64(31))) * _powers(BASE, len(data)), dtype=np.uint64)))
+            h = (sums[at] - sums[since]) * _powers(pow(BASE, -1, 1 << 64), len(data))[since]
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32)), since == first
 
+    def before(self, flags: np.ndarray) -> np.ndarray:
+        """For each token, ``flags`` of the token before it; 0 for the first of a text."""
+        out = np.roll(flags, 1)
+        out[self.starts] = 0
+        return out
 
-def _planes(values: np.ndarray) -> bytes:
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
 
-def _unplaned(raw: np.ndarray, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
+class Asked:
+    """The distinct grams of the tokens ``pick`` in the order in which they are asked for: by owner, context and next token."""
 
-def _encode(keys: np.ndarray, counts: np.ndarray, shorter: np.ndarray | None = None) -> bytes:
-    """Sorted keys as differences with their bytes apart, the counts and what shorter states say, compressed."""
-    raw = _planes(np.diff(keys, prepend=np.uint64(0))) + _planes(counts.astype("<u4"))
-    if shorter is not None:
-        raw += _planes(shorter.astype("<f4"))
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    def __init__(self, tokens: Tokens, pick: np.ndarray, reach: int, often: np.ndarray, owners: int, hot: int):
+        context, self.whole = tokens.contexts(pick, reach)
+        x = tokens.hashes[tokens.ids[pick]] >> np.uint64(64 - X_BITS)
+        distinct, which = np.unique(context, return_inverse=True)
+        key, first, where = np.unique((which.astype(np.uint64) << np.uint64(X_BITS)) | x, return_index=True, return_inverse=True)
+        self.context, self.x, self.salts = context[first], x[first], 1 + often[pick][first] // hot
+        with np.errstate(over="ignore"):
+            salted = self.context + (self.x % self.salts.astype(np.uint64)) * np.uint64(BASE)
+            spread = (salted ^ (salted >> np.uint64(31))) * BEGIN
+        owner = ((spread >> np.uint64(32)) % np.uint64(owners)).astype(np.int32)
+        order = np.lexsort((key, self.salts > 1, owner))
+        self.owner, self.context, self.x, self.salts, self.first = owner[order], self.context[order], self.x[order], self.salts[order], first[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.where = back[where]
+
+    def blocks(self, bundle: int, train: np.ndarray, q: np.ndarray) -> Iterator[tuple]:
+        """A block for each owner, and one for each that has a share of hot contexts."""
+        counts = np.bincount(self.where, weights=train, minlength=len(self.owner)).astype(np.int64)
+        q, dealt = q[self.first], self.salts > 1
+        edges = np.flatnonzero(np.concatenate(([True], (self.owner[1:] != self.owner[:-1]) | (dealt[1:] != dealt[:-1]), [True]))) if len(self.owner) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(self.owner[a]), bundle, "h" if dealt[a] else "g", _encode(*(v[a:b] for v in (self.context, self.x, counts, q, self.salts)))
+
+
+def _encode(context: np.ndarray, x: np.ndarray, counts: np.ndarray, q: np.ndarray, salts: np.ndarray) -> bytes:
+    """Grams sorted by context: contexts once each as differences, then what each gram has."""
+    new = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    sizes = np.diff(np.append(new, len(context)))
+    low = x.view(np.uint8).reshape(-1, 8)[:, : X_BITS // 8]
+    parts = [_planes(np.diff(context[new], prepend=np.uint64(0))), _planes(sizes.astype("<u4")), low.T.tobytes(), _planes(counts.astype("<u4")), _planes(q.astype("<f4")), _planes(salts[new].astype("<u4"))]
+    return _squeezed(struct.pack("<qq", len(new), len(context)) + b"".join(parts))
+
+
+def _decode(payload: bytes) -> tuple[np.ndarray, ...]:
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    m, n = struct.unpack_from("<qq", raw)
+    at = 16
 
+    def take(size: int) -> np.ndarray:
+        nonlocal at
+        at += size
+        return np.frombuffer(raw, np.uint8, size, at - size)
 
-def _decode(payload: bytes, kind: str) -> tuple[np.ndarray, ...]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
-    n = len(raw) // (16 if kind == "x" else 12)
     with np.errstate(over="ignore"):
-        keys = np.cumsum(_unplaned(raw[: 8 * n], "<u8"), dtype=np.uint64)
-    return keys, _unplaned(raw[8 * n : 12 * n], "<u4"), _unplaned(raw[12 * n :], "<f4")
+        context = np.cumsum(_unplaned(take(8 * m), "<u8"), dtype=np.uint64)
+    sizes = _unplaned(take(4 * m), "<u4")
+    x = np.zeros((n, 8), np.uint8)
+    x[:, : X_BITS // 8] = take(n * X_BITS // 8).reshape(X_BITS // 8, n).T
+    counts, q, salts = _unplaned(take(4 * n), "<u4"), _unplaned(take(4 * n), "<f4"), _unplaned(take(4 * m), "<u4")
+    return np.repeat(context, sizes), x.view("<u8").ravel(), counts.astype(np.int64), q, np.repeat(salts, sizes)
+
+
+def _word_owners(keys: np.ndarray, owners: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(owners)).astype(np.int32)
 
 
-def _ask(owners: int):
+def _ask_words(owners: int):
     def ask(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(each(parts), BLOCK, size=64)
 
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for b in parts:
             for bundle, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, held, bodies = _unpacked(payload)
-                train = ~np.array(held, bool)
-                words, ids, lengths = _word_ids(bodies)
-                counts = np.bincount(ids, weights=np.repeat(train, lengths), minlength=len(words)).astype(np.int64)
-                yield from _blocks(bundle, "w", _word_keys(words), counts, owners)
-                code, _ = grams(bodies)
-                symbols = np.array([len(x) + 1 for x in bodies])
-                marked, n = np.unique((code << np.uint64(1)) | np.repeat(~train, symbols).astype(np.uint64), return_counts=True)
-                keys, first = np.unique(marked >> np.uint64(1), return_index=True)
-                yield from _blocks(bundle, "g", keys, np.where(marked[first] & np.uint64(1), 0, n[first]), owners)
+                rows, bodies, _ = _opened(payload)
+                tokens = Tokens(bodies)
+                counts = np.bincount(tokens.ids, weights=_learned(rows, tokens), minlength=len(tokens.words)).astype(np.int64)
+                owner = _word_owners(tokens.hashes, owners)
+                order = np.lexsort((tokens.hashes, owner))
+                edges = np.flatnonzero(np.diff(owner[order], prepend=-1, append=owners))
+                for a, b_ in zip(edges[:-1], edges[1:], strict=True):
+                    part = order[a:b_]
+                    yield int(owner[part[0]]), bundle, "w", _squeezed(_planes(np.diff(tokens.hashes[part], prepend=np.uint64(0))) + _planes(counts[part]))
 
     return ask
 
 
-def _blocks(bundle: int, kind: str, keys: np.ndarray, counts: np.ndarray, owners: int, shorter: np.ndarray | None = None) -> Iterator[tuple]:
-    owner = _owners(kind, keys, owners)
-    order = np.lexsort((keys, owner))
-    edges = np.searchsorted(owner[order], np.arange(owners + 1))
-    for o in range(owners):
-        part = order[edges[o] : edges[o + 1]]
-        if len(part):
-            yield o, bundle, kind, _encode(keys[part], counts[part], None if shorter is None else shorter[part])
+def _learned(rows: pa.RecordBatch, tokens: Tokens) -> np.ndarray:
+    return ~rows.column("held_out").to_numpy(zero_copy_only=False)[tokens.text]
 
 
 # --- what an owner answers -------------------------------------------------------------
 
 
-def _answer(pairs, least_count: int, least_gain: float):
-    def answer(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(each(parts), REPLY, size=64)
+def _by_owner(answers):
+    """Gathers the blocks of one owner at a time for ``answers(owner, blocks by kind)``."""
 
-    def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        current, blocks = None, {k: [] for k in "gwx"}
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        current, blocks = None, {}
         for b in parts:
             for owner, bundle, kind, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if owner != current and current is not None:
-                    yield from _answers(current, blocks, pairs.value, least_count, least_gain)
-                    blocks = {k: [] for k in "gwx"}
+                    yield from answers(current, blocks)
+                    blocks = {}
                 current = owner
-                blocks[kind].append((bundle, payload))
+                blocks.setdefault(kind, []).append((bundle, payload))
         if current is not None:
-            yield from _answers(current, blocks, pairs.value, least_count, least_gain)
+            yield from answers(current, blocks)
 
-    return answer
+    return run
 
 
-def _answers(owner: int, blocks: dict, pairs: np.ndarray, least_count: int, least_gain: float) -> Iterator[tuple]:
-    for kind, held in blocks.items():
-        if not held:
-            continue
-        decoded = [_decode(p, kind) for _, p in held]
-        keys, first, where = np.unique(np.concatenate([d[0] for d in decoded]), return_index=True, return_inverse=True)
-        counts = np.bincount(where, weights=np.concatenate([d[1] for d in decoded])).astype(np.int64)
-        if kind == "w":
-            values = counts.astype("<i8")
-        elif kind == "g":
-            values = _signed(*log10_next(keys, counts, pairs, least_count, least_gain))
-        else:
-            q = 10.0 ** np.concatenate([d[2] for d in decoded])[first].astype(np.float64)
-            values = _signed(*longer_next(keys, counts, q, least_count, least_gain))
-        at = 0
-        for i, ((bundle, _), (k, *_)) in enumerate(zip(held, decoded, strict=True)):
-            mine = values[where[at : at + len(k)]]
-            at += len(k)
-            stats = (int(counts.sum()), int((counts > 0).sum())) if kind == "w" and i == 0 else (0, 0)
-            yield bundle, kind, owner, zstandard.ZstdCompressor(level=1).compress(_planes(mine)), *stats
+def _answer(limits: Limits):
+    each = _by_owner(lambda owner, blocks: _answers(owner, blocks, limits))
 
+    def answer(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(each(parts), REPLY, size=64)
 
-def _signed(p: np.ndarray, follow: np.ndarray) -> np.ndarray:
-    """Logarithms of probabilities, positive where longer contexts are still to be seen."""
-    return np.copysign(p, np.where(follow, 1.0, -1.0)).astype("<f4")
+    return answer
 
 
-def _values(payload: bytes, kind: str) -> np.ndarray:
-    return _unplaned(np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8), "<i8" if kind == "w" else "<f4")
+def _answers(owner: int, blocks: dict, limits: Limits) -> Iterator[tuple]:
+    if held := blocks.get("w"):
+        keys, counts = [], []
+        for _, payload in held:
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
+            with np.errstate(over="ignore"):
+                keys.append(np.cumsum(_unplaned(raw[: len(raw) // 2], "<u8"), dtype=np.uint64))
+            counts.append(_unplaned(raw[len(raw) // 2 :], "<i8"))
+        _, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+        said, at = (int(total.sum()), int((total > 0).sum()), int(total.max())), 0
+        for (bundle, _), k in zip(held, keys, strict=True):
+            yield bundle, "w", owner, _squeezed(_planes(total[where[at : at + len(k)]])), *said
+            at, said = at + len(k), (0, 0, 0)
+    for kind in "gh":
+        if held := blocks.get(kind):
+            grams, where, sizes = _merged([p for _, p in held])
+            sums = None
+            if kind == "h":
+                said = np.frombuffer(b"".join(p for _, p in blocks["a"]), "<u8,<i8,<i8,<f8")
+                said = said[np.argsort(said["f0"])]
+                sums = tuple(said[f][np.searchsorted(said["f0"], grams[0])] for f in ("f1", "f2", "f3"))
+            p, follow, counts = next_tokens(*grams, limits, sums)
+            values = np.copysign(np.log10(p), np.where(follow, 1.0, -1.0)).astype("<f4")
+            at = 0
+            for (bundle, _), n in zip(held, sizes, strict=True):
+                mine = where[at : at + n]
+                at += n
+                few, often = counts[mine] < limits.least_count, np.flatnonzero(counts[mine] >= limits.hot)
+                raw = struct.pack("<qq", n, len(often)) + _planes(values[mine]) + np.packbits(few).tobytes() + often.astype("<i8").tobytes() + counts[mine][often].astype("<i8").tobytes()
+                yield bundle, kind, owner, _squeezed(raw), 0, 0, 0
+
+
+def _merged(payloads: list[bytes]) -> tuple[tuple[np.ndarray, ...], np.ndarray, list[int]]:
+    """The distinct grams (context, x, count, q, salts) of all blocks, where each block's are among them, and the blocks' sizes."""
+    decoded = [_decode(p) for p in payloads]
+    context, x, counts, q, salts = (np.concatenate(c) for c in zip(*decoded, strict=True))
+    _, which = np.unique(context, return_inverse=True)
+    _, first, where = np.unique((which.astype(np.uint64) << np.uint64(X_BITS)) | x, return_index=True, return_inverse=True)
+    return (context[first], x[first], np.bincount(where, weights=counts).astype(np.int64), q[first], salts[first]), where, [len(d[0]) for d in decoded]
+
+
+def _spread(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the grams of each context start, and how many there are."""
+    starts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    return starts, np.diff(np.append(starts, len(context)))
 
 
-def log10_next(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
-    """log10 P(next symbol | longest suffix of the context that is a state) of sorted, distinct grams.
+def _gains(counts: np.ndarray, q: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(counts > 0, counts * np.log(counts / q), 0.0)
 
-    Also whether longer contexts may be states: see ``_follow``.
 
-    ``counts`` are training counts, 0 for grams only asked for; ``keys`` hold all grams of
-    each two-symbol context that they have any of. ``pairs[a, x]`` counts x after a.
-    A state s gives P(x|s) = (c(sx) + T * P(x|shorter)) / (c(s) + T), T its distinct
-    next symbols; it is a state if c(s) >= least_count and the divergence of its counts
-    from its shorter state, times c(s), is at least least_gain.
+def next_tokens(context: np.ndarray, x: np.ndarray, counts: np.ndarray, q: np.ndarray, salts: np.ndarray, limits: Limits, sums: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(next token | longest suffix of the context that is a state) of sorted, distinct grams, whether longer contexts may be states, and the counts.
+
+    ``counts`` are training counts, 0 for grams only asked for; ``q`` is the probability by
+    the shorter states. A state s of n occurrences and T distinct next tokens gives
+    P(x|s) = (c(sx) + T q(x)) / (n + T); it is a state if n >= least_count and the
+    divergence of its counts from q, times n, is at least least_gain + T TYPE_GAIN.
+    ``sums`` has each gram's n, T and sum of c log(c / q) where others own a part of them.
+
+    A longer context's counts are at most these, so its gain less what its types need is
+    at most the sum over x of c(x) log(1 / p(x)) - TYPE_GAIN, where that is positive; and
+    unless it occurs less often it is as much a state as this one.
     """
-    symbol = (keys & np.uint64(0xFF)).astype(np.int64)
-    total = pairs.sum(axis=0)
-    p = ((total + 1) / (total.sum() + len(total)))[symbol]
-    last = (keys >> np.uint64(40)).astype(np.int64)
-    seen = pairs.sum(axis=1)
-    types = (pairs > 0).sum(axis=1)
-    shorter = (total + 1) / (total.sum() + len(total))
+    q = q.astype(np.float64)
+    starts, sizes = _spread(context)
+    if sums is None:
+        n, types, gain = np.add.reduceat(counts, starts), np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(_gains(counts, q), starts)
+        n, types, gain = (np.repeat(v, sizes) for v in (n, types, gain))
+    else:
+        n, types, gain = sums
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(pairs > 0, pairs * np.log(pairs / seen[:, None] / shorter[None, :]), 0.0).sum(axis=1)
-    state = (seen >= least_count) & (gain >= least_gain)
-    p = np.where(state[last], (pairs[last, symbol] + types[last] * p) / np.maximum(seen + types, 1)[last], p)
-    for depth in range(2, DEPTH + 1):
-        context = keys >> np.uint64(8 * (DEPTH + 1 - depth))
-        pair, first, where = np.unique((context << np.uint64(8)) | symbol.astype(np.uint64), return_index=True, return_inverse=True)
-        c = np.bincount(where, weights=counts)
-        q = p[first]
-        starts = np.flatnonzero(np.diff(pair >> np.uint64(8), prepend=np.uint64(1 << 63)))
-        n, t = np.add.reduceat(c, starts), np.add.reduceat((c > 0).astype(np.int64), starts)
-        sizes = np.diff(np.append(starts, len(pair)))
-        n_all, t_all = np.repeat(n, sizes), np.repeat(t, sizes)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            term = np.where(c > 0, c * np.log(c / n_all / q), 0.0)
-        state = np.repeat((n >= least_count) & (np.add.reduceat(term, starts) >= least_gain), sizes)
-        p = np.where(state, (c + t_all * q) / np.maximum(n_all + t_all, 1), q)[where]
-    return np.log10(p), _follow(keys, counts, p, least_count, least_gain)
-
-
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the grams of each context start, and how many there are."""
-    starts = np.flatnonzero(np.diff(keys >> np.uint64(8), prepend=np.uint64(1 << 63)))
-    return starts, np.diff(np.append(starts, len(keys)))
+        gain = gain - np.where(n > 0, n * np.log(n), 0.0)
+    state = (n >= limits.least_count) & (gain >= limits.least_gain + TYPE_GAIN * types)
+    p = np.where(state, (counts + types * q) / np.maximum(n + types, 1), q)
+    most = np.repeat(np.add.reduceat(np.maximum(0.0, -counts * np.log(p) - TYPE_GAIN), starts), sizes)
+    return p, (n > limits.least_count) & ((most >= limits.least_gain) | (sums is not None)), counts
 
 
-def _follow(keys: np.ndarray, counts: np.ndarray, p: np.ndarray, least_count: int, least_gain: float) -> np.ndarray:
-    """Whether a longer context of each gram's context can be a state.
+def _sum_hot(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each owner of a share of hot contexts knows of them: occurrences, distinct next tokens and their gain."""
 
-    Its counts c' are at most these, so its gain, the sum of c'(x) log(c'(x) / n' / p(x)),
-    is at most the sum of c(x) log(1 / p(x)).
-    """
-    starts, sizes = _groups(keys)
-    most = np.add.reduceat(counts * -np.log(p), starts)
-    return np.repeat((np.add.reduceat(counts, starts) >= least_count) & (most >= least_gain), sizes)
+    def sums(_: int, blocks: dict) -> Iterator[tuple]:
+        (context, _x, counts, q, salts), _w, _s = _merged([p for _, p in blocks["h"]])
+        starts, _n = _spread(context)
+        columns = (context[starts].astype(np.int64), salts[starts], np.add.reduceat(counts, starts), np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(_gains(counts, q.astype(np.float64)), starts))
+        yield from zip(*(c.tolist() for c in columns), strict=True)
 
+    yield from batches(_by_owner(sums)(parts), SUMS)
 
-def longer_next(keys: np.ndarray, counts: np.ndarray, q: np.ndarray, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
-    """``log10_next`` for the grams of one reach; ``q`` is P(next symbol) by their shorter states.
 
-    Many next symbols diverge by chance: a state needs least_gain times LONG_GAIN for each.
-    """
-    starts, sizes = _groups(keys)
-    n, t = np.add.reduceat(counts, starts), np.add.reduceat((counts > 0).astype(np.int64), starts)
-    n_all, t_all = np.repeat(n, sizes), np.repeat(t, sizes)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        term = np.where(counts > 0, counts * np.log(counts / n_all / q), 0.0)
-    need = least_gain * np.maximum(1.0, LONG_GAIN * t)
-    state = np.repeat((n >= least_count) & (np.add.reduceat(term, starts) >= need), sizes)
-    p = np.where(state, (counts + t_all * q) / np.maximum(n_all + t_all, 1), q)
-    return np.log10(p), _follow(keys, counts, p, least_count, least_gain)
+def _deal_sums(owners: int):
+    """Each hot context's sums for all owners of a share of it."""
 
+    def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in parts:
+            for context, salts, n, types, gain in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with np.errstate(over="ignore"):
+                    salted = np.uint64(context & (1 << 64) - 1) + np.arange(salts, dtype=np.uint64) * np.uint64(BASE)
+                    spread = (salted ^ (salted >> np.uint64(31))) * BEGIN
+                for owner in np.unique((spread >> np.uint64(32)) % np.uint64(owners)).tolist():
+                    yield owner, 0, "a", struct.pack("<Qqqd", context & (1 << 64) - 1, n, types, gain)
 
-def _pair_counts(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training counts of (symbol before, symbol), a row for each that occurs in the task."""
-    total = np.zeros(1 << 16, np.int64)
-    for b in parts:
-        for payload in b.column(0).to_pylist():
-            _, held, bodies = _unpacked(payload)
-            data = np.frombuffer(END + b"".join(x + END for x, h in zip(bodies, held, strict=True) if not h), np.uint8).astype(np.int64)
-            total += np.bincount(data[:-1] << 8 | data[1:], minlength=1 << 16)
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["pair", "n"])
+    def deal(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(each(parts), BLOCK, size=4096)
+
+    return deal
 
 
 # --- scores ----------------------------------------------------------------------------
 
 
-def _advance(owners: int, reach: int, tokens: int, distinct: int):
-    """Take in a bundle's replies, and ask for contexts of ``reach`` words where one is to be seen.
+def _advance(owners: int, reach: int, longer: int, tokens: int, distinct: int, limits: Limits):
+    """Take in a bundle's replies for ``reach`` words (0: the words themselves).
 
-    Gives a bundle's scored rows ("d"), its rows with such symbols ("z") and what they ask ("x").
+    Gives a bundle's scored rows ("d"), and its rows with tokens whose contexts of
+    ``longer`` words are still to be seen ("z").
     """
 
     def advance(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(each(parts), BLOCK, size=64)
+        yield from batches(each(parts), BLOCK, size=8)
 
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         current, replies = None, {}
@@ -394,87 +441,99 @@ def _advance(owners: int, reach: int, tokens: int, distinct: int):
             for bundle, kind, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bundle != current:
                     current, replies = bundle, {}
-                if kind == "z":
-                    values = {k: np.concatenate([_values(p, k) for p in v]) for k, v in replies.items()}
-                    yield from _moved(bundle, *(_first(payload, values, owners, tokens, distinct) if reach == 1 else _later(payload, values, owners, reach // 2)), owners, reach)
-                else:
+                if kind != "z":
                     replies.setdefault(kind, []).append(payload)
+                elif reach:
+                    yield from _later(bundle, payload, replies, owners, reach, limits)
+                else:
+                    yield from _first(bundle, payload, replies["w"], owners, tokens, distinct, limits)
 
     return advance
 
 
-def _dealt(keys: np.ndarray, values: np.ndarray, kind: str, owners: int) -> np.ndarray:
-    """Replies in the order of the sorted ``keys`` that were asked for."""
-    out = np.empty(len(keys), values.dtype)
-    out[np.lexsort((keys, _owners(kind, keys, owners)))] = values
-    return out
-
-
-def _first(payload: bytes, values: dict[str, np.ndarray], owners: int, tokens: int, distinct: int) -> tuple:
-    docs, held, bodies = _unpacked(payload)
-    words, ids, lengths = _word_ids(bodies)
-    c = _dealt(_word_keys(words), values["w"], "w", owners)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    known = np.add.reduceat((c > 0)[ids].astype(np.int64), starts)
-    base = np.add.reduceat(np.log10(c + 1)[ids], starts) - lengths * math.log10(tokens + distinct + 1)
-    code, begin = grams(bodies)
-    unique, where = np.unique(code, return_inverse=True)
-    p = _dealt(unique, values["g"], "g", owners)[where]
-    before = np.arange(len(code)) - np.repeat(begin, np.diff(np.append(begin, len(code))))
-    rows = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths), pa.array(known), pa.array(base), pa.array(np.zeros(len(docs)))], schema=SCORE)
-    return rows, bodies, np.arange(len(code)), p, before >= DEPTH
-
-
-def _later(payload: bytes, values: dict[str, np.ndarray], owners: int, reach: int) -> tuple:
-    rows, bodies, pick = _opened(payload)
-    keys, whole = long_grams(bodies, pick, reach)
-    unique, where = np.unique(keys, return_inverse=True)
-    return rows, bodies, pick, _dealt(unique, values["x"], "x", owners)[where], ~whole
-
-
-def _moved(bundle: int, rows: pa.RecordBatch, bodies: list[bytes], pick: np.ndarray, p: np.ndarray, longer: np.ndarray, owners: int, reach: int) -> Iterator[tuple]:
-    sizes = np.array([len(x) + 1 for x in bodies], np.int64)
-    text = np.searchsorted(np.cumsum(sizes), pick, side="right")
-    goes_on = longer & ~np.signbit(p)
-    p = -np.abs(p)
-    score = rows.column("score").to_numpy() + np.bincount(text[~goes_on], weights=p[~goes_on], minlength=len(bodies))
+def _first(bundle: int, payload: bytes, replies: list[bytes], owners: int, total: int, distinct: int, limits: Limits) -> Iterator[tuple]:
+    rows, bodies, _ = _opened(payload)
+    t = Tokens(bodies)
+    c = np.empty(len(t.words), np.int64)
+    said = [_unplaned(np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8), "<i8") for p in replies]
+    c[np.lexsort((t.hashes, _word_owners(t.hashes, owners)))] = np.concatenate(said)
+    known = np.add.reduceat((c > 0)[t.ids].astype(np.int64), t.starts)
+    q = ((c + 1) / (total + distinct + 1))[t.ids]
+    base = np.add.reduceat(np.log10(c + 1)[t.ids], t.starts) - t.sizes * math.log10(total + distinct + 1)
+    rows = pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(t.sizes), pa.array(known), pa.array(base), rows.column(5)], schema=SCORE)
+    counts = c[t.ids]
+    yield from _moved(bundle, rows, bodies, t, q, np.ones(len(q), bool), np.arange(len(q)), counts < limits.least_count, np.where(counts >= limits.hot, counts, 0))
+
+
+def _later(bundle: int, payload: bytes, replies: dict[str, list[bytes]], owners: int, reach: int, limits: Limits) -> Iterator[tuple]:
+    rows, bodies, kept = _opened(payload)
+    t = Tokens(bodies)
+    pick, few, often = _picked(kept, t)
+    asked = Asked(t, pick, reach, t.before(often), owners, limits.hot)
+    values, rare, heavy = np.empty(len(asked.owner), "<f4"), np.empty(len(asked.owner), bool), np.zeros(len(asked.owner), np.int64)
+    for kind in "gh":
+        at = np.flatnonzero((asked.salts > 1) == (kind == "h"))
+        said = [_reply(p) for p in replies.get(kind, [])]
+        if said:
+            values[at], rare[at], heavy[at] = (np.concatenate(v) for v in zip(*said, strict=True))
+    values = values[asked.where]
+    few[pick] |= rare[asked.where]
+    often[pick] = heavy[asked.where]
+    yield from _moved(bundle, rows, bodies, t, 10.0 ** -np.abs(values.astype(np.float64)), ~np.signbit(values) & ~asked.whole, pick, few, often)
+
+
+def _reply(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    n, k = struct.unpack_from("<qq", raw)
+    values = _unplaned(np.frombuffer(raw, np.uint8, 4 * n, 16), "<f4")
+    few = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), 16 + 4 * n), count=n).astype(bool)
+    at, heavy = 16 + 4 * n + -(-n // 8), np.zeros(n, np.int64)
+    heavy[np.frombuffer(raw, "<i8", k, at)] = np.frombuffer(raw, "<i8", k, at + 8 * k)
+    return values, few, heavy
+
+
+def _moved(bundle: int, rows: pa.RecordBatch, bodies: list[bytes], t: Tokens, p: np.ndarray, follow: np.ndarray, pick: np.ndarray, few: np.ndarray, often: np.ndarray) -> Iterator[tuple]:
+    """Adds up the tokens that are settled; the rest, with the texts they are in, goes on.
+
+    ``few``: tokens whose gram so far is too rare to be a context of the token after.
+    """
+    follow = follow & ~t.before(few).astype(bool)[pick]
+    score = rows.column("score").to_numpy() + np.bincount(t.text[pick][~follow], weights=np.log10(p[~follow]), minlength=len(bodies))
     rows = rows.set_column(5, "score", pa.array(score))
-    stays = np.bincount(text[goes_on], minlength=len(bodies)) > 0
+    stays = np.bincount(t.text[pick][follow], minlength=len(bodies)) > 0
     if not stays.all():
         yield 0, bundle, "d", _sealed(rows.filter(pa.array(~stays)))
-    if not stays.any():
-        return
-    rows, bodies = rows.filter(pa.array(stays)), [x for x, s in zip(bodies, stays, strict=True) if s]
-    marks = np.zeros(int(sizes.sum()), bool)
-    marks[pick[goes_on]] = True
-    marks = marks[np.repeat(stays, sizes)]
-    yield 0, bundle, "z", _closed(rows, bodies, marks)
-    p = p[goes_on]
-    train = np.repeat(~np.array(rows.column("held_out")), sizes[stays])[marks]
-    keys, _ = long_grams(bodies, np.flatnonzero(marks), reach)
-    unique, first, where = np.unique(keys, return_index=True, return_inverse=True)
-    yield from _blocks(bundle, "x", unique, np.bincount(where, weights=train).astype(np.int64), owners, p[first])
+    if stays.any():
+        here = stays[t.text]
+        marks = np.zeros(len(here), np.uint8)
+        marks[pick[follow]] = 1
+        heavy = np.flatnonzero(often[here])
+        arrays = {"mark": np.packbits(marks[here]), "few": np.packbits(few[here]), "q": p[follow].astype("<f4"), "at": heavy.astype("<i8"), "n": often[here][heavy].astype("<i8")}
+        yield 0, bundle, "z", _closed(rows.filter(pa.array(stays)), [x for x, s in zip(bodies, stays, strict=True) if s], arrays)
 
 
-def _sealed(rows: pa.RecordBatch) -> bytes:
-    out = io.BytesIO()
-    with pa.ipc.new_stream(out, rows.schema) as w:
-        w.write_batch(rows)
-    return out.getvalue()
+def _picked(kept: dict[str, np.ndarray], t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(t.ids)
+    often = np.zeros(n, np.int64)
+    often[kept["at"]] = kept["n"]
+    return np.flatnonzero(np.unpackbits(kept["mark"], count=n)), np.unpackbits(kept["few"], count=n).astype(bool), often
+
 
+def _ask(owners: int, reach: int, limits: Limits):
+    """What a bundle's remaining tokens ask of contexts of ``reach`` words."""
 
-def _closed(rows: pa.RecordBatch, bodies: list[bytes], marks: np.ndarray) -> bytes:
-    table = _sealed(rows.append_column("body", pa.array(bodies, pa.binary())))
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(table)) + table + np.packbits(marks).tobytes())
+    def ask(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(each(parts), BLOCK, size=64)
 
+    def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in parts:
+            for bundle, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows, bodies, kept = _opened(payload)
+                t = Tokens(bodies)
+                pick, _, often = _picked(kept, t)
+                yield from Asked(t, pick, reach, t.before(often), owners, limits.hot).blocks(bundle, _learned(rows, t)[pick], kept["q"])
 
-def _opened(payload: bytes) -> tuple[pa.RecordBatch, list[bytes], np.ndarray]:
-    """Rows, bodies, and the symbols whose contexts are followed."""
-    raw = zstandard.ZstdDecompressor().decompress(payload)
-    at = 8 + struct.unpack_from("<q", raw)[0]
-    with pa.ipc.open_stream(raw[8:at]) as r:
-        rows = r.read_next_batch()
-    return rows.select(range(6)), rows.column(6).to_pylist(), np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=at)))
+    return ask
 
 
 def _unsealed(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,47 +543,58 @@ def _unsealed(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from r
 
 
-def score(docs: DataFrame, bundle_bytes: int = 4 << 20, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> DataFrame:
+def score(docs: DataFrame, bundle_bytes: int = 4 << 20, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN, hot: int = HOT) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text), learning from those not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word
-    counts, log10) and score (the tree's log10 probability of the tokens). Null and empty
-    texts are their end alone; texts of any length are scored whole; repeated rows count
-    and score each; an empty table gives no rows; extra columns are dropped. Contexts
-    over five symbols are told apart by 56-bit hashes.
+    counts, log10) and score (the tree's log10 probability of the tokens; a word that no
+    training text has gets what add-one counts give it). Null and empty texts are their
+    end alone; texts of any length are scored whole; repeated rows count and score each;
+    an empty table gives no rows; extra columns are dropped. Contexts are told apart by
+    64-bit hashes, a context's next tokens by 40 bits.
     """
-    spark = docs.sparkSession
+    spark, limits = docs.sparkSession, Limits(least_count, least_gain, hot)
     small_batches(spark, 256)
     packed, old = _written(docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text").mapInArrow(_pack(bundle_bytes), "bundle long, payload binary"), "lm-bundles")
     small_batches(spark, 16)
     n = packed.select("bundle").count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owners = max(parts, -(-n // 4))
-    matrix = np.zeros((256, 256), np.int64)
-    for r in packed.select("payload").mapInArrow(_pair_counts, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        matrix[r["pair"] >> 8, r["pair"] & 255] = r["n"]
-    block, reply = "owner int, bundle long, kind string, payload binary", "bundle long, kind string, owner int, payload binary, tokens long, distinct long"
-    answer = _answer(spark.sparkContext.broadcast(matrix), least_count, least_gain)
-
-    def answered(asked: DataFrame) -> DataFrame:
-        return asked.repartitionById(owners, F.col("owner")).mapInArrow(answer, reply)
-
-    replies, path = _written(answered(packed.mapInArrow(_ask(owners), block)), "lm-replies")
-    tokens, distinct = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    texts, old, done, reach = packed.select("bundle", F.lit("z").alias("kind"), F.lit(0).alias("owner"), "payload"), [old, path], [], 1
-    while reach == 1 or not texts.isEmpty():
-        both = replies.select("bundle", "kind", "owner", "payload").unionByName(texts)
+    block, reply = "owner int, bundle long, kind string, payload binary", "bundle long, kind string, owner int, payload binary, tokens long, distinct long, most long"
+
+    def at_owners(blocks: DataFrame) -> DataFrame:
+        return blocks.repartitionById(owners, F.col("owner")).sortWithinPartitions("owner")
+
+    replies, path = _written(at_owners(packed.mapInArrow(_ask_words(owners), block)).mapInArrow(_answer(limits), reply), "lm-replies")
+    tokens, distinct, most = replies.agg(*(F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "tokens"), (F.sum, "distinct"), (F.max, "most")))).first()
+    texts, old, roots, reach = packed, [old, path], [], 0
+    while True:
+        longer = reach + 1 if reach < STEPS else 2 * reach
+        both = replies.select("bundle", "kind", "owner", "payload").unionByName(texts.select("bundle", F.lit("z").alias("kind"), F.lit(0).alias("owner"), "payload"))
         ordered = both.repartition(max(1, min(n, 4 * parts)), "bundle").sortWithinPartitions("bundle", "kind", "owner").select("bundle", "kind", "payload")
-        moved, path = _written(ordered.mapInArrow(_advance(owners, reach, tokens, distinct), block), "lm-moved")
-        done.append(materialise(moved.where("kind = 'd'").select("payload"), "lm-done"))
+        moved = ordered.mapInArrow(_advance(owners, reach, longer, tokens, distinct, limits), block)
+        roots.append(new_dir(spark, "lm-moved"))
+        moved.select("bundle", "kind", "payload").write.partitionBy("kind").parquet(roots[-1])
         for folder in old:
             remove(spark, folder)
         settle(spark)
-        texts, replies = moved.where("kind = 'z'").select("bundle", "kind", "owner", "payload"), answered(moved.where("kind = 'x'"))
-        old, reach = [path], 2 * reach
-    for folder in old:
-        remove(spark, folder)
-    scored = reduce(DataFrame.unionByName, done).mapInArrow(_unsealed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        old, reach = [f"{roots[-1]}/kind=z"], longer
+        if not exists(spark, old[0]):
+            break
+        texts = spark.read.schema("bundle long, payload binary").parquet(old[0])
+        asked = texts.mapInArrow(_ask(owners, reach, limits), block)
+        if most >= hot:
+            sums = at_owners(asked.where("kind = 'h'")).mapInArrow(_sum_hot, "context long, salts int, n long, types long, gain double")
+            sums = sums.groupBy("context").agg(F.max("salts").alias("salts"), F.sum("n").alias("n"), F.sum("types").alias("types"), F.sum("gain").alias("gain"))
+            asked = asked.unionByName(sums.mapInArrow(_deal_sums(owners), block))
+        replies = at_owners(asked).mapInArrow(_answer(limits), reply)
+        if reach <= 2:  # the largest rounds: what was asked needn't be on disk beside what follows
+            replies, path = _written(replies, "lm-replies")
+            old.append(path)
+            settle(spark)
+    done = [f"{root}/kind=d" for root in roots]
+    done = [folder for folder in done if exists(spark, folder)] or roots[:1]
+    scored = spark.read.schema("payload binary").parquet(*done).mapInArrow(_unsealed, STATE)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
