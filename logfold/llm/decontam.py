@@ -26,7 +26,8 @@ FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <=
 FOLDED_WORD = re.compile(rb"[^ ]+")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-BITS = 20
+#: Bytes of benchmark text in one broadcast; a worker's tables of it take about ten times as much.
+BLOCK = 4 << 20
 
 
 def rolled(h: np.ndarray, width: int) -> np.ndarray:
@@ -46,71 +47,92 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """The benchmark's windows by width: a bitmap of their hashes, and the items of each."""
+    """A block's windows by width: sorted hashes, where a window of each stands, and the items that have it.
+
+    Only the items' normalised texts are sent; the tables, about 30 bytes a window, are
+    made in the process that uses them, as hash() is not the same in all.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
-        self.of: dict[bytes, list[str | None]] = defaultdict(list)
-        widths = set()
-        for item, text in items:
-            words = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
-            width = min(window, len(words))
-            if not width:
-                continue
-            widths.add(width)
-            for j in range(len(words) - width + 1):
-                owners = self.of[b" ".join(words[j : j + width])]
-                if item not in owners:
-                    owners.append(item)
-        self.widths = sorted(widths)
-        self.maps: dict[int, np.ndarray] = {}
+        self.ids = [item for item, _ in items]
+        self.texts = [b" ".join(text.encode("utf-8", "surrogatepass").translate(FOLD).split()) for _, text in items]
+        self.window = window
+        self.tables: dict[int, tuple[np.ndarray, ...]] | None = None
 
     def ready(self) -> None:
-        """Build the bitmaps in the process that uses them: hash() is not the same in all."""
-        if self.maps:
+        if self.tables is not None:
             return
         by = defaultdict(list)
-        for key in self.of:
-            by[key.count(b" ") + 1].append(key)
-        for width, keys in by.items():
-            h = np.fromiter((hash(w) for k in keys for w in k.split(b" ")), np.int64).view(np.uint64).reshape(-1, width)
-            code = np.zeros(len(h), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(width):
-                    code = code * PRIME + h[:, k]
-                self.maps[width] = np.zeros(1 << BITS, bool)
-                self.maps[width][(code * MIX) >> np.uint64(64 - BITS)] = True
+        sizes, at = [np.zeros(1, np.int64)], 0
+        for item, text in enumerate(self.texts):
+            words = text.split()
+            width = min(self.window, len(words))
+            if width:
+                codes = rolled(_hashes(words), width)
+                by[width].append((codes, np.arange(at, at + len(codes)), np.full(len(codes), item, np.int32)))
+                sizes.append(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                at += len(words)
+        self.body, self.starts = b" ".join(t for t in self.texts if t), np.cumsum(np.concatenate(sizes))
+        self.tables = {width: self._table(width, *(np.concatenate(c) for c in zip(*parts, strict=True))) for width, parts in sorted(by.items())}
+
+    def _window(self, at: int, width: int) -> bytes:
+        return self.body[self.starts[at] : self.starts[at + width] - 1]
+
+    def _table(self, width: int, codes: np.ndarray, at: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((item, codes))
+        codes, at, item = codes[order], at[order], item[order]
+        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        group = np.repeat(first, np.diff(np.append(first, len(codes))))
+        for k in np.flatnonzero(group != np.arange(len(codes))):  # windows of one hash are equal but for collisions, which become groups of their own
+            if self._window(at[k], width) != self._window(at[group[k]], width):
+                group[k] = next((g for g in range(group[k] + 1, k) if group[g] == g and self._window(at[g], width) == self._window(at[k], width)), k)
+        order = np.lexsort((item, group))
+        group, item = group[order], item[order]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (item[1:] != item[:-1])))
+        group, item = group[new], item[new]
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        keys = codes[group[first]]
+        bits = max(10, int(16 * len(keys) - 1).bit_length())
+        bitmap = np.zeros(1 << bits, bool)
+        bitmap[(keys * MIX) >> np.uint64(64 - bits)] = True
+        return bitmap, np.uint64(64 - bits), keys, at[group[first]], np.append(first, len(item)), item
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray | None, set]:
         """Which words lie in an occurrence of a window (None: none do), and the items that occur."""
         self.ready()
         mark, items = None, set()
-        if not self.widths or len(words) < self.widths[0]:
-            return mark, items
-        h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+        h = _hashes(words)
         with np.errstate(over="ignore"):
-            for width in self.widths:
+            for width, (bitmap, shift, keys, at, first, item) in self.tables.items():
                 if width > len(words):
                     break
-                for j in np.flatnonzero(self.maps[width][(rolled(h, width) * MIX) >> np.uint64(64 - BITS)]):
-                    owners = self.of.get(b" ".join(words[j : j + width]))
-                    if owners:
-                        if mark is None:
-                            mark = np.zeros(len(words), bool)
-                        mark[j : j + width] = True
-                        items.update(owners)
-        return mark, items
+                codes = rolled(h, width)
+                for j in np.flatnonzero(bitmap[(codes * MIX) >> shift]):
+                    said = None
+                    for k in range(np.searchsorted(keys, codes[j]), np.searchsorted(keys, codes[j], side="right")):
+                        said = said or b" ".join(words[j : j + width])
+                        if said == self._window(at[k], width):
+                            if mark is None:
+                                mark = np.zeros(len(words), bool)
+                            mark[j : j + width] = True
+                            items.update(item[first[k] : first[k + 1]].tolist())
+        return mark, {self.ids[i] for i in items}
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The benchmark in blocks of at most ``limit`` characters, or one item: the bound of each broadcast."""
+    """The benchmark in blocks of at most ``limit`` bytes, or one item: the bound of each broadcast."""
     block, held = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text", F.octet_length("text").alias("size")).where("text IS NOT NULL")
     for r in rows.toLocalIterator():
-        if block and held + len(r["text"]) > limit:
+        if block and held + r["size"] > limit:
             yield block
             block, held = [], 0
         block.append((r["item"], r["text"]))
-        held += len(r["text"])
+        held += r["size"]
     if block:
         yield block
 
@@ -120,19 +142,19 @@ def _runs(mark: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, block_chars: int = 32 << 20, window: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, hits (runs of hit words, start and end), items (sorted ids) for every row of ``docs``.
 
     An item of fewer than ``window`` words, but not none, is one window. Texts of any
     length are scanned whole. Null texts have no words; an item without words or text
     has no windows; items without an id hit words but are not listed; repeated rows give
-    repeated results; extra columns are dropped. A benchmark of more than ``block_chars``
-    characters is broadcast block by block, each scanned against all documents.
+    repeated results; extra columns are dropped. A benchmark of more than ``block_bytes``
+    is broadcast block by block, each scanned against all documents.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shape = "doc_id long, n_words long, hits array<struct<start:long,end:long>>, items array<string>"
-    blocks = _blocks(benchmark, block_chars)
+    blocks = _blocks(benchmark, block_bytes)
     first = next(blocks, [])
     second = next(blocks, None)
     if second is None:
@@ -205,11 +227,12 @@ def report(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options: ob
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", share: int = 20, window: int = WINDOW, limit: int = 32 << 20) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", share: int = 20, window: int = WINDOW, limit: int = BLOCK) -> DataFrame:
     """``docs`` without contaminated documents, or (mode ``span``) without the hit words' spans.
 
     All columns of ``docs`` stay. A cut span runs from its first word's first byte to its
-    last word's last one. A benchmark over ``limit`` characters is taken in blocks.
+    last word's last one. A benchmark over ``limit`` bytes is taken in blocks; what they
+    find in the unchanged texts is cut out together.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -217,21 +240,51 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", share:
         raise ValueError(f"mode is document or span, not {mode}")
     blocks = _blocks(benchmark, limit)
     first, second = next(blocks, []), next(blocks, None)
-    if mode == "document" and second is not None:
-        return _remove_in_blocks(docs, benchmark, share, window, limit)
-    while True:
-        docs = docs.mapInArrow(_cutter(spark.sparkContext.broadcast(Windows(first, window)), mode, share), docs.schema)
-        if second is None:
-            return docs
-        first, second = second, next(blocks, None)
+    if second is not None:
+        return _remove_in_blocks(docs, benchmark, mode, share, window, limit)
+    return docs.mapInArrow(_cutter(spark.sparkContext.broadcast(Windows(first, window)), mode, share), docs.schema)
 
 
-def _remove_in_blocks(docs: DataFrame, benchmark: DataFrame, share: int, window: int, limit: int) -> DataFrame:
+def _remove_in_blocks(docs: DataFrame, benchmark: DataFrame, mode: str, share: int, window: int, limit: int) -> DataFrame:
     row = fresh(docs, "row")
     rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-docs")
     numbered = rows.select(F.col(row).alias("doc_id"), "text")
-    bad = report(numbered, benchmark, share, block_chars=limit, window=window).where("contaminated").select(F.col("doc_id").alias(row))
-    return rows.join(bad, row, "left_anti").select(*docs.columns)
+    if mode == "document":
+        bad = report(numbered, benchmark, share, block_bytes=limit, window=window).where("contaminated").select(F.col("doc_id").alias(row))
+        return rows.join(bad, row, "left_anti").select(*docs.columns)
+    hits = fresh(docs, "hits")
+    found = find(numbered, benchmark, block_bytes=limit, window=window).where("size(hits) > 0").select(F.col("doc_id").alias(row), F.col("hits").alias(hits))
+    both = rows.join(found, row, "left").select(*docs.columns, hits)
+
+    def cut(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            at = b.schema.get_field_index("text")
+            texts = b.column(at).cast(pa.binary()).to_pylist()
+            for k, runs in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if runs:
+                    mark = np.zeros(max(r["end"] for r in runs), bool)
+                    for r in runs:
+                        mark[r["start"] : r["end"]] = True
+                    texts[k] = _without(texts[k], mark)
+            yield _with_texts(b.select(range(b.num_columns - 1)), at, texts)
+
+    return both.mapInArrow(cut, docs.schema)
+
+
+def _without(text: bytes, mark: np.ndarray) -> bytes:
+    """``text`` without the spans of its marked words."""
+    spans = [m.span() for m in FOLDED_WORD.finditer(text.translate(FOLD))]
+    out, last = [], 0
+    for run in _runs(mark):
+        out.append(text[last : spans[run["start"]][0]])
+        last = spans[run["end"] - 1][1]
+    return b"".join(out) + text[last:]
+
+
+def _with_texts(b: pa.RecordBatch, at: int, texts: list[bytes | None]) -> pa.RecordBatch:
+    columns = list(b.columns)
+    columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
 
 def _cutter(shared: Broadcast, mode: str, share: int):
@@ -247,18 +300,11 @@ def _cutter(shared: Broadcast, mode: str, share: int):
                 if mode == "document":
                     stay.append(not (hit and share * hit >= len(words)))
                 elif hit:
-                    spans = [m.span() for m in FOLDED_WORD.finditer(text.translate(FOLD))]
-                    out, last = [], 0
-                    for run in _runs(mark):
-                        out.append(text[last : spans[run["start"]][0]])
-                        last = spans[run["end"] - 1][1]
-                    texts[k], changed = b"".join(out) + text[last:], True
+                    texts[k], changed = _without(text, mark), True
             if mode == "document":
                 b = b.filter(pa.array(stay, pa.bool_()))
             elif changed:
-                columns = list(b.columns)
-                columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-                b = pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+                b = _with_texts(b, at, texts)
             yield b
 
     return cut
