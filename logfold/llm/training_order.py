@@ -1,28 +1,26 @@
 """Token ids in training order.
 
 Texts become token ids, cut into sequences; a keyed Feistel permutation with
-cycle-walking gives every sequence a global slot; each range of slots is written as one
-shard of fixed stride, so a reader finds slot s at (s - first) * stride and can resume
-anywhere.
-
-How many sequences a text has is only known once it is tokenised, which is the costly
-part and done once. So texts are numbered by what they can have at most (a token has a
-byte at least), the permutation is of those numbers, and the slots are what remains of
-them in order: the numbers that no sequence has are closed up when the shards are counted.
+cycle-walking gives sequence i of n the slot feistel(i, n); each range of slots is written
+as one shard of fixed stride, so slot s is row s % rows_per_shard of shard
+s // rows_per_shard, and a reader can resume anywhere. Where the order of the documents
+matters, as after a curriculum, sequences are permuted inside blocks only.
+
+Texts are tokenised twice: how many sequences there are must be known before one is
+placed. That is cheap, as what stands between two spaces is tokenised once and then known.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfold.llm.common import batches, filesystem, materialise, new_dir, small_batches, stable_rows
@@ -46,11 +44,33 @@ def encoding(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
     return _loaded[vocabulary, pattern]
 
 
+#: A space between two other characters. The pattern's pieces have a space at their start
+#: or are white space, so none reaches across: what such spaces part is tokenised apart.
+BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+_units: dict[str, dict[str, list[int]]] = {}
+#: Units that a process remembers.
+REMEMBERED = 1 << 20
+
+
 def tokens(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     """The ids of the whole text, then the end of text. Null and empty texts have the end only."""
     enc = encoding(vocabulary)
-    clean = (text or "").encode("utf-8", "replace").decode("utf-8")
-    return np.append(enc.encode_to_numpy(clean), np.uint32(enc.max_token_value + 1))
+    known = _units.setdefault(vocabulary, {})
+    out: list[int] = []
+    if text:
+        first, *rest = BOUNDARY.split(text.encode("utf-8", "replace").decode("utf-8"))
+        out += enc.encode_ordinary(first)
+        for unit in rest:
+            ids = known.get(unit)
+            if ids is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                ids = enc.encode_ordinary(" " + unit)
+                if len(unit) < 64:
+                    known[unit] = ids
+            out += ids
+    out.append(enc.max_token_value + 1)
+    return np.array(out, np.uint32)
 
 
 def feistel(n: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -76,111 +96,126 @@ def feistel(n: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def materialise_order(docs: DataFrame, path: str | None = None, length: int = 512, rows_per_shard: int = 8192, key: int = 20240229, vocabulary: str = VOCABULARY) -> DataFrame:
+def slots(numbers: np.ndarray, total: int, key: int, block: int | None = None) -> np.ndarray:
+    """The slot of each sequence number: permuted among all, or inside its block of ``block`` numbers."""
+    if block is None:
+        return feistel(numbers, total, key)
+    out = np.empty(len(numbers), np.int64)
+    for k in np.unique(numbers // block):
+        at = np.flatnonzero(numbers // block == k)
+        out[at] = k * block + feistel(numbers[at] - k * block, min(block, total - int(k) * block), key + int(k))
+    return out
+
+
+def materialise_order(docs: DataFrame, path: str | None = None, length: int = 512, rows_per_shard: int = 8192, key: int = 20240229, vocabulary: str = VOCABULARY, block: int | None = None) -> DataFrame:
     """Write every row of ``docs`` (doc_id, text) as sequences of ``length`` ids; returns the index.
 
     A document is tokenised whole, ended, and cut; its last sequence is padded with the
     id after the end's. Ids are two little-endian bytes each, or four where the
     vocabulary needs it. The index has doc_id, part (the sequence's place in its
-    document), slot (gapless from 0), shard, file, byte_offset, n_tokens (without padding)
-    and tokens_crc32 (of the row as stored). Shards have about ``rows_per_shard`` rows.
-    Null ids are kept; repeated rows are separate documents; an empty table gives an empty
-    index; extra columns are ignored.
-
-    The first pass adds up each partition's bytes, the second writes: with running numbers
-    in scan order the permutation needs no sort. The second checks each partition against
-    the first. Attempts write files of their own; the committed index names those that count.
+    document), number (its place among all, in the order of the files and their rows),
+    slot (gapless from 0), shard, file, byte_offset, n_tokens (without padding) and
+    tokens_crc32 (of the row as stored). Each shard has ``rows_per_shard`` rows, the last
+    one what is left. Null ids are kept; repeated rows are separate documents; an empty
+    table gives an empty index; extra columns are ignored.
+
+    The first pass counts the sequences of each file split, the second writes: with
+    running numbers in the order of the splits the permutation needs no sort. The second
+    checks each split against the first. Attempts write files of their own; the committed
+    index names those that count.
     """
-    index = _written(docs, path, length, rows_per_shard, key, vocabulary)
-    return index.join(_first_slots(index), "shard").select("doc_id", "part", (F.col("first") + F.col("row")).alias("slot"), "shard", "file", "byte_offset", "n_tokens", "tokens_crc32")
-
-
-def _first_slots(index: DataFrame) -> DataFrame:
-    """shard, first: the first slot of each shard, from the shards' counts."""
-    counts = index.groupBy("shard").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-
-
-def _written(docs: DataFrame, path: str | None, length: int, rows_per_shard: int, key: int, vocabulary: str) -> DataFrame:
-    """The index by shard and row, its files in the order of the shards' rows."""
     spark = docs.sparkSession
     small_batches(spark)
     path = path or new_dir(spark, "shards")
-    rows = stable_rows(docs.select("doc_id", "text"))
-    counts = sorted((r["pid"], r["most"], r["seal"]) for r in rows.mapInArrow(_counter(length), "pid int, most long, seal long").collect())
+    base = stable_rows(docs)
+    if base is not docs:
+        base = materialise(docs.select("doc_id", "text"), "order-rows")
+    rows = base.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first, total = {}, 0
+    for r in rows.mapInArrow(_counter(length, vocabulary), "file string, at long, n long, seal long").orderBy("file", "at").toLocalIterator():  # a row for each file split
+        first[r["file"], r["at"]] = (total, r["n"], r["seal"])
+        total += r["n"]
     enc = encoding(vocabulary)
     width = 2 if enc.max_token_value + 2 < 1 << 16 else 4
-    first, total = {}, 0
-    for pid, n, seal in counts:
-        first[pid] = (total, n, seal)
-        total += n
     shared = spark.sparkContext.broadcast(first)
-    span = 2 * rows_per_shard
-    parts = max(1, min(-(-total // span), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cut = rows.mapInArrow(_cutter(shared, total, length, width, key, vocabulary), "doc_id long, part int, number long, n_tokens int, ids binary")
-    placed = cut.withColumn("shard", F.floor(F.col("number") / span).cast("int"))
-    ordered = placed.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("number")
+    shards = -(-total // rows_per_shard)
+    parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-shards // SHARDS_PER_TASK))
+    cut = rows.mapInArrow(_cutter(shared, total, length, width, key, vocabulary, block), "doc_id long, part int, number long, slot long, n_tokens int, ids binary")
+    placed = cut.withColumn("shard", F.floor(F.col("slot") / rows_per_shard).cast("int"))
+    ordered = placed.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("slot")
     pad = np.array([enc.max_token_value + 2], f"<u{width}").tobytes()
-    index = ordered.mapInArrow(_writer(path, length * width, pad), "doc_id long, part int, row long, shard int, file string, byte_offset long, n_tokens int, tokens_crc32 long")
-    return materialise(index, "order-index")
+    return materialise(ordered.mapInArrow(_writer(path, length * width, pad), ", ".join(f"{f.name} {KINDS[f.type]}" for f in INDEX)), "order-index")
+
+
+#: Shards of 8 MB that one task writes, where there are more than tasks.
+SHARDS_PER_TASK = 16
+KINDS = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
+INDEX = pa.schema(
+    [("doc_id", pa.int64()), ("part", pa.int32()), ("number", pa.int64()), ("slot", pa.int64()), ("shard", pa.int32()), ("file", pa.string()), ("byte_offset", pa.int64()), ("n_tokens", pa.int32()), ("tokens_crc32", pa.int64())]
+)
 
 
 def _sequences(n: int, length: int) -> int:
     return -(-n // length)
 
 
-def _counter(length: int):
-    schema = pa.schema([("pid", pa.int32()), ("most", pa.int64()), ("seal", pa.int64())])
+def _texts(b: pa.RecordBatch) -> Iterator[tuple]:
+    """doc_id, text and the file split of each row; bytes that are no UTF-8 are replaced."""
+    for doc, text, file, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        yield doc, None if text is None else text.decode("utf-8", "replace"), (file, at)
+
+
+def _seal(doc: int | None, ids: np.ndarray, seal: int) -> int:
+    return zlib.crc32(b"%s:%d" % (str(doc).encode(), len(ids)), seal)
+
+
+def _counter(length: int, vocabulary: str):
+    schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("seal", pa.int64())])
 
     def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = seal = 0
+        found: dict[tuple, tuple[int, int]] = {}
         for b in parts:
-            for doc, n in zip(b.column(0).to_pylist(), pc.binary_length(b.column(1).cast(pa.binary())).to_pylist(), strict=True):
-                most += _sequences((n or 0) + 1, length)
-                seal = zlib.crc32(b"%s:%d" % (str(doc).encode(), n or 0), seal)
-        yield from batches([(TaskContext.get().partitionId(), most, seal)], schema)
+            for doc, text, split in _texts(b):
+                ids = tokens(text, vocabulary)
+                n, seal = found.get(split, (0, 0))
+                found[split] = (n + _sequences(len(ids), length), _seal(doc, ids, seal))
+        yield from batches([(*split, *v) for split, v in found.items()], schema)
 
     return count
 
 
-def _cutter(shared, total: int, length: int, width: int, key: int, vocabulary: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("number", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary())])
+def _cutter(shared, total: int, length: int, width: int, key: int, vocabulary: str, block: int | None):
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("number", pa.int64()), ("slot", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary())])
 
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        pid = TaskContext.get().partitionId()
-        start, expected, sealed = shared.value.get(pid, (0, 0, 0))
-        done = seal = 0
+        found: dict[tuple, tuple[int, int]] = {}
         for b in parts:
             held, at = [], []
-            sizes = pc.binary_length(b.column(1).cast(pa.binary())).to_pylist()
-            for doc, text, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sizes, strict=True):
+            for doc, text, split in _texts(b):
                 ids = tokens(text, vocabulary)
-                seal = zlib.crc32(b"%s:%d" % (str(doc).encode(), size or 0), seal)
-                most, n = _sequences((size or 0) + 1, length), _sequences(len(ids), length)
-                if n > most:
-                    raise RuntimeError(f"the vocabulary gives a text of {size} bytes {len(ids)} tokens")
+                done, seal = found.get(split, (0, 0))
+                n = _sequences(len(ids), length)
                 raw = ids.astype(f"<u{width}").tobytes()
                 held += [(doc, i, raw[i * length * width : (i + 1) * length * width]) for i in range(n)]
-                at += range(start + done, start + done + n)
-                done += most
-            numbers = feistel(np.array(at, np.int64), total, key) if held else []
-            for (doc, part, raw), number in zip(held, numbers, strict=True):
-                yield doc, part, int(number), len(raw) // width, raw
-        if (done, seal) != (expected, sealed):
-            raise RuntimeError(f"partition {pid} has changed since it was counted")
+                start = shared.value[split][0] + done
+                at += range(start, start + n)
+                found[split] = (done + n, _seal(doc, ids, seal))
+            numbers = np.array(at, np.int64)
+            for (doc, part, raw), number, slot in zip(held, at, slots(numbers, total, key, block).tolist(), strict=True):
+                yield doc, part, number, slot, len(raw) // width, raw
+        for split, done in found.items():
+            if shared.value[split][1:] != done:
+                raise RuntimeError(f"{split} has changed since it was counted")
 
     return lambda parts: batches(each(parts), schema)
 
 
 def _writer(path: str, stride: int, pad: bytes):
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("shard", pa.int32()), ("file", pa.string()), ("byte_offset", pa.int64()), ("n_tokens", pa.int32()), ("tokens_crc32", pa.int64())])
-
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         out, current, name, at = None, None, "", 0
         for b in parts:
-            columns = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "part", "n_tokens", "ids", "shard"))
-            for doc, part, n, raw, shard in zip(*columns, strict=True):
+            columns = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "part", "number", "slot", "n_tokens", "ids", "shard"))
+            for doc, part, number, slot, n, raw, shard in zip(*columns, strict=True):
                 if shard != current:
                     if out:
                         out.close()
@@ -190,12 +225,12 @@ def _writer(path: str, stride: int, pad: bytes):
                     out = fs.open_output_stream(local, compression=None)
                 row = raw + pad * ((stride - len(raw)) // len(pad))
                 out.write(row)
-                yield doc, part, at, shard, name, at * stride, n, zlib.crc32(row)
+                yield doc, part, number, slot, shard, name, at * stride, n, zlib.crc32(row)
                 at += 1
         if out:
             out.close()
 
-    return lambda parts: batches(each(parts), schema)
+    return lambda parts: batches(each(parts), INDEX)
 
 
 def read_slots(spark: SparkSession, index: DataFrame, length: int = 512, start: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -219,19 +254,19 @@ def read_slots(spark: SparkSession, index: DataFrame, length: int = 512, start:
     return files.mapInArrow(lambda parts: batches(each(parts), schema), "slot long, ids binary")
 
 
-def report(docs: DataFrame, path: str | None = None, length: int = 512, rows_per_shard: int = 8192, key: int = 20240229, vocabulary: str = VOCABULARY) -> DataFrame:
+def report(docs: DataFrame, path: str | None = None, length: int = 512, rows_per_shard: int = 8192, key: int = 20240229, vocabulary: str = VOCABULARY, block: int | None = None) -> DataFrame:
     """The index, with the checksum of what the shards hold for each slot when read back.
 
     Index files hold their shards' rows in order, so each shard is read in sequence.
     """
-    index = _written(docs, path, length, rows_per_shard, key, vocabulary)
+    index = materialise_order(docs, path, length, rows_per_shard, key, vocabulary, block)
     stride = length * (2 if encoding(vocabulary).max_token_value + 2 < 1 << 16 else 4)
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("shard", pa.int32()), ("byte_offset", pa.int64()), ("n_tokens", pa.int32()), ("tokens_crc32", pa.int64())])
+    schema = pa.schema([f for f in INDEX if f.name != "file"])
 
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         current, data = None, None
         for b in parts:
-            for doc, part, row, shard, file, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, part, number, slot, shard, file, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if file != current:
                     if data:
                         data.close()
@@ -239,10 +274,8 @@ def report(docs: DataFrame, path: str | None = None, length: int = 512, rows_per
                     current, data = file, fs.open_input_file(name)
                 if data.tell() != at:
                     data.seek(at)
-                yield doc, part, row, shard, at, n, zlib.crc32(data.read(stride))
+                yield doc, part, number, slot, shard, at, n, zlib.crc32(data.read(stride))
         if data:
             data.close()
 
-    rows = index.select("doc_id", "part", "row", "shard", "file", "byte_offset", "n_tokens")
-    back = rows.mapInArrow(lambda parts: batches(each(parts), schema), "doc_id long, part int, row long, shard int, byte_offset long, n_tokens int, tokens_crc32 long")
-    return back.join(_first_slots(index), "shard").select("doc_id", "part", (F.col("first") + F.col("row")).alias("slot"), "shard", "byte_offset", "n_tokens", "tokens_crc32")
+    return index.drop("tokens_crc32").mapInArrow(lambda parts: batches(each(parts), schema), ", ".join(f"{f.name} {KINDS[f.type]}" for f in schema))
