@@ -27,6 +27,8 @@ SKIPPABLE, FOOTER, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Equal payloads of fewer bytes are stored again.
 LEAST_SHARED = 100
 SALTS = 256
+#: Record ids are version 5 UUIDs of a bundle's name and a running number.
+NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 INDEX = "page_id long, record_type string, refers_to long, bundle string, frame long, frame_offset long, frame_bytes long, record_offset long, record_bytes long"
 INDEX_SCHEMA = pa.schema(
@@ -34,16 +36,19 @@ INDEX_SCHEMA = pa.schema(
 )
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One WARC/1.1 record. A revisit has the headers of its response and no payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str, name: str) -> bytes:
+    """One WARC/1.1 record with an id of its own. A revisit has the headers of its response and no payload.
+
+    A page_id may be null or occur twice, so pages are named by headers beside the id.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_said(page_id)}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMES, name)}>", f"WARC-Date: {date}", f"X-Page-ID: {_said(page_id)}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url))
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{_said(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"X-Refers-To-Page: {_said(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -52,9 +57,8 @@ def _said(page_id: int | None) -> str:
     return "none" if page_id is None else str(page_id)
 
 
-def _page(urn: str) -> int | None:
-    name = urn.strip("<>").rpartition(":")[2]
-    return None if name == "none" else int(name)
+def _page(said: str) -> int | None:
+    return None if said == "none" else int(said)
 
 
 @dataclass
@@ -85,8 +89,8 @@ def parse(data: bytes, at: int = 0) -> tuple[Parsed, int]:
         payload = block[block.index(b"\r\n\r\n") + 4 :]
         if hashlib.sha256(payload).hexdigest() != said or len(payload) != length:
             raise ValueError(f"the payload of {head['WARC-Record-ID']} differs from its digest")
-    refers = _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
-    return Parsed(_page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, refers, payload, length, said), end + 8 + size
+    refers = _page(head["X-Refers-To-Page"]) if "X-Refers-To-Page" in head else None
+    return Parsed(_page(head["X-Page-ID"]), head.get("WARC-Target-URI"), kind, refers, payload, length, said), end + 8 + size
 
 
 @dataclass
@@ -189,7 +193,7 @@ def write(pages: DataFrame, path: str | None = None, frame_bytes: int = 1 << 20,
 
 
 def _archived(parts: Iterable[pa.RecordBatch], stem: str, frame_bytes: int, bundle_bytes: int, level: int, date: str) -> Iterator[tuple]:
-    bundle, pending, made = None, [], 0
+    bundle, pending, made, count = None, [], 0, 0
 
     def flushed() -> list[tuple]:
         at, size = bundle.flush()
@@ -198,10 +202,12 @@ def _archived(parts: Iterable[pa.RecordBatch], stem: str, frame_bytes: int, bund
         return rows
 
     for b in parts:
-        for page, url, html, digest, revisit, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) and k == 2 else c for k, c in enumerate(b.columns)]
+        for page, url, html, digest, revisit, refers in zip(*(c.to_pylist() for c in columns), strict=True):
             if bundle is None:
                 bundle, made = Bundle(f"{stem}-{made:04d}.warc.zst", level), made + 1
-            data = record(page, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers, revisit, date)
+            data = record(page, url, html or b"", digest, refers, revisit, date, f"{stem}-{count}")
+            count += 1
             if bundle.held and len(bundle.held) + len(data) > frame_bytes:
                 yield from flushed()
             pending.append(((page, "revisit" if revisit else "response", refers), len(bundle.held), len(data)))
@@ -218,12 +224,15 @@ def _archived(parts: Iterable[pa.RecordBatch], stem: str, frame_bytes: int, bund
 
 def _prune(spark: SparkSession, path: str, index: DataFrame) -> None:
     """Delete bundles that no committed index row names: failed or doubled attempts wrote them."""
-    keep = {r["bundle"].rpartition("/")[2] for r in index.select("bundle").distinct().toLocalIterator()}
+    attempt = F.substring_index(F.substring_index("bundle", "/", -1), "-", 3)
+    keep = {r["a"] for r in index.select(attempt.alias("a")).distinct().toLocalIterator()}  # one for each task
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.listStatus(where) if fs.exists(where) else []:
-        if status.getPath().getName() not in keep:
-            fs.delete(status.getPath(), False)
+    found = fs.listStatusIterator(where) if fs.exists(where) else None
+    while found and found.hasNext():
+        at = found.next().getPath()
+        if at.getName().rpartition("-")[0] not in keep:
+            fs.delete(at, False)
 
 
 def read(index: DataFrame) -> DataFrame:
