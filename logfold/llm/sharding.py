@@ -3,7 +3,7 @@
 Size-weighted samples of the record key are drawn, their quantiles become the
 boundaries of many fine ranges, ranges that turn out overfull are subdivided, and
 the ordered ranges are cut into shards of near equal bytes. DataFrame functions
-only; the driver sees a bounded sample and one total per range.
+only; the driver sees a sample and one total for each range of at most RANGE_ROWS rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from logfold.llm.common import literal_array, materialise
 
 MIN = -(1 << 63)
+#: Rows of one range, so that no task sorts more than about this many.
+RANGE_ROWS = 4 << 20
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, ranges_per_shard: int = 64, draws_per_range: int = 4, snap: float = 0.005, rounds: int = 4, seed: int = 17) -> DataFrame:
@@ -44,7 +46,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, ranges_per_shard: int =
         "shard-keys",
     )
     total, n = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    wanted = max(1, min(n_shards * ranges_per_shard, n))
+    wanted = max(1, min(max(n_shards * ranges_per_shard, -(-n // RANGE_ROWS)), n))
     bounds = _quantiles(_draw(keyed, total, n, wanted * draws_per_range, seed), draws_per_range)
     for turn in range(rounds):
         ranged = keyed.withColumn("range", _range_of(bounds))
