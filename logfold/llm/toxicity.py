@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import batches, bounded_labels, small_batches
+from logfold.llm.common import batches, bounded_labels, materialise, small_batches
 
 # The closed word classes.
 TARGETS = "you your yours yourself they them he him she her u ur du dich dir ihr euch sie tu toi te vous ti usted ustedes vosotros ellos".split()
@@ -140,6 +140,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def _texts(column: pa.Array) -> Iterator[str]:
+    """The texts of a column; nulls are empty, bytes that are no UTF-8 are replaced."""
+    for raw in column.cast(pa.binary()).to_pylist():
+        yield (raw or b"").decode("utf-8", "replace")
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     """Rows from which no label is learned; rows without id have no label."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
@@ -154,14 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 25_000, lexicon_bound:
     """
     small_batches(docs.sparkSession)
     marks = F.broadcast(bounded_labels(labels.where(~held_out(F.col("doc_id"))), "toxic", bound))
-    known = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(marks, "doc_id").select("text", "label")
+    known = materialise(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(marks, "doc_id").select("text", "label"), "toxic-labelled")
     counted = known.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = materialise(counted.where("toxic + clean >= 3"), "toxic-features")
     total = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     n_toxic, n_clean = total[0], total[1] - total[0]
     if not n_toxic or not n_clean:
         return Model(Lexicon({}, {}), PRIOR[:-1], PRIOR[-1])
     base = n_toxic / (n_toxic + n_clean)
-    tried = max(1, counted.where("toxic + clean >= 3").count())
+    tried = max(1, counted.count())
     a, b = F.col("toxic"), F.col("clean")
     gain = 2 * (a * F.log(a / ((a + b) * base)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - base)))).otherwise(0.0))
     strong = counted.where(a > 0).withColumn("gain", gain).where((a * n_clean > 2 * b * n_toxic) & (F.col("gain") > 2 * math.log(tried) + 4))
@@ -174,8 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 25_000, lexicon_bound:
     def featured(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, out = shared.value, Counter()
         for p in parts:
-            for text, label in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True):
-                out[tuple(round(v, 1) for v in m.features(text or "")), label] += 1
+            for text, label in zip(_texts(p.column(0)), p.column(1).to_pylist(), strict=True):
+                out[tuple(round(v, 1) for v in m.features(text)), label] += 1
         kind = pa.schema([("x", pa.list_(pa.float64())), ("label", pa.int32()), ("n", pa.int64())])
         yield from batches(((list(x), y, n) for (x, y), n in out.items()), kind)
 
@@ -189,8 +196,8 @@ def _count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of words ("=word") and of stems that are not whole words, by label."""
     seen = (Counter(), Counter())
     for p in parts:
-        for text, label in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True):
-            found = set(WORD.findall((text or "").lower()))
+        for text, label in zip(_texts(p.column(0)), p.column(1).to_pylist(), strict=True):
+            found = set(WORD.findall(text.lower()))
             seen[label > 0].update({"=" + w for w in found if len(w) <= 40} | {w[:k] for w in found for k in STEMS if len(w) > k})
     kind = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
     yield from batches(((f, seen[1][f], seen[0][f]) for f in seen[0] | seen[1]), kind)
@@ -253,7 +260,7 @@ def _scorer(shared):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for p in parts:
-            scores = [model.score(t or "") for t in p.column(2).to_pylist()]
+            scores = [model.score(t) for t in _texts(p.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [p.column(0), p.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"]
             )
@@ -269,7 +276,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     def civil(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for p in parts:
-            texts = p.column(p.schema.get_field_index("text")).to_pylist()
-            yield p.filter(pa.array([model.score(t or "") < threshold for t in texts], pa.bool_()))
+            texts = _texts(p.column(p.schema.get_field_index("text")))
+            yield p.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
 
     return docs.mapInArrow(civil, docs.schema)
