@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logfold.llm.oracles import ORACLES
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Query name: module of this subpackage that has the function of that name.
@@ -23,8 +25,6 @@ QUERIES = {
     "op10_pattern_grammar_toxicity": "contracts",
 }
 
-ORACLES: dict[str, str] = {}
-
 
 def _late(module: str, name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
