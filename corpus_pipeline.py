@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logfold.llm import common, curriculum, decontam, jaccard_join, toxicity, training_order
 
+#: Sequences that the last stage permutes among each other: eight shards.
+BLOCK = 1 << 16
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -40,9 +43,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ordered(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids: shards in training order; returns the index of their sequences."""
+    """Token ids: shards in training order; returns the index of their sequences.
+
+    The curriculum's order is that of the files: it stays, and sequences are permuted
+    within blocks of it.
+    """
     common.release(spark)
-    return training_order.report(docs)
+    return training_order.report(docs, block=BLOCK)
 
 
 STAGES: list[tuple[str, Stage]] = [
