@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -59,21 +60,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the work folders of earlier operators; their results must be written by now."""
-    for path in _made.pop(spark.sparkContext.applicationId, []):
+@contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Work folders made inside belong to ``owner``; those it had before are deleted first.
+
+    What was read from them must be written by then. Others' folders stay.
+    """
+    app = spark.sparkContext.applicationId
+    for path in _made.pop(f"{app}/{owner}", []):
         remove(spark, path)
+    made = _made.setdefault(app, [])
+    start = len(made)
+    try:
+        yield
+    finally:
+        _made[f"{app}/{owner}"], made[start:] = made[start:], []
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Work folders made inside are deleted at the end, but for the last one."""
+    """Work folders made inside are deleted at the end, but for the last one; after a failure all are."""
     made = _made.setdefault(spark.sparkContext.applicationId, [])
-    start = len(made)
-    yield
-    for path in made[start:-1]:
-        remove(spark, path)
-    made[start:] = made[-1:] if len(made) > start else []
+    start, kept = len(made), 0
+    try:
+        yield
+        kept = 1
+    finally:
+        last = made[len(made) - kept :] if len(made) > start else []
+        for path in made[start : len(made) - len(last)]:
+            remove(spark, path)
+        made[start:] = last
     settle(spark)
 
 
@@ -87,10 +103,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def settle(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
-    Its cleaner acts when the driver's garbage is collected, which may take hours.
+    Its cleaner acts when the driver's garbage is collected, which may take hours; what
+    Python held is garbage of the JVM only after a first round.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def stable_rows(df: DataFrame) -> DataFrame:

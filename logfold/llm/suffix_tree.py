@@ -9,11 +9,11 @@ tried: no length bounds them, a context is followed until it is too rare or noth
 longer could diverge enough.
 
 Neither the tree nor the vocabulary is broadcast. Documents are packed into bundles of
-bounded size; a bundle asks the owners of its words and (context, next token) grams for
-their counts and probabilities, each owner puts together what all bundles say about its
-share of the contexts, and the answers go back to the bundles: one round for each reach,
-for those tokens only whose context occurs often enough, as the shorter gram before it
-has told. A context that occurs more often than ``HOT`` is dealt to several owners by its
+bounded size; a bundle asks the owners of its words for their counts and numbers, then
+those of its (context, next token) grams for what the corpus has of them; each owner puts
+together what all bundles say about its share of the contexts, and the answers go back to
+the bundles: one round for each reach, for those tokens only whose context occurs often
+enough, as the shorter gram before it has told. A context that occurs more often than ``HOT`` is dealt to several owners by its
 next tokens; their sums are put together first.
 """
 
@@ -52,13 +52,16 @@ SUMS = pa.schema([("context", pa.int64()), ("salts", pa.int32()), ("n", pa.int64
 STATE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 BASE = 0x5851F42D4C957F2D
-#: Stands before the first word of a text.
-BEGIN = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the numbers of words, and the begin's 0, from being hashes of little.
+OFFSET = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a word's number.
 X_BITS = 40
 
 
 @dataclass(frozen=True)
 class Limits:
+    #: Training tokens, distinct ones and 1: what a word's count + 1 is a share of.
+    floor: int = 1
     least_count: int = LEAST_COUNT
     least_gain: float = LEAST_GAIN
     hot: int = HOT
@@ -117,16 +120,18 @@ def _squeezed(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _closed(rows: pa.RecordBatch, bodies: list[bytes], arrays: dict[str, np.ndarray]) -> bytes:
-    """A bundle: its rows, its texts, and arrays over its tokens."""
-    parts = [_sealed(rows.append_column("body", pa.array(bodies, pa.binary())))]
+def _closed(rows: pa.RecordBatch, bodies: list[bytes] | None, arrays: dict[str, np.ndarray]) -> bytes:
+    """A bundle: its rows, its texts until their words have numbers, and arrays over its texts and tokens."""
+    if bodies is not None:
+        rows = rows.append_column("body", pa.array(bodies, pa.binary()))
+    parts = [_sealed(rows)]
     for name, a in arrays.items():
         raw = _planes(a)
         parts.append(struct.pack("<4s2sq", name.encode(), a.dtype.str[1:].encode(), len(raw)) + raw)
     return _squeezed(b"".join(struct.pack("<q", len(p)) + p for p in parts))
 
 
-def _opened(payload: bytes) -> tuple[pa.RecordBatch, list[bytes], dict[str, np.ndarray]]:
+def _opened(payload: bytes) -> tuple[pa.RecordBatch, dict[str, np.ndarray]]:
     raw, at, parts = zstandard.ZstdDecompressor().decompress(payload), 0, []
     while at < len(raw):
         n = struct.unpack_from("<q", raw, at)[0]
@@ -138,7 +143,7 @@ def _opened(payload: bytes) -> tuple[pa.RecordBatch, list[bytes], dict[str, np.n
     for p in parts[1:]:
         name, kind, n = struct.unpack_from("<4s2sq", p)
         arrays[name.rstrip(b"\0").decode()] = _unplaned(np.frombuffer(p, np.uint8, n, 14), kind.decode())
-    return rows.select(range(6)), rows.column(6).to_pylist(), arrays
+    return rows, arrays
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -153,35 +158,37 @@ def _unplaned(raw: np.ndarray, kind: str) -> np.ndarray:
 # --- what a bundle asks ----------------------------------------------------------------
 
 
+def _words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a bundle's distinct tokens, its tokens in sequence (of every text its words and its end) and the texts' sizes."""
+    known: dict[bytes, int] = {b"\n": 0}
+    ids: list[int] = []
+    sizes = []
+    for body in bodies:
+        words = body.split(b" ") if body else []
+        ids.extend([known.setdefault(w, len(known)) for w in words])
+        ids.append(0)
+        sizes.append(len(words) + 1)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known)), np.array(ids, np.int64), np.array(sizes, np.int64)
+
+
 class Tokens:
-    """A bundle's tokens in sequence: of every text its words and its end."""
-
-    def __init__(self, bodies: list[bytes]):
-        known: dict[bytes, int] = {b"\n": 0}
-        ids: list[int] = []
-        sizes = []
-        for body in bodies:
-            words = body.split(b" ") if body else []
-            ids.extend([known.setdefault(w, len(known)) for w in words])
-            ids.append(0)
-            sizes.append(len(words) + 1)
-        self.words, self.ids, self.sizes = list(known), np.array(ids, np.int64), np.array(sizes, np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.text = np.repeat(np.arange(len(bodies)), self.sizes)
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+    """A bundle's tokens in sequence, as numbers, and the sizes of its texts."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+        self.starts = np.cumsum(sizes) - sizes
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
 
     def contexts(self, pick: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the contexts of ``reach`` words before the tokens ``pick``, and which begin with the text's begin."""
-        data = np.insert(self.hashes[self.ids], self.starts, BEGIN)
+        data = np.insert(self.ids + np.uint64(1), self.starts, np.uint64(0))
         text = self.text[pick]
         at, first = pick + text + 1, self.starts[text] + text
         since = np.maximum(at - reach, first)
         with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data ^ (data >> np.uint64(31))) * _powers(BASE, len(data)), dtype=np.uint64)))
-            h = (sums[at] - sums[since]) * _powers(pow(BASE, -1, 1 << 64), len(data))[since]
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(32)), since == first
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(data + OFFSET) * _powers(BASE, len(data)), dtype=np.uint64)))
+            h = _mixed((sums[at] - sums[since]) * _powers(pow(BASE, -1, 1 << 64), len(data))[since])
+        return h, since == first
 
     def before(self, flags: np.ndarray) -> np.ndarray:
         """For each token, ``flags`` of the token before it; 0 for the first of a text."""
@@ -190,6 +197,13 @@ class Tokens:
         return out
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base))
     out[:1] = 1
@@ -202,42 +216,56 @@ class Asked:
 
     def __init__(self, tokens: Tokens, pick: np.ndarray, reach: int, often: np.ndarray, owners: int, hot: int):
         context, self.whole = tokens.contexts(pick, reach)
-        x = tokens.hashes[tokens.ids[pick]] >> np.uint64(64 - X_BITS)
         distinct, which = np.unique(context, return_inverse=True)
-        key, first, where = np.unique((which.astype(np.uint64) << np.uint64(X_BITS)) | x, return_index=True, return_inverse=True)
-        self.context, self.x, self.salts = context[first], x[first], 1 + often[pick][first] // hot
-        with np.errstate(over="ignore"):
-            salted = self.context + (self.x % self.salts.astype(np.uint64)) * np.uint64(BASE)
-            spread = (salted ^ (salted >> np.uint64(31))) * BEGIN
-        owner = ((spread >> np.uint64(32)) % np.uint64(owners)).astype(np.int32)
+        key, first, where = np.unique((which.astype(np.uint64) << np.uint64(X_BITS)) | tokens.ids[pick], return_index=True, return_inverse=True)
+        self.context, self.x, self.salts = context[first], tokens.ids[pick][first], 1 + often[pick][first] // hot
+        owner = _context_owners(self.context, self.x % self.salts.astype(np.uint64), owners)
         order = np.lexsort((key, self.salts > 1, owner))
         self.owner, self.context, self.x, self.salts, self.first = owner[order], self.context[order], self.x[order], self.salts[order], first[order]
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.where = back[where]
+        changes = (self.owner[1:] != self.owner[:-1]) | ((self.salts[1:] > 1) != (self.salts[:-1] > 1))
+        self.edges = np.flatnonzero(np.concatenate(([True], changes, [True]))) if len(order) else np.zeros(0, np.int64)
+
+    def slices(self) -> Iterator[tuple[int, str, slice]]:
+        """The grams of each owner, those of hot contexts apart."""
+        for a, b in zip(self.edges[:-1], self.edges[1:], strict=True):
+            yield int(self.owner[a]), "h" if self.salts[a] > 1 else "g", slice(a, b)
 
     def blocks(self, bundle: int, train: np.ndarray, q: np.ndarray) -> Iterator[tuple]:
-        """A block for each owner, and one for each that has a share of hot contexts."""
-        counts = np.bincount(self.where, weights=train, minlength=len(self.owner)).astype(np.int64)
-        q, dealt = q[self.first], self.salts > 1
-        edges = np.flatnonzero(np.concatenate(([True], (self.owner[1:] != self.owner[:-1]) | (dealt[1:] != dealt[:-1]), [True]))) if len(self.owner) else []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield int(self.owner[a]), bundle, "h" if dealt[a] else "g", _encode(*(v[a:b] for v in (self.context, self.x, counts, q, self.salts)))
+        """A block for each slice; ``q`` is the probability of ``pick`` so far, or (integers) the counts of these words."""
+        counts, q = np.bincount(self.where, weights=train, minlength=len(self.owner)).astype(np.int64), q[self.first]
+        for owner, kind, part in self.slices():
+            yield owner, bundle, kind, _encode(*(v[part] for v in (self.context, self.x, counts, q, self.salts)))
+
+
+def _context_owners(context: np.ndarray, salt: np.ndarray, owners: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        spread = _mixed(context + salt * np.uint64(BASE))
+    return ((spread >> np.uint64(32)) % np.uint64(owners)).astype(np.int32)
+
+
+def _heads(context: np.ndarray) -> np.ndarray:
+    """Where the grams of each context start."""
+    return np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
 
 
 def _encode(context: np.ndarray, x: np.ndarray, counts: np.ndarray, q: np.ndarray, salts: np.ndarray) -> bytes:
     """Grams sorted by context: contexts once each as differences, then what each gram has."""
-    new = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    new = _heads(context)
     sizes = np.diff(np.append(new, len(context)))
+    counted = q.dtype.kind == "i"
     low = x.view(np.uint8).reshape(-1, 8)[:, : X_BITS // 8]
-    parts = [_planes(np.diff(context[new], prepend=np.uint64(0))), _planes(sizes.astype("<u4")), low.T.tobytes(), _planes(counts.astype("<u4")), _planes(q.astype("<f4")), _planes(salts[new].astype("<u4"))]
-    return _squeezed(struct.pack("<qq", len(new), len(context)) + b"".join(parts))
+    parts = [_planes(np.diff(context[new], prepend=np.uint64(0))), _planes(sizes.astype("<u4")), low.T.tobytes(), _planes(counts.astype("<u4")), _planes(q.astype("<i8" if counted else "<f4")), _planes(salts[new].astype("<u4"))]
+    return _squeezed(struct.pack("<qq?", len(new), len(context), counted) + b"".join(parts))
 
 
-def _decode(payload: bytes) -> tuple[np.ndarray, ...]:
+def _decode(payload: bytes, floor: int) -> tuple[np.ndarray, ...]:
+    """Contexts, next tokens, counts, probabilities so far and salts; word counts are probabilities over ``floor``."""
     raw = zstandard.ZstdDecompressor().decompress(payload)
-    m, n = struct.unpack_from("<qq", raw)
-    at = 16
+    m, n, counted = struct.unpack_from("<qq?", raw)
+    at = 17
 
     def take(size: int) -> np.ndarray:
         nonlocal at
@@ -249,8 +277,9 @@ def _decode(payload: bytes) -> tuple[np.ndarray, ...]:
     sizes = _unplaned(take(4 * m), "<u4")
     x = np.zeros((n, 8), np.uint8)
     x[:, : X_BITS // 8] = take(n * X_BITS // 8).reshape(X_BITS // 8, n).T
-    counts, q, salts = _unplaned(take(4 * n), "<u4"), _unplaned(take(4 * n), "<f4"), _unplaned(take(4 * m), "<u4")
-    return np.repeat(context, sizes), x.view("<u8").ravel(), counts.astype(np.int64), q, np.repeat(salts, sizes)
+    counts = _unplaned(take(4 * n), "<u4").astype(np.int64)
+    q = (_unplaned(take(8 * n), "<i8") + 1) / floor if counted else _unplaned(take(4 * n), "<f4").astype(np.float64)
+    return np.repeat(context, sizes), x.view("<u8").ravel(), counts, q, np.repeat(_unplaned(take(4 * m), "<u4"), sizes)
 
 
 def _word_owners(keys: np.ndarray, owners: int) -> np.ndarray:
@@ -264,21 +293,21 @@ def _ask_words(owners: int):
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for b in parts:
             for bundle, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, bodies, _ = _opened(payload)
-                tokens = Tokens(bodies)
-                counts = np.bincount(tokens.ids, weights=_learned(rows, tokens), minlength=len(tokens.words)).astype(np.int64)
-                owner = _word_owners(tokens.hashes, owners)
-                order = np.lexsort((tokens.hashes, owner))
+                rows, _ = _opened(payload)
+                hashes, ids, sizes = _words(rows.column("body").to_pylist())
+                counts = np.bincount(ids, weights=np.repeat(_learned(rows), sizes), minlength=len(hashes)).astype(np.int64)
+                owner = _word_owners(hashes, owners)
+                order = np.lexsort((hashes, owner))
                 edges = np.flatnonzero(np.diff(owner[order], prepend=-1, append=owners))
                 for a, b_ in zip(edges[:-1], edges[1:], strict=True):
                     part = order[a:b_]
-                    yield int(owner[part[0]]), bundle, "w", _squeezed(_planes(np.diff(tokens.hashes[part], prepend=np.uint64(0))) + _planes(counts[part]))
+                    yield int(owner[part[0]]), bundle, "w", _squeezed(_planes(np.diff(hashes[part], prepend=np.uint64(0))) + _planes(counts[part]))
 
     return ask
 
 
-def _learned(rows: pa.RecordBatch, tokens: Tokens) -> np.ndarray:
-    return ~rows.column("held_out").to_numpy(zero_copy_only=False)[tokens.text]
+def _learned(rows: pa.RecordBatch) -> np.ndarray:
+    return ~rows.column("held_out").to_numpy(zero_copy_only=False)
 
 
 # --- what an owner answers -------------------------------------------------------------
@@ -302,8 +331,8 @@ def _by_owner(answers):
     return run
 
 
-def _answer(limits: Limits):
-    each = _by_owner(lambda owner, blocks: _answers(owner, blocks, limits))
+def _answer(owners: int, limits: Limits):
+    each = _by_owner(lambda owner, blocks: _answers(owner, blocks, owners, limits))
 
     def answer(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(each(parts), REPLY, size=64)
@@ -311,97 +340,104 @@ def _answer(limits: Limits):
     return answer
 
 
-def _answers(owner: int, blocks: dict, limits: Limits) -> Iterator[tuple]:
+def _answers(owner: int, blocks: dict, owners: int, limits: Limits) -> Iterator[tuple]:
     if held := blocks.get("w"):
-        keys, counts = [], []
-        for _, payload in held:
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
-            with np.errstate(over="ignore"):
-                keys.append(np.cumsum(_unplaned(raw[: len(raw) // 2], "<u8"), dtype=np.uint64))
-            counts.append(_unplaned(raw[len(raw) // 2 :], "<i8"))
-        _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
-        said, at = (int(total.sum()), int((total > 0).sum()), int(total.max())), 0
-        for (bundle, _), k in zip(held, keys, strict=True):
-            yield bundle, "w", owner, _squeezed(_planes(total[where[at : at + len(k)]])), *said
-            at, said = at + len(k), (0, 0, 0)
+        yield from _word_answers(owner, held, owners)
     for kind in "gh":
         if held := blocks.get(kind):
-            grams, where, sizes = _merged([p for _, p in held])
+            grams, where, sizes = _merged([p for _, p in held], limits.floor)
             sums = None
             if kind == "h":
                 said = np.frombuffer(b"".join(p for _, p in blocks["a"]), "<u8,<i8,<i8,<f8")
                 said = said[np.argsort(said["f0"])]
                 sums = tuple(said[f][np.searchsorted(said["f0"], grams[0])] for f in ("f1", "f2", "f3"))
-            p, follow, counts = next_tokens(*grams, limits, sums)
-            values = np.copysign(np.log10(p), np.where(follow, 1.0, -1.0)).astype("<f4")
+            n, types, state, follow = judged(*grams, limits, sums)
             at = 0
-            for (bundle, _), n in zip(held, sizes, strict=True):
-                mine = where[at : at + n]
-                at += n
-                few, often = counts[mine] < limits.least_count, np.flatnonzero(counts[mine] >= limits.hot)
-                raw = struct.pack("<qq", n, len(often)) + _planes(values[mine]) + np.packbits(few).tobytes() + often.astype("<i8").tobytes() + counts[mine][often].astype("<i8").tobytes()
-                yield bundle, kind, owner, _squeezed(raw), 0, 0, 0
-
-
-def _merged(payloads: list[bytes]) -> tuple[tuple[np.ndarray, ...], np.ndarray, list[int]]:
+            for (bundle, _), size in zip(held, sizes, strict=True):
+                mine = where[at : at + size]
+                at += size
+                heads = mine[_heads(grams[0][mine])]
+                parts = (n[heads], types[heads], (state[heads] + 2 * follow[heads]).astype("<i8"), grams[2][mine])
+                yield bundle, kind, owner, _squeezed(struct.pack("<q", len(heads)) + b"".join(map(_planes, parts))), 0, 0, 0
+
+
+def _word_answers(owner: int, held: list[tuple[int, bytes]], owners: int) -> Iterator[tuple]:
+    """The count of each word, and its number: the smaller, the more frequent."""
+    keys, counts = [], []
+    for _, payload in held:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
+        with np.errstate(over="ignore"):
+            keys.append(np.cumsum(_unplaned(raw[: len(raw) // 2], "<u8"), dtype=np.uint64))
+        counts.append(_unplaned(raw[len(raw) // 2 :], "<i8"))
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+    number = np.empty(len(total), np.int64)
+    number[np.lexsort((distinct, -total))] = np.arange(len(total)) * owners + owner
+    said, at = (int(total.sum()), int((total > 0).sum()), int(total.max())), 0
+    for (bundle, _), k in zip(held, keys, strict=True):
+        mine = where[at : at + len(k)]
+        yield bundle, "w", owner, _squeezed(_planes(total[mine]) + _planes(number[mine])), *said
+        at, said = at + len(k), (0, 0, 0)
+
+
+def _merged(payloads: list[bytes], floor: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, list[int]]:
     """The distinct grams (context, x, count, q, salts) of all blocks, where each block's are among them, and the blocks' sizes."""
-    decoded = [_decode(p) for p in payloads]
+    decoded = [_decode(p, floor) for p in payloads]
     context, x, counts, q, salts = (np.concatenate(c) for c in zip(*decoded, strict=True))
     _, which = np.unique(context, return_inverse=True)
     _, first, where = np.unique((which.astype(np.uint64) << np.uint64(X_BITS)) | x, return_index=True, return_inverse=True)
     return (context[first], x[first], np.bincount(where, weights=counts).astype(np.int64), q[first], salts[first]), where, [len(d[0]) for d in decoded]
 
 
-def _spread(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the grams of each context start, and how many there are."""
-    starts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    return starts, np.diff(np.append(starts, len(context)))
-
-
 def _gains(counts: np.ndarray, q: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(counts > 0, counts * np.log(counts / q), 0.0)
 
 
-def next_tokens(context: np.ndarray, x: np.ndarray, counts: np.ndarray, q: np.ndarray, salts: np.ndarray, limits: Limits, sums: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(next token | longest suffix of the context that is a state) of sorted, distinct grams, whether longer contexts may be states, and the counts.
+def smoothed(counts: np.ndarray, n: np.ndarray, types: np.ndarray, state: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """P(x|s) = (c(sx) + T q(x)) / (n + T) for states s of n occurrences and T distinct next tokens; else q."""
+    return np.where(state, (counts + types * q) / np.maximum(n + types, 1), q)
+
+
+def judged(context: np.ndarray, x: np.ndarray, counts: np.ndarray, q: np.ndarray, salts: np.ndarray, limits: Limits, sums: tuple | None = None) -> tuple[np.ndarray, ...]:
+    """n, T, whether its context is a state, and whether longer contexts may be, for each of sorted, distinct grams.
 
     ``counts`` are training counts, 0 for grams only asked for; ``q`` is the probability by
-    the shorter states. A state s of n occurrences and T distinct next tokens gives
-    P(x|s) = (c(sx) + T q(x)) / (n + T); it is a state if n >= least_count and the
-    divergence of its counts from q, times n, is at least least_gain + T TYPE_GAIN.
-    ``sums`` has each gram's n, T and sum of c log(c / q) where others own a part of them.
+    the shorter states. A context of n occurrences and T distinct next tokens is a state if
+    n >= least_count and the divergence of its counts from q, times n, is at least
+    least_gain + T TYPE_GAIN. ``sums`` has each gram's n, T and sum of c log(c / q) where
+    others own a part of them.
 
     A longer context's counts are at most these, so its gain less what its types need is
     at most the sum over x of c(x) log(1 / p(x)) - TYPE_GAIN, where that is positive; and
     unless it occurs less often it is as much a state as this one.
     """
-    q = q.astype(np.float64)
-    starts, sizes = _spread(context)
+    starts = _heads(context)
+    sizes = np.diff(np.append(starts, len(context)))
     if sums is None:
-        n, types, gain = np.add.reduceat(counts, starts), np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(_gains(counts, q), starts)
-        n, types, gain = (np.repeat(v, sizes) for v in (n, types, gain))
+        sums = (np.repeat(np.add.reduceat(v, starts), sizes) for v in (counts, (counts > 0).astype(np.int64), _gains(counts, q)))
+        known = True
     else:
-        n, types, gain = sums
+        known = False
+    n, types, gain = sums
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = gain - np.where(n > 0, n * np.log(n), 0.0)
     state = (n >= limits.least_count) & (gain >= limits.least_gain + TYPE_GAIN * types)
-    p = np.where(state, (counts + types * q) / np.maximum(n + types, 1), q)
+    p = smoothed(counts, n, types, state, q)
     most = np.repeat(np.add.reduceat(np.maximum(0.0, -counts * np.log(p) - TYPE_GAIN), starts), sizes)
-    return p, (n > limits.least_count) & ((most >= limits.least_gain) | (sums is not None)), counts
+    return n, types, state, (n > limits.least_count) & ((most >= limits.least_gain) | (not known))
 
 
-def _sum_hot(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sum_hot(limits: Limits):
     """What each owner of a share of hot contexts knows of them: occurrences, distinct next tokens and their gain."""
 
     def sums(_: int, blocks: dict) -> Iterator[tuple]:
-        (context, _x, counts, q, salts), _w, _s = _merged([p for _, p in blocks["h"]])
-        starts, _n = _spread(context)
-        columns = (context[starts].astype(np.int64), salts[starts], np.add.reduceat(counts, starts), np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(_gains(counts, q.astype(np.float64)), starts))
+        (context, _x, counts, q, salts), _w, _s = _merged([p for _, p in blocks["h"]], limits.floor)
+        starts = _heads(context)
+        columns = (context[starts].astype(np.int64), salts[starts], np.add.reduceat(counts, starts), np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(_gains(counts, q), starts))
         yield from zip(*(c.tolist() for c in columns), strict=True)
 
-    yield from batches(_by_owner(sums)(parts), SUMS)
+    return lambda parts: batches(_by_owner(sums)(parts), SUMS)
 
 
 def _deal_sums(owners: int):
@@ -410,11 +446,9 @@ def _deal_sums(owners: int):
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for b in parts:
             for context, salts, n, types, gain in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                with np.errstate(over="ignore"):
-                    salted = np.uint64(context & (1 << 64) - 1) + np.arange(salts, dtype=np.uint64) * np.uint64(BASE)
-                    spread = (salted ^ (salted >> np.uint64(31))) * BEGIN
-                for owner in np.unique((spread >> np.uint64(32)) % np.uint64(owners)).tolist():
-                    yield owner, 0, "a", struct.pack("<Qqqd", context & (1 << 64) - 1, n, types, gain)
+                context &= (1 << 64) - 1
+                for owner in np.unique(_context_owners(np.uint64(context), np.arange(salts, dtype=np.uint64), owners)).tolist():
+                    yield owner, 0, "a", struct.pack("<Qqqd", context, n, types, gain)
 
     def deal(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(each(parts), BLOCK, size=4096)
@@ -425,11 +459,11 @@ def _deal_sums(owners: int):
 # --- scores ----------------------------------------------------------------------------
 
 
-def _advance(owners: int, reach: int, longer: int, tokens: int, distinct: int, limits: Limits):
+def _advance(owners: int, reach: int, limits: Limits):
     """Take in a bundle's replies for ``reach`` words (0: the words themselves).
 
-    Gives a bundle's scored rows ("d"), and its rows with tokens whose contexts of
-    ``longer`` words are still to be seen ("z").
+    Gives a bundle's scored rows ("d"), and its rows with tokens whose longer contexts
+    are still to be seen ("z").
     """
 
     def advance(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,61 +480,60 @@ def _advance(owners: int, reach: int, longer: int, tokens: int, distinct: int, l
                 elif reach:
                     yield from _later(bundle, payload, replies, owners, reach, limits)
                 else:
-                    yield from _first(bundle, payload, replies["w"], owners, tokens, distinct, limits)
+                    yield from _first(bundle, payload, replies["w"], owners, limits)
 
     return advance
 
 
-def _first(bundle: int, payload: bytes, replies: list[bytes], owners: int, total: int, distinct: int, limits: Limits) -> Iterator[tuple]:
-    rows, bodies, _ = _opened(payload)
-    t = Tokens(bodies)
-    c = np.empty(len(t.words), np.int64)
-    said = [_unplaned(np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8), "<i8") for p in replies]
-    c[np.lexsort((t.hashes, _word_owners(t.hashes, owners)))] = np.concatenate(said)
-    known = np.add.reduceat((c > 0)[t.ids].astype(np.int64), t.starts)
-    q = ((c + 1) / (total + distinct + 1))[t.ids]
-    base = np.add.reduceat(np.log10(c + 1)[t.ids], t.starts) - t.sizes * math.log10(total + distinct + 1)
-    rows = pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(t.sizes), pa.array(known), pa.array(base), rows.column(5)], schema=SCORE)
-    counts = c[t.ids]
-    yield from _moved(bundle, rows, bodies, t, q, np.ones(len(q), bool), np.arange(len(q)), counts < limits.least_count, np.where(counts >= limits.hot, counts, 0))
+def _first(bundle: int, payload: bytes, replies: list[bytes], owners: int, limits: Limits) -> Iterator[tuple]:
+    rows, _ = _opened(payload)
+    hashes, local, sizes = _words(rows.column("body").to_pylist())
+    order = np.lexsort((hashes, _word_owners(hashes, owners)))
+    said = [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8) for p in replies]
+    count, number = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+    count[order] = np.concatenate([_unplaned(r[: len(r) // 2], "<i8") for r in said])
+    number[order] = np.concatenate([_unplaned(r[len(r) // 2 :], "<i8") for r in said])
+    t, counts = Tokens(number[local].astype(np.uint64), sizes), count[local]
+    known = np.add.reduceat((counts > 0).astype(np.int64), t.starts)
+    base = np.add.reduceat(np.log10(counts + 1), t.starts) - sizes * math.log10(limits.floor)
+    rows = pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes), pa.array(known), pa.array(base), rows.column(5)], schema=SCORE)
+    yield from _moved(bundle, rows, t, (counts + 1) / limits.floor, np.ones(len(counts), bool), np.arange(len(counts)), counts < limits.least_count, np.where(counts >= limits.hot, counts, 0), counts)
 
 
 def _later(bundle: int, payload: bytes, replies: dict[str, list[bytes]], owners: int, reach: int, limits: Limits) -> Iterator[tuple]:
-    rows, bodies, kept = _opened(payload)
-    t = Tokens(bodies)
-    pick, few, often = _picked(kept, t)
+    rows, kept = _opened(payload)
+    t, pick, few, often, q = _kept(kept)
     asked = Asked(t, pick, reach, t.before(often), owners, limits.hot)
-    values, rare, heavy = np.empty(len(asked.owner), "<f4"), np.empty(len(asked.owner), bool), np.zeros(len(asked.owner), np.int64)
-    for kind in "gh":
-        at = np.flatnonzero((asked.salts > 1) == (kind == "h"))
-        said = [_reply(p) for p in replies.get(kind, [])]
-        if said:
-            values[at], rare[at], heavy[at] = (np.concatenate(v) for v in zip(*said, strict=True))
-    values = values[asked.where]
-    few[pick] |= rare[asked.where]
-    often[pick] = heavy[asked.where]
-    yield from _moved(bundle, rows, bodies, t, 10.0 ** -np.abs(values.astype(np.float64)), ~np.signbit(values) & ~asked.whole, pick, few, often)
-
-
-def _reply(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(payload)
-    n, k = struct.unpack_from("<qq", raw)
-    values = _unplaned(np.frombuffer(raw, np.uint8, 4 * n, 16), "<f4")
-    few = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), 16 + 4 * n), count=n).astype(bool)
-    at, heavy = 16 + 4 * n + -(-n // 8), np.zeros(n, np.int64)
-    heavy[np.frombuffer(raw, "<i8", k, at)] = np.frombuffer(raw, "<i8", k, at + 8 * k)
-    return values, few, heavy
-
-
-def _moved(bundle: int, rows: pa.RecordBatch, bodies: list[bytes], t: Tokens, p: np.ndarray, follow: np.ndarray, pick: np.ndarray, few: np.ndarray, often: np.ndarray) -> Iterator[tuple]:
+    q = ((q + 1) / limits.floor if q.dtype.kind == "i" else q.astype(np.float64))[asked.first]
+    p, follow, counts = np.empty(len(q)), np.empty(len(q), bool), np.empty(len(q), np.int64)
+    queues = {k: iter(v) for k, v in replies.items()}
+    for _, kind, part in asked.slices():
+        n, types, flags, counts[part] = _reply(next(queues[kind]), asked.context[part])
+        p[part], follow[part] = smoothed(counts[part], n, types, flags & 1 == 1, q[part]), flags & 2 == 2
+    few[pick] |= (counts < limits.least_count)[asked.where]
+    often[pick] = np.where(counts >= limits.hot, counts, 0)[asked.where]
+    yield from _moved(bundle, rows, t, p[asked.where], follow[asked.where] & ~asked.whole, pick, few, often)
+
+
+def _reply(payload: bytes, context: np.ndarray) -> tuple[np.ndarray, ...]:
+    """n, T and flags of each gram's context, and each gram's count."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
+    m = struct.unpack_from("<q", raw)[0]
+    per = [_unplaned(raw[8 + 8 * m * k : 8 + 8 * m * (k + 1)], "<i8") for k in range(3)]
+    sizes = np.diff(np.append(_heads(context), len(context)))
+    return (*(np.repeat(v, sizes) for v in per), _unplaned(raw[8 + 24 * m :], "<i8"))
+
+
+def _moved(bundle: int, rows: pa.RecordBatch, t: Tokens, p: np.ndarray, follow: np.ndarray, pick: np.ndarray, few: np.ndarray, often: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tuple]:
     """Adds up the tokens that are settled; the rest, with the texts they are in, goes on.
 
     ``few``: tokens whose gram so far is too rare to be a context of the token after.
+    ``counts``: those of the words, which tell p in less room.
     """
-    follow = follow & ~t.before(few).astype(bool)[pick]
-    score = rows.column("score").to_numpy() + np.bincount(t.text[pick][~follow], weights=np.log10(p[~follow]), minlength=len(bodies))
+    follow = follow & ~t.before(few)[pick]
+    score = rows.column("score").to_numpy() + np.bincount(t.text[pick][~follow], weights=np.log10(p[~follow]), minlength=len(t.sizes))
     rows = rows.set_column(5, "score", pa.array(score))
-    stays = np.bincount(t.text[pick][follow], minlength=len(bodies)) > 0
+    stays = np.bincount(t.text[pick][follow], minlength=len(t.sizes)) > 0
     if not stays.all():
         yield 0, bundle, "d", _sealed(rows.filter(pa.array(~stays)))
     if stays.any():
@@ -508,15 +541,22 @@ def _moved(bundle: int, rows: pa.RecordBatch, bodies: list[bytes], t: Tokens, p:
         marks = np.zeros(len(here), np.uint8)
         marks[pick[follow]] = 1
         heavy = np.flatnonzero(often[here])
-        arrays = {"mark": np.packbits(marks[here]), "few": np.packbits(few[here]), "q": p[follow].astype("<f4"), "at": heavy.astype("<i8"), "n": often[here][heavy].astype("<i8")}
-        yield 0, bundle, "z", _closed(rows.filter(pa.array(stays)), [x for x, s in zip(bodies, stays, strict=True) if s], arrays)
+        arrays = {"size": t.sizes[stays], "id": t.ids[here], "mark": np.packbits(marks[here]), "few": np.packbits(few[here]), "at": heavy.astype("<i8"), "n": often[here][heavy].astype("<i8")}
+        if counts is None:
+            arrays["q"] = p[follow].astype("<f4")
+        else:
+            arrays["cnt"] = counts[here][np.unique(arrays["id"], return_index=True)[1]]
+        yield 0, bundle, "z", _closed(rows.filter(pa.array(stays)), None, arrays)
 
 
-def _picked(kept: dict[str, np.ndarray], t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _kept(kept: dict[str, np.ndarray]) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bundle's tokens, those still followed, which grams are too rare, counts of frequent ones, and what those followed have so far."""
+    t = Tokens(kept["id"], kept["size"])
     n = len(t.ids)
-    often = np.zeros(n, np.int64)
+    pick, often = np.flatnonzero(np.unpackbits(kept["mark"], count=n)), np.zeros(n, np.int64)
     often[kept["at"]] = kept["n"]
-    return np.flatnonzero(np.unpackbits(kept["mark"], count=n)), np.unpackbits(kept["few"], count=n).astype(bool), often
+    q = kept["q"] if "q" in kept else kept["cnt"][np.unique(t.ids, return_inverse=True)[1]][pick]
+    return t, pick, np.unpackbits(kept["few"], count=n).astype(bool), often, q
 
 
 def _ask(owners: int, reach: int, limits: Limits):
@@ -528,10 +568,9 @@ def _ask(owners: int, reach: int, limits: Limits):
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for b in parts:
             for bundle, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, bodies, kept = _opened(payload)
-                t = Tokens(bodies)
-                pick, _, often = _picked(kept, t)
-                yield from Asked(t, pick, reach, t.before(often), owners, limits.hot).blocks(bundle, _learned(rows, t)[pick], kept["q"])
+                rows, kept = _opened(payload)
+                t, pick, _, often, q = _kept(kept)
+                yield from Asked(t, pick, reach, t.before(often), owners, limits.hot).blocks(bundle, _learned(rows)[t.text[pick]], q)
 
     return ask
 
@@ -550,10 +589,10 @@ def score(docs: DataFrame, bundle_bytes: int = 4 << 20, least_count: int = LEAST
     counts, log10) and score (the tree's log10 probability of the tokens; a word that no
     training text has gets what add-one counts give it). Null and empty texts are their
     end alone; texts of any length are scored whole; repeated rows count and score each;
-    an empty table gives no rows; extra columns are dropped. Contexts are told apart by
-    64-bit hashes, a context's next tokens by 40 bits.
+    an empty table gives no rows; extra columns are dropped. Words and contexts are
+    told apart by 64-bit hashes.
     """
-    spark, limits = docs.sparkSession, Limits(least_count, least_gain, hot)
+    spark = docs.sparkSession
     small_batches(spark, 256)
     packed, old = _written(docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text").mapInArrow(_pack(bundle_bytes), "bundle long, payload binary"), "lm-bundles")
     small_batches(spark, 16)
@@ -565,32 +604,35 @@ def score(docs: DataFrame, bundle_bytes: int = 4 << 20, least_count: int = LEAST
     def at_owners(blocks: DataFrame) -> DataFrame:
         return blocks.repartitionById(owners, F.col("owner")).sortWithinPartitions("owner")
 
-    replies, path = _written(at_owners(packed.mapInArrow(_ask_words(owners), block)).mapInArrow(_answer(limits), reply), "lm-replies")
+    replies, path = _written(at_owners(packed.mapInArrow(_ask_words(owners), block)).mapInArrow(_answer(owners, Limits()), reply), "lm-replies")
     tokens, distinct, most = replies.agg(*(F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "tokens"), (F.sum, "distinct"), (F.max, "most")))).first()
+    limits = Limits(tokens + distinct + 1, least_count, least_gain, hot)
     texts, old, roots, reach = packed, [old, path], [], 0
+    del packed
     while True:
-        longer = reach + 1 if reach < STEPS else 2 * reach
         both = replies.select("bundle", "kind", "owner", "payload").unionByName(texts.select("bundle", F.lit("z").alias("kind"), F.lit(0).alias("owner"), "payload"))
         ordered = both.repartition(max(1, min(n, 4 * parts)), "bundle").sortWithinPartitions("bundle", "kind", "owner").select("bundle", "kind", "payload")
-        moved = ordered.mapInArrow(_advance(owners, reach, longer, tokens, distinct, limits), block)
+        moved = ordered.mapInArrow(_advance(owners, reach, limits), block)
         roots.append(new_dir(spark, "lm-moved"))
         moved.select("bundle", "kind", "payload").write.partitionBy("kind").parquet(roots[-1])
+        del both, ordered, moved, replies
         for folder in old:
             remove(spark, folder)
         settle(spark)
-        old, reach = [f"{roots[-1]}/kind=z"], longer
+        old, reach = [f"{roots[-1]}/kind=z"], reach + 1 if reach < STEPS else 2 * reach
         if not exists(spark, old[0]):
             break
         texts = spark.read.schema("bundle long, payload binary").parquet(old[0])
         asked = texts.mapInArrow(_ask(owners, reach, limits), block)
         if most >= hot:
-            sums = at_owners(asked.where("kind = 'h'")).mapInArrow(_sum_hot, "context long, salts int, n long, types long, gain double")
+            sums = at_owners(asked.where("kind = 'h'")).mapInArrow(_sum_hot(limits), "context long, salts int, n long, types long, gain double")
             sums = sums.groupBy("context").agg(F.max("salts").alias("salts"), F.sum("n").alias("n"), F.sum("types").alias("types"), F.sum("gain").alias("gain"))
             asked = asked.unionByName(sums.mapInArrow(_deal_sums(owners), block))
-        replies = at_owners(asked).mapInArrow(_answer(limits), reply)
-        if reach <= 2:  # the largest rounds: what was asked needn't be on disk beside what follows
+        replies = at_owners(asked).mapInArrow(_answer(owners, limits), reply)
+        if reach <= 3:  # the largest rounds: what was asked needn't be on disk beside what follows
             replies, path = _written(replies, "lm-replies")
             old.append(path)
+            asked = None
             settle(spark)
     done = [f"{root}/kind=d" for root in roots]
     done = [folder for folder in done if exists(spark, folder)] or roots[:1]
