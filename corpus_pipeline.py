@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logfold.llm import common, curriculum, decontam, jaccard_join, toxicity, training_order
 
+#: Each stage deletes the work folders of the one before, whose result is written by then.
+OWNER = "pipeline"
 #: Sequences that the last stage permutes among each other: eight shards.
 BLOCK = 1 << 16
 
@@ -17,8 +19,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents whose score is 0.5 or more go."""
-    common.release(spark)
-    return toxicity.keep_civil(docs, common.table(spark, sf_dir, "labels"))
+    with common.owned(spark, OWNER):
+        return toxicity.keep_civil(docs, common.table(spark, sf_dir, "labels"))
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,20 +28,20 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     As for all near duplicates, words are shingled by five and texts link at 0.8.
     """
-    common.release(spark)
-    return jaccard_join.keep_one(docs, size=5, percent=80)
+    with common.owned(spark, OWNER):
+        return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: documents with a twentieth of their words in benchmark windows go."""
-    common.release(spark)
-    return decontam.remove(docs, common.table(spark, sf_dir, "benchmark"))
+    with common.owned(spark, OWNER):
+        return decontam.remove(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document as often as its source's target takes it, in curriculum order."""
-    common.release(spark)
-    return curriculum.mixed(docs)
+    with common.owned(spark, OWNER):
+        return curriculum.mixed(docs)
 
 
 def ordered(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +50,8 @@ def ordered(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The curriculum's order is that of the files: it stays, and sequences are permuted
     within blocks of it.
     """
-    common.release(spark)
-    return training_order.report(docs, block=BLOCK)
+    with common.owned(spark, OWNER):
+        return training_order.report(docs, block=BLOCK)
 
 
 STAGES: list[tuple[str, Stage]] = [
