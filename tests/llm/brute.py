@@ -133,3 +133,57 @@ def base_scores(rows):
         w = [*folded_words(t), b"\n"]
         out.append((d, d is not None and zlib.crc32(str(d).encode()) % 7 == 2, len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)))
     return out
+
+
+def water_filled(sizes, weights=(5, 2, 1), limit=3):
+    """Targets by the level that fills: the level's share by weight, none over its limit, all sizes together."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, low, high = sum(sizes.values()), 0.0, 1.0 + limit * max(sizes.values(), default=0)
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(limit * sizes[s], level * weight[s]) for s in order) < total:
+            low = level
+        else:
+            high = level
+    return {s: min(limit * sizes[s], high * weight[s]) for s in order}
+
+
+def ratios(rows, trusted, buckets, prior):
+    """Mean log ratio of hashed unigrams and bigrams of each text, by dictionaries of counts."""
+    import xxhash
+
+    def hashed(*said):
+        h = 42
+        for w in said:
+            h = xxhash.xxh64_intdigest(w, seed=h)
+        return h % buckets if h < 1 << 63 else (h - (1 << 64)) % buckets
+
+    def grams(text):
+        w = words(text)
+        return [(1, hashed(x)) for x in w] + [(2, hashed(a, b)) for a, b in zip(w, w[1:])]
+
+    raw, target = Counter(), Counter()
+    for d, t in rows:
+        raw.update(grams(t))
+        if d in trusted:
+            target.update(grams(t))
+
+    def weight(g):
+        n_raw, n_target = (sum(v for k, v in c.items() if k[0] == g[0]) for c in (raw, target))
+        p = (raw[g] + 1) / (n_raw + buckets)
+        return math.log((target[g] + prior * p) / (n_target + prior) / p) if n_target else 0.0
+
+    known = {g: weight(g) for g in raw}
+    return [(d, sum(known[g] for g in grams(t)) / max(1, len(grams(t)))) for d, t in rows]
+
+
+def scoped_events(classes, kinds, spans=(("negated", 4, 3), ("reported", 5, 12), ("targeted", 3, 6))):
+    """Names of the events along (class, weight) pairs: what stands in the words before, inside the clause."""
+    out, clause = Counter(), []
+    for kind, weight in classes:
+        if kind in kinds:
+            name = next((f"_{mark}" for mark, opener, reach in spans if opener in clause[-reach:]), "")
+            out[kinds[kind] + name] += weight
+        clause = [] if kind == 6 else [*clause, kind]
+    return out

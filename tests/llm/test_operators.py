@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import CLASHING, base_scores, decontaminated, jaccard_components, measures, personal, shingles
+from brute import CLASHING, base_scores, decontaminated, jaccard_components, measures, personal, ratios, scoped_events, shingles, water_filled
 from pyspark.sql import functions as F
 
 from logfold.llm import contracts, curriculum, decontam, jaccard_join, pii, quality, sharding, suffix_tree, toxicity, training_order, warc
@@ -350,6 +350,9 @@ def check_mix(got, rows):
     sizes, words = {}, lambda t: len((t or "").encode().split())
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + words(t)
+    goal = water_filled(sizes)
+    for r in got:  # the target is that of one of the sources of this size
+        assert any(r["source_size"] == sizes[s] and math.isclose(r["target"], goal[s], rel_tol=1e-6, abs_tol=1e-6) for s in sizes)
     goal = curriculum.targets(sizes)
     assert math.isclose(sum(goal.values()), sum(sizes.values()), rel_tol=1e-9) or all(math.isclose(goal[s], 3 * sizes[s]) for s in sizes)
     assert all(goal[s] <= 3 * sizes[s] + 1e-6 for s in sizes)
@@ -377,6 +380,11 @@ def test_op6_targets():
     got = curriculum.targets({"b": 100, "a": 10, None: 100, "c": 0})
     assert got["a"] == 30 and got["c"] == 0  # weight 5 capped at 3 times 10; no words, no target
     assert math.isclose(sum(got.values()), 210)
+    r = random.Random(9)
+    for _ in range(200):
+        sizes = {s: r.choice([0, 1, 7, 50, 1000, 10**6]) for s in r.sample(["a", "b", "c", "d", "é", "", None], r.randrange(1, 8))}
+        found, want = curriculum.targets(sizes), water_filled(sizes)
+        assert all(math.isclose(found[s], want[s], rel_tol=1e-6, abs_tol=1e-6) for s in sizes), sizes
     assert math.isclose(got["b"] / got[None], 2 / 5)
     assert curriculum.targets({"a": 0}) == {"a": 0.0} and curriculum.targets({}) == {}
 
@@ -506,6 +514,16 @@ def test_op8_measures_equal_plain_ones(spark, sf_dir, make_docs):
     assert all(r["score"] == 0 and r["kept"] == (not r["base_failed"]) for r in none)
 
 
+def test_op8_scores_and_verdicts_equal_plain_ones(spark, sf_dir):
+    rows = docs_of(spark, sf_dir)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    trusted = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, labels, buckets=512, prior=300.0, threshold=-0.05).collect()}
+    for d, want in ratios(rows, trusted, 512, 300.0):
+        assert math.isclose(got[d]["score"], want, rel_tol=1e-4, abs_tol=1e-5)
+        assert got[d]["kept"] == (not got[d]["base_failed"] and got[d]["score"] >= -0.05)
+
+
 def test_op8_verdicts_follow_labels(spark, sf_dir):
     got = contracts.op8_ngram_likelihood_ratio(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").where("NOT base_failed")
     good = got.where("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0]
@@ -562,8 +580,52 @@ def test_op9_em_finds_reliable_labelers():
     assert abs(model.prior - 0.4) < 0.05
     right = [model.table[j]["+", 1] / (model.table[j]["+", 1] + model.table[j]["-", 1]) for j in range(5)]
     assert right[0] > 0.9 and right[3] < 0.7
-    score = pii.train(counts)
-    assert score("+++++") > 0.9 and score("-----") < 0.1
+    assert model.posterior("+++++") > 0.9 and model.posterior("-----") < 0.1
+
+
+def test_op9_the_classifier_fits_the_posteriors(spark):
+    r = random.Random(6)
+    rows = {}
+    for _ in range(600):  # the label follows the first vote, but after the word in group 3 it is the other way round
+        vote, word = r.choice("+-"), r.randrange(6)
+        votes = vote + "0000"
+        features = ["+-0".index(v) + 3 * j for j, v in enumerate(votes)] + [pii.OFFSETS[0], pii.OFFSETS[1] + 2, pii.OFFSETS[2], pii.OFFSETS[3], pii.OFFSETS[4] + word]
+        rows[votes, tuple(features)] = rows.get((votes, tuple(features)), 0) + 1
+    patterns = spark.createDataFrame([(2, v, list(f), n) for (v, f), n in rows.items()], "kind int, votes string, features array<int>, n long")
+    model = pii.train(patterns, {(2, "+0000"): 0.95, (2, "-0000"): 0.05})
+    scored = patterns.select("votes", model.score(F.col("kind"), F.col("features")).alias("p")).collect()
+    assert all((x["p"] > 0.8) if x["votes"][0] == "+" else (x["p"] < 0.2) for x in scored)
+
+
+def test_op9_spans_are_added_for_what_is_personal_when_written_plainly(spark, make_docs):
+    r = random.Random(3)
+    base, want = [], {}
+    cues = {"email": "mail me at", "ip": "the host is", "card": "paid by card", "phone": "please call"}
+    good = {
+        "email": lambda: f"{r.choice(['ann', 'bob', 'eve'])}{r.randrange(99)}@site{r.randrange(9)}.com",
+        "ip": lambda: f"{r.randrange(11, 120)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(1, 256)}",
+        "card": lambda: "4111 1111 1111 1111",
+        "phone": lambda: f"+1 {r.randrange(200, 999)}-{r.randrange(200, 999)}-{r.randrange(1000, 9999)}",
+    }
+    hidden = {"email": "ann (at) site (dot) com", "ip": "10[.]20[.]30[.]41", "card": "4111.1111.1111.1111", "phone": "972-555-5545"}
+    decoys = {"ip": "10[.]20[.]300[.]999", "card": "4111.1111.1111.1112"}
+    for i in range(120):
+        kind = pii.KINDS[i % 4]
+        base.append((i, f"{sentence(8, i)} {cues[kind]} {good[kind]()} {sentence(6, i + 500)}"))
+    for j, kind in enumerate(pii.KINDS):
+        text = f"{cues[kind]} {hidden[kind]} today"
+        base.append((1000 + j, text))
+        start = len(cues[kind]) + 1
+        want[1000 + j] = f"{kind}:{start}:{start + len(hidden[kind])}"
+    base += [(2000 + j, f"{cues[k]} {d} today") for j, (k, d) in enumerate(decoys.items())]
+    got = {x["doc_id"]: x["spans"] for x in pii.report(make_docs(base)).where("doc_id >= 1000").collect()}
+    assert got == want | {2000: "", 2001: ""}
+
+
+def test_op9_places_of_many_matches(spark, make_docs):
+    text = "é " + "1.2.3.4 \U0001f600 " * 1500 + "x"
+    rows = [(1, text), (2, "12 345 6 " * 20000), (3, "9.8.7.6")]
+    check_pii(pii.report(make_docs(rows)).collect(), rows)
 
 
 # --- op10 ------------------------------------------------------------------------------
@@ -578,6 +640,17 @@ def test_op10_learns_on_training_labels_only_and_predicts(spark, sf_dir):
     assert all(math.isclose(again[r["doc_id"]], r["score"]) for r in got)
 
 
+def test_op10_events_equal_those_of_a_look_back():
+    r = random.Random(5)
+    kinds = {toxicity.INSULT: "insult", toxicity.THREAT: "threat"}
+    assert (toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.BREAK) == (3, 4, 5, 6)
+    grammar = toxicity.Grammar()
+    for _ in range(400):
+        classes = [(r.choice([0, 0, 0, 0, 1, 2, 3, 4, 5, 6]), float(r.randrange(1, 4))) for _ in range(60)]
+        want = scoped_events(classes, kinds)
+        assert grammar.events(classes) == [float(want[e]) for e in toxicity.EVENTS]
+
+
 def test_op10_mined_words_stems_and_odd_texts(spark, make_docs):
     r = random.Random(2)
     rows, labels = [], []
