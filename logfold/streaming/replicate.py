@@ -72,6 +72,15 @@ def publish(r: Replication, changes: DataFrame) -> None:
         raise RuntimeError(f"{r.log} was written by another publisher")
 
 
+def drop(spark: SparkSession, r: Replication) -> list[str]:
+    """Delete what the engine keeps of the table: its log, journal, state and checkpoints, and nothing else; what there was."""
+    folders = [r.log, f"{r.log}.journal", r.state, r.checkpoints, f"{r.checkpoints}-publisher"]
+    gone = [f for f in folders if Folder(spark, f).names()]
+    for f in gone:
+        Folder(spark, f).delete()
+    return gone
+
+
 def retire(spark: SparkSession, r: Replication, most: int) -> list[int]:
     """Delete the log's batches all of whose messages are older than the newest ``most`` of their shards; which ones."""
     journal, gone = Journal(spark, f"{r.log}.journal"), []
@@ -95,7 +104,7 @@ def last_positions(spark: SparkSession, log: str) -> dict[int, int]:
 
 def start_publisher(spark: SparkSession, r: Replication, source: str, schema: T.StructType, once: bool = True) -> StreamingQuery:
     """Publish the change files that arrive in the folder ``source``: at first what is there, then (unless ``once``) as they come."""
-    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", r.files_per_trigger).parquet(source)
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", r.files_per_trigger).option("recursiveFileLookup", True).parquet(source)
     write = arriving.writeStream.foreachBatch(lambda batch, _: publish(r, batch)).option("checkpointLocation", f"{r.checkpoints}-publisher")
     return (write.trigger(availableNow=True) if once else write.trigger(processingTime=f"{r.polling_ms} milliseconds")).start()
 

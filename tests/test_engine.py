@@ -243,6 +243,36 @@ def test_sqlite_source_reads_batches_and_streams(spark, tmp_path):
     assert spark.table("books_stream").count() == 10
 
 
+def test_capture_of_a_live_table_is_published_and_applied(spark, replication, tmp_path):
+    from logfold.sources.capture import capture
+
+    path, seen, to = str(tmp_path / "live.db"), f"{tmp_path}/seen", f"{tmp_path}/captured"
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE books (id INTEGER PRIMARY KEY, title TEXT)")
+    db.executemany("INSERT INTO books VALUES (?, ?)", [(i, f"t{i}") for i in range(9)])
+    db.execute("CREATE TABLE loose (a TEXT)")
+    db.commit()
+    schema = T.StructType.fromDDL("gid long, type string, id long, title string")
+
+    def applied():
+        rep.start_publisher(spark, replication, to, schema).awaitTermination()
+        rep.apply_batch(replication, spark.read.parquet(replication.log))
+        return state_of(spark, replication)
+
+    assert capture(spark, path, "books", seen, to) == 9 and capture(spark, path, "books", seen, to) == 0
+    db.execute("UPDATE books SET title = 'new' WHERE id = 3")
+    db.execute("DELETE FROM books WHERE id = 5")
+    db.execute("INSERT INTO books VALUES (50, NULL)")
+    db.execute("UPDATE books SET id = 60 WHERE id = 8")
+    db.commit()
+    assert capture(spark, path, "books", seen, to) == 5
+    assert applied() == sorted(db.execute("SELECT id, title FROM books").fetchall())
+    with pytest.raises(ValueError, match="no key"):
+        capture(spark, path, "loose", seen, to)
+    assert set(rep.drop(spark, replication)) >= {replication.log, replication.state} and rep.drop(spark, replication) == []
+    assert rep.last_positions(spark, replication.log) == {}
+
+
 def test_specs_types_and_configuration(spark, tmp_path):
     assert TableSpec("t", (ColumnSpec("a", T.StringType()),)).key == ("rowid",)
     for bad in ("sqlite_x", "__logfold__y", "  "):
