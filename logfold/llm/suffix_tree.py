@@ -51,6 +51,7 @@ SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens"
 SUMS = pa.schema([("context", pa.int64()), ("salts", pa.int32()), ("n", pa.int64()), ("types", pa.int64()), ("gain", pa.float64())])
 STATE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
+END = b"\n"
 BASE = 0x5851F42D4C957F2D
 #: Keeps the numbers of words, and the begin's 0, from being hashes of little.
 OFFSET = np.uint64(0x9E3779B97F4A7C15)
@@ -104,9 +105,18 @@ def _pack(limit: int):
 
 
 def _packed(ids: list, helds: list, bodies: list[bytes]) -> bytes:
+    """A bundle: its rows, its distinct words, and its tokens as places among these."""
     none = np.zeros(len(ids))
     rows = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(helds, pa.bool_()), *(pa.array(none.astype(k)) for k in (np.int64, np.int64, float, float))], schema=SCORE)
-    return _closed(rows, bodies, {})
+    words, local, sizes = _words(bodies)
+    return _closed(rows, {"word": np.frombuffer(b"\n".join(words[1:]), np.uint8), "at": local.astype("<u4"), "size": sizes})
+
+
+def _unpacked(payload: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+    """A packed bundle's rows, the hashes of its words, its tokens and its texts' sizes."""
+    rows, kept = _opened(payload)
+    words = [END, *(kept["word"].tobytes().split(b"\n") if len(kept["word"]) else [])]
+    return rows, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), kept["at"].astype(np.int64), kept["size"]
 
 
 def _sealed(rows: pa.RecordBatch) -> bytes:
@@ -120,10 +130,8 @@ def _squeezed(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _closed(rows: pa.RecordBatch, bodies: list[bytes] | None, arrays: dict[str, np.ndarray]) -> bytes:
-    """A bundle: its rows, its texts until their words have numbers, and arrays over its texts and tokens."""
-    if bodies is not None:
-        rows = rows.append_column("body", pa.array(bodies, pa.binary()))
+def _closed(rows: pa.RecordBatch, arrays: dict[str, np.ndarray]) -> bytes:
+    """A bundle: its rows, and arrays over its texts and tokens."""
     parts = [_sealed(rows)]
     for name, a in arrays.items():
         raw = _planes(a)
@@ -148,19 +156,30 @@ def _opened(payload: bytes) -> tuple[pa.RecordBatch, dict[str, np.ndarray]]:
 
 def _planes(values: np.ndarray) -> bytes:
     """The values' bytes, those of one place together: they compress better so."""
+    if values.dtype.kind in "iu" and values.dtype.itemsize > 1:
+        # the higher bytes are mostly zeros: places that no value has are filled in without looking at them
+        width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8) if values.min(initial=0) >= 0 else values.dtype.itemsize
+        return b"".join(((values >> values.dtype.type(8 * k)).astype(np.uint8)).tobytes() for k in range(width)) + bytes(len(values) * (values.dtype.itemsize - width))
     return values.view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
 
 
 def _unplaned(raw: np.ndarray, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    planes = raw.reshape(np.dtype(kind).itemsize, -1)
+    if kind[-2] == "f" or len(planes) == 1:
+        return np.ascontiguousarray(planes.T).view(kind).ravel()
+    out = planes[0].astype(kind)
+    for k in range(1, len(planes)):
+        if planes[k].any():
+            out |= planes[k].astype(kind) << np.dtype(kind).type(8 * k)
+    return out
 
 
 # --- what a bundle asks ----------------------------------------------------------------
 
 
-def _words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of a bundle's distinct tokens, its tokens in sequence (of every text its words and its end) and the texts' sizes."""
-    known: dict[bytes, int] = {b"\n": 0}
+def _words(bodies: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens, all tokens in sequence (of every text its words and its end) and the texts' sizes."""
+    known: dict[bytes, int] = {END: 0}
     ids: list[int] = []
     sizes = []
     for body in bodies:
@@ -168,7 +187,7 @@ def _words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids.extend([known.setdefault(w, len(known)) for w in words])
         ids.append(0)
         sizes.append(len(words) + 1)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known)), np.array(ids, np.int64), np.array(sizes, np.int64)
+    return list(known), np.array(ids, np.int64), np.array(sizes, np.int64)
 
 
 class Tokens:
@@ -220,7 +239,8 @@ class Asked:
         key, first, where = np.unique((which.astype(np.uint64) << np.uint64(X_BITS)) | tokens.ids[pick], return_index=True, return_inverse=True)
         self.context, self.x, self.salts = context[first], tokens.ids[pick][first], 1 + often[pick][first] // hot
         owner = _context_owners(self.context, self.x % self.salts.astype(np.uint64), owners)
-        order = np.lexsort((key, self.salts > 1, owner))
+        slot = 2 * owner + (self.salts > 1)  # the grams are sorted by context and next token already
+        order = np.argsort(slot.astype(np.uint16) if 2 * owners < 1 << 16 else slot, kind="stable")
         self.owner, self.context, self.x, self.salts, self.first = owner[order], self.context[order], self.x[order], self.salts[order], first[order]
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
@@ -293,8 +313,7 @@ def _ask_words(owners: int):
     def each(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for b in parts:
             for bundle, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, _ = _opened(payload)
-                hashes, ids, sizes = _words(rows.column("body").to_pylist())
+                rows, hashes, ids, sizes = _unpacked(payload)
                 counts = np.bincount(ids, weights=np.repeat(_learned(rows), sizes), minlength=len(hashes)).astype(np.int64)
                 owner = _word_owners(hashes, owners)
                 order = np.lexsort((hashes, owner))
@@ -486,8 +505,7 @@ def _advance(owners: int, reach: int, limits: Limits):
 
 
 def _first(bundle: int, payload: bytes, replies: list[bytes], owners: int, limits: Limits) -> Iterator[tuple]:
-    rows, _ = _opened(payload)
-    hashes, local, sizes = _words(rows.column("body").to_pylist())
+    rows, hashes, local, sizes = _unpacked(payload)
     order = np.lexsort((hashes, _word_owners(hashes, owners)))
     said = [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8) for p in replies]
     count, number = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
@@ -546,7 +564,7 @@ def _moved(bundle: int, rows: pa.RecordBatch, t: Tokens, p: np.ndarray, follow:
             arrays["q"] = p[follow].astype("<f4")
         else:
             arrays["cnt"] = counts[here][np.unique(arrays["id"], return_index=True)[1]]
-        yield 0, bundle, "z", _closed(rows.filter(pa.array(stays)), None, arrays)
+        yield 0, bundle, "z", _closed(rows.filter(pa.array(stays)), arrays)
 
 
 def _kept(kept: dict[str, np.ndarray]) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
