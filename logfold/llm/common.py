@@ -60,6 +60,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 @contextmanager
 def owned(spark: SparkSession, owner: str) -> Iterator[None]:
     """Work folders made inside belong to ``owner``; those it had before are deleted first.

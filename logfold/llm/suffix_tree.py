@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import batches, exists, new_dir, remove, settle, small_batches
+from logfold.llm.common import batches, exists, folder_bytes, new_dir, remove, settle, small_batches
 
 #: States need this many occurrences, and this gain in nats over their shorter state,
 LEAST_COUNT, LEAST_GAIN = 2, 2.0
@@ -616,20 +616,21 @@ def score(docs: DataFrame, bundle_bytes: int = 4 << 20, least_count: int = LEAST
     small_batches(spark, 16)
     n = packed.select("bundle").count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    owners = max(parts, -(-n // 4))
+    owners = most_owners = max(parts, -(-n // 4))
+    tasks = most_tasks = max(1, min(n, max(4 * parts, n // 16)))
     block, reply = "owner int, bundle long, kind string, payload binary", "bundle long, kind string, owner int, payload binary, tokens long, distinct long, most long"
 
-    def at_owners(blocks: DataFrame) -> DataFrame:
+    def at_owners(blocks: DataFrame, owners: int) -> DataFrame:
         return blocks.repartitionById(owners, F.col("owner")).sortWithinPartitions("owner")
 
-    replies, path = _written(at_owners(packed.mapInArrow(_ask_words(owners), block)).mapInArrow(_answer(owners, Limits()), reply), "lm-replies")
+    replies, path = _written(at_owners(packed.mapInArrow(_ask_words(owners), block), owners).mapInArrow(_answer(owners, Limits()), reply), "lm-replies")
     tokens, distinct, most = replies.agg(*(F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "tokens"), (F.sum, "distinct"), (F.max, "most")))).first()
     limits = Limits(tokens + distinct + 1, least_count, least_gain, hot)
     texts, old, roots, reach = packed, [old, path], [], 0
     del packed
     while True:
         both = replies.select("bundle", "kind", "owner", "payload").unionByName(texts.select("bundle", F.lit("z").alias("kind"), F.lit(0).alias("owner"), "payload"))
-        ordered = both.repartition(max(1, min(n, 4 * parts)), "bundle").sortWithinPartitions("bundle", "kind", "owner").select("bundle", "kind", "payload")
+        ordered = both.repartition(tasks, "bundle").sortWithinPartitions("bundle", "kind", "owner").select("bundle", "kind", "payload")
         moved = ordered.mapInArrow(_advance(owners, reach, limits), block)
         roots.append(new_dir(spark, "lm-moved"))
         moved.select("bundle", "kind", "payload").write.partitionBy("kind").parquet(roots[-1])
@@ -641,12 +642,15 @@ def score(docs: DataFrame, bundle_bytes: int = 4 << 20, least_count: int = LEAST
         if not exists(spark, old[0]):
             break
         texts = spark.read.schema("bundle long, payload binary").parquet(old[0])
+        # Later rounds have little left: as many tasks and owners as that needs.
+        left = folder_bytes(spark, old[0])
+        owners, tasks = max(1, min(most_owners, left >> 20)), max(1, min(most_tasks, left >> 20))
         asked = texts.mapInArrow(_ask(owners, reach, limits), block)
         if most >= hot:
-            sums = at_owners(asked.where("kind = 'h'")).mapInArrow(_sum_hot(limits), "context long, salts int, n long, types long, gain double")
+            sums = at_owners(asked.where("kind = 'h'"), owners).mapInArrow(_sum_hot(limits), "context long, salts int, n long, types long, gain double")
             sums = sums.groupBy("context").agg(F.max("salts").alias("salts"), F.sum("n").alias("n"), F.sum("types").alias("types"), F.sum("gain").alias("gain"))
             asked = asked.unionByName(sums.mapInArrow(_deal_sums(owners), block))
-        replies = at_owners(asked).mapInArrow(_answer(owners, limits), reply)
+        replies = at_owners(asked, owners).mapInArrow(_answer(owners, limits), reply)
         if reach <= 3:  # the largest rounds: what was asked needn't be on disk beside what follows
             replies, path = _written(replies, "lm-replies")
             old.append(path)
