@@ -17,3 +17,19 @@ def make_docs(spark):
         return df
 
     return make
+
+
+@pytest.fixture(scope="session")
+def whole(spark, sf_dir, tmp_path_factory):
+    """A registered query's result over the test tables, computed once."""
+    from logfold.llm import queries
+
+    base, known = tmp_path_factory.mktemp("whole"), {}
+
+    def result(name):
+        if name not in known:
+            queries.queries()[name](spark, sf_dir).write.parquet(f"{base}/{name}")
+            known[name] = spark.read.parquet(f"{base}/{name}")
+        return known[name]
+
+    return result

@@ -146,9 +146,9 @@ def test_op2_units_between_spaces_have_the_ids_of_the_whole_text(spark, sf_dir):
 # --- op3 -------------------------------------------------------------------------------
 
 
-def test_op3_equals_all_pairs_on_the_whole_table(spark, sf_dir):
+def test_op3_equals_all_pairs_on_the_whole_table(spark, sf_dir, whole):
     rows = docs_of(spark, sf_dir)
-    got = [tuple(r)[:3] for r in contracts.op3_ngram_jaccard_join(spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect()]
+    got = [tuple(r)[:3] for r in whole("op3_ngram_jaccard_join").select("doc_id", "n_shingles", "component_id").collect()]
     assert by_id(got) == by_id(jaccard_components(rows))
 
 
@@ -262,8 +262,8 @@ def check_scores(got, rows):
         assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9)
 
 
-def test_op5_base_scores_equal_plain_counts(spark, sf_dir):
-    check_scores(contracts.op5_suffix_tree_scoring(spark, sf_dir).collect(), docs_of(spark, sf_dir))
+def test_op5_base_scores_equal_plain_counts(spark, sf_dir, whole):
+    check_scores(whole("op5_suffix_tree_scoring").collect(), docs_of(spark, sf_dir))
 
 
 def test_op5_bundles_do_not_change_scores(spark, make_docs):
@@ -323,8 +323,8 @@ def test_op5_every_row_equals_a_plain_tree_of_unbounded_contexts(spark, make_doc
         assert math.isclose(got[d], want, rel_tol=1e-5), d
 
 
-def test_op5_the_tree_predicts_held_out_texts_better_than_words_alone(spark, sf_dir, make_docs):
-    r = contracts.op5_suffix_tree_scoring(spark, sf_dir).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+def test_op5_the_tree_predicts_held_out_texts_better_than_words_alone(spark, sf_dir, make_docs, whole):
+    r = whole("op5_suffix_tree_scoring").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
     phrases = [sentence(12, 500 + i) for i in range(40)]
     docs = [(i, " ".join(random.Random(i).sample(phrases, 5))) for i in range(300)]
@@ -414,9 +414,9 @@ def columns_of_op7(df):
     return [tuple(r) for r in df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
 
 
-def test_op7_the_whole_table(spark, sf_dir):
+def test_op7_the_whole_table(spark, sf_dir, whole):
     items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
-    got = columns_of_op7(contracts.op7_benchmark_decontamination(spark, sf_dir))
+    got = columns_of_op7(whole("op7_benchmark_decontamination"))
     assert by_id(got) == by_id(decontaminated(docs_of(spark, sf_dir), items))
     assert any(r[5] for r in got)
 
@@ -494,10 +494,10 @@ def test_op7_rolled_hash_is_a_polynomial(width):
 # --- op8 -------------------------------------------------------------------------------
 
 
-def test_op8_measures_equal_plain_ones(spark, sf_dir, make_docs):
+def test_op8_measures_equal_plain_ones(spark, sf_dir, make_docs, whole):
     rows = docs_of(spark, sf_dir)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    got = contracts.op8_ngram_likelihood_ratio(spark, sf_dir).collect()
+    got = whole("op8_ngram_likelihood_ratio").collect()
     want = {d: measures(t) for d, t in rows}
     for r in got:
         m = want[r["doc_id"]]
@@ -524,8 +524,8 @@ def test_op8_scores_and_verdicts_equal_plain_ones(spark, sf_dir):
         assert got[d]["kept"] == (not got[d]["base_failed"] and got[d]["score"] >= -0.05)
 
 
-def test_op8_verdicts_follow_labels(spark, sf_dir):
-    got = contracts.op8_ngram_likelihood_ratio(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").where("NOT base_failed")
+def test_op8_verdicts_follow_labels(spark, sf_dir, whole):
+    got = whole("op8_ngram_likelihood_ratio").join(table(spark, sf_dir, "labels"), "doc_id").where("NOT base_failed")
     good = got.where("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     bad = got.where("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     assert good > 0.95 and bad < 0.2
@@ -554,8 +554,8 @@ def check_pii(got, rows):
     return want
 
 
-def test_op9_base_spans_of_the_whole_table(spark, sf_dir):
-    check_pii(contracts.op9_weak_supervision_pii(spark, sf_dir).collect(), docs_of(spark, sf_dir))
+def test_op9_base_spans_of_the_whole_table(spark, sf_dir, whole):
+    check_pii(whole("op9_weak_supervision_pii").collect(), docs_of(spark, sf_dir))
 
 
 def test_op9_odd_spans(spark, make_docs):
@@ -631,8 +631,8 @@ def test_op9_places_of_many_matches(spark, make_docs):
 # --- op10 ------------------------------------------------------------------------------
 
 
-def test_op10_learns_on_training_labels_only_and_predicts(spark, sf_dir):
-    got = contracts.op10_pattern_grammar_toxicity(spark, sf_dir).collect()
+def test_op10_learns_on_training_labels_only_and_predicts(spark, sf_dir, whole):
+    got = whole("op10_pattern_grammar_toxicity").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))

@@ -4,8 +4,8 @@ from logfold.llm import queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
-def test_query_equals_its_oracle(spark, duck, sf_dir, name):
-    got = queries.queries()[name](spark, sf_dir)
+def test_query_equals_its_oracle(duck, whole, name):
+    got = whole(name)
     want = duck.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(got.columns)
