@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -160,6 +162,23 @@ def small_batches(spark: SparkSession, records: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
 
 
+Arrow = Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]
+
+
+def lean(run: Arrow) -> Arrow:
+    """``run``, after which the worker gives the memory that is free back: it is kept for other tasks, and its executor's memory is shared."""
+
+    def then_trim(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.util.find_library("c")
+        if libc and hasattr(handle := ctypes.CDLL(libc), "malloc_trim"):
+            handle.malloc_trim(0)
+
+    return then_trim
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 2048, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` rows and about ``limit`` bytes of strings."""
     out: list[tuple] = []

@@ -6,14 +6,14 @@ as one shard of fixed stride, so slot s is row s % rows_per_shard of shard
 s // rows_per_shard, and a reader can resume anywhere. Where the order of the documents
 matters, as after a curriculum, sequences are permuted inside blocks only.
 
-Texts are tokenised twice: how many sequences there are must be known before one is
-placed. That is cheap, as what stands between two spaces is tokenised once and then known.
+How many sequences there are must be known before one is placed. Counting a text's tokens
+is much cheaper than making them, as what stands between two spaces is counted once in a
+process and then known.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfold.llm.common import batches, filesystem, materialise, new_dir, small_batches, stable_rows
+from logfold.llm.common import batches, filesystem, lean, materialise, new_dir, small_batches, stable_rows
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's public pre-splitting pattern.
@@ -44,33 +44,40 @@ def encoding(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
     return _loaded[vocabulary, pattern]
 
 
-#: A space between two other characters. The pattern's pieces have a space at their start
-#: or are white space, so none reaches across: what such spaces part is tokenised apart.
-BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-_units: dict[str, dict[str, list[int]]] = {}
-#: Units that a process remembers.
-REMEMBERED = 1 << 20
+#: Units whose tokens a process remembers the number of, and their length at most.
+REMEMBERED, UNIT = 200_000, 32
+_counts: dict[str, dict[str, int]] = {}
 
 
 def tokens(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     """The ids of the whole text, then the end of text. Null and empty texts have the end only."""
     enc = encoding(vocabulary)
-    known = _units.setdefault(vocabulary, {})
-    out: list[int] = []
-    if text:
-        first, *rest = BOUNDARY.split(text.encode("utf-8", "replace").decode("utf-8"))
-        out += enc.encode_ordinary(first)
-        for unit in rest:
-            ids = known.get(unit)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = enc.encode_ordinary(" " + unit)
-                if len(unit) < 64:
-                    known[unit] = ids
-            out += ids
-    out.append(enc.max_token_value + 1)
-    return np.array(out, np.uint32)
+    clean = (text or "").encode("utf-8", "replace").decode("utf-8")
+    return np.append(enc.encode_to_numpy(clean), np.uint32(enc.max_token_value + 1))
+
+
+def count_tokens(text: str | None, vocabulary: str = VOCABULARY) -> int:
+    """How many ids ``tokens`` gives.
+
+    The pattern's pieces have a space at their start or are white space, so none reaches
+    across a space between two characters that are no white space: what such spaces part
+    can be counted apart. A text with any other space is tokenised.
+    """
+    enc, known = encoding(vocabulary), _counts.setdefault(vocabulary, {})
+    first, *rest = (text or "").split(" ")
+    found = list(map(known.get, rest))
+    if rest and (not first or first[-1].isspace()):
+        return len(tokens(text, vocabulary))
+    if None in found:
+        for i, n in enumerate(found):
+            if n is None:
+                unit = rest[i]
+                if not unit or unit[0].isspace() or unit[-1].isspace():
+                    return len(tokens(text, vocabulary))
+                found[i] = n = len(enc.encode_ordinary(" " + unit.encode("utf-8", "replace").decode("utf-8")))
+                if len(unit) <= UNIT and len(known) < REMEMBERED:
+                    known[unit] = n
+    return sum(found) + len(enc.encode_ordinary(first.encode("utf-8", "replace").decode("utf-8"))) + 1
 
 
 def feistel(n: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -132,7 +139,7 @@ def materialise_order(docs: DataFrame, path: str | None = None, length: int = 51
         base = materialise(docs.select("doc_id", "text"), "order-rows")
     rows = base.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     first, total = {}, 0
-    for r in rows.mapInArrow(_counter(length, vocabulary), "file string, at long, n long, seal long").orderBy("file", "at").toLocalIterator():  # a row for each file split
+    for r in rows.mapInArrow(lean(_counter(length, vocabulary)), "file string, at long, n long, seal long").orderBy("file", "at").toLocalIterator():  # a row for each file split
         first[r["file"], r["at"]] = (total, r["n"], r["seal"])
         total += r["n"]
     enc = encoding(vocabulary)
@@ -140,7 +147,7 @@ def materialise_order(docs: DataFrame, path: str | None = None, length: int = 51
     shared = spark.sparkContext.broadcast(first)
     shards = -(-total // rows_per_shard)
     parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-shards // SHARDS_PER_TASK))
-    cut = rows.mapInArrow(_cutter(shared, total, length, width, key, vocabulary, block), "doc_id long, part int, number long, slot long, n_tokens int, ids binary")
+    cut = rows.mapInArrow(lean(_cutter(shared, total, length, width, key, vocabulary, block)), "doc_id long, part int, number long, slot long, n_tokens int, ids binary")
     placed = cut.withColumn("shard", F.floor(F.col("slot") / rows_per_shard).cast("int"))
     ordered = placed.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("slot")
     pad = np.array([enc.max_token_value + 2], f"<u{width}").tobytes()
@@ -165,8 +172,8 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple]:
         yield doc, None if text is None else text.decode("utf-8", "replace"), (file, at)
 
 
-def _seal(doc: int | None, ids: np.ndarray, seal: int) -> int:
-    return zlib.crc32(b"%s:%d" % (str(doc).encode(), len(ids)), seal)
+def _seal(doc: int | None, n: int, seal: int) -> int:
+    return zlib.crc32(b"%s:%d" % (str(doc).encode(), n), seal)
 
 
 def _counter(length: int, vocabulary: str):
@@ -176,9 +183,9 @@ def _counter(length: int, vocabulary: str):
         found: dict[tuple, tuple[int, int]] = {}
         for b in parts:
             for doc, text, split in _texts(b):
-                ids = tokens(text, vocabulary)
+                size = count_tokens(text, vocabulary)
                 n, seal = found.get(split, (0, 0))
-                found[split] = (n + _sequences(len(ids), length), _seal(doc, ids, seal))
+                found[split] = (n + _sequences(size, length), _seal(doc, size, seal))
         yield from batches([(*split, *v) for split, v in found.items()], schema)
 
     return count
@@ -199,7 +206,7 @@ def _cutter(shared, total: int, length: int, width: int, key: int, vocabulary: s
                 held += [(doc, i, raw[i * length * width : (i + 1) * length * width]) for i in range(n)]
                 start = shared.value[split][0] + done
                 at += range(start, start + n)
-                found[split] = (done + n, _seal(doc, ids, seal))
+                found[split] = (done + n, _seal(doc, len(ids), seal))
             numbers = np.array(at, np.int64)
             for (doc, part, raw), number, slot in zip(held, at, slots(numbers, total, key, block).tolist(), strict=True):
                 yield doc, part, number, slot, len(raw) // width, raw
