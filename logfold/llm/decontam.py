@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import batches, fresh, materialise, small_batches
+from logfold.llm.common import batches, fresh, lean, materialise, small_batches
 
 WINDOW = 13
 #: Lower-cases A-Z; every other ASCII byte that is no letter or digit becomes a space.
@@ -159,7 +159,7 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK, window
     second = next(blocks, None)
     if second is None:
         shared = spark.sparkContext.broadcast(Windows(first, window))
-        return docs.select("doc_id", "text").mapInArrow(_scanner(shared), shape)
+        return docs.select("doc_id", "text").mapInArrow(lean(_scanner(shared)), shape)
     rows = materialise(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "decontam-rows")
     found = None
     while True:
@@ -242,7 +242,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", share:
     first, second = next(blocks, []), next(blocks, None)
     if second is not None:
         return _remove_in_blocks(docs, benchmark, mode, share, window, limit)
-    return docs.mapInArrow(_cutter(spark.sparkContext.broadcast(Windows(first, window)), mode, share), docs.schema)
+    return docs.mapInArrow(lean(_cutter(spark.sparkContext.broadcast(Windows(first, window)), mode, share)), docs.schema)
 
 
 def _remove_in_blocks(docs: DataFrame, benchmark: DataFrame, mode: str, share: int, window: int, limit: int) -> DataFrame:

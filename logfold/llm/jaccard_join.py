@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import fresh, materialise, scratch, settle, small_batches, stable_rows
+from logfold.llm.common import fresh, lean, materialise, scratch, settle, small_batches, stable_rows
 
 SHINGLE = 4
 PERCENT = 85
@@ -202,7 +202,7 @@ def _whole(texts: DataFrame, uids: DataFrame, size: int) -> DataFrame:
                 rows.append((uid, len(s), s.tobytes()))
             yield from _batch(rows, WHOLE)
 
-    return materialise(texts.join(uids, "uid", "left_semi").mapInArrow(cut, "uid long, n long, codes binary"), "join-sets")
+    return materialise(texts.join(uids, "uid", "left_semi").mapInArrow(lean(cut), "uid long, n long, codes binary"), "join-sets")
 
 
 def _frequent(counts: DataFrame, postings: int) -> int:
@@ -220,10 +220,10 @@ def _frequent(counts: DataFrame, postings: int) -> int:
 def _candidate_prefixes(sets: DataFrame, copies: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
     """token, uid, rank, n, df: the longest prefixes (all levels) of texts, less tokens in one text only; and the most texts a rare token is in."""
     heads = sets.where("n > 0").join(copies, "uid", "left_anti").select("uid", "n", "head")
-    counts = materialise(heads.mapInArrow(_tokens(), TOKENS).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "join-counts")
+    counts = materialise(heads.mapInArrow(lean(_tokens()), TOKENS).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "join-counts")
     settle(sets.sparkSession)
     most = _frequent(counts, heads.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8)
-    tokens = heads.mapInArrow(_tokens(_bitmap(counts.select("token"))), TOKENS)
+    tokens = heads.mapInArrow(lean(_tokens(_bitmap(counts.select("token")))), TOKENS)
     shared = tokens.join(counts, "token")
     grouped = shared.groupBy("uid").agg(
         F.first("n").alias("n"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("i", "token", (F.col("df") > most).alias("hot")))).alias("t")
@@ -233,12 +233,12 @@ def _candidate_prefixes(sets: DataFrame, copies: DataFrame, texts: DataFrame, si
     marked = materialise(grouped.withColumn("reach", reach).withColumn("short", (F.col("m") < F.col("n")) & (F.col("m") - n_hot < F.col("reach"))), "join-texts")
     settle(sets.sparkSession)
     # Enough rare tokens: the prefix is the rare tokens by hash. The ranks count rare tokens only.
-    plain = marked.where("NOT short").mapInArrow(_ranked, "token long, uid long, rank int, n int")
+    plain = marked.where("NOT short").mapInArrow(lean(_ranked), "token long, uid long, rank int, n int")
     # Else the order needs the whole set, and which of its tokens are frequent.
     whole = _whole(texts, marked.where("short").select("uid"), size)
     hot = materialise(counts.where(F.col("df") > most).select("token"), "join-hot")
-    flagged = whole.mapInArrow(_tokens(_bitmap(hot)), TOKENS).join(hot, "token", "left_semi").groupBy("uid").agg(F.collect_set("token").alias("hot"))
-    full = whole.join(flagged, "uid", "left").select("uid", "n", "codes", "hot").mapInArrow(_full_prefix(percent), "token long, uid long, rank int, n int")
+    flagged = whole.mapInArrow(lean(_tokens(_bitmap(hot))), TOKENS).join(hot, "token", "left_semi").groupBy("uid").agg(F.collect_set("token").alias("hot"))
+    full = whole.join(flagged, "uid", "left").select("uid", "n", "codes", "hot").mapInArrow(lean(_full_prefix(percent)), "token long, uid long, rank int, n int")
     prefixes = materialise(plain.unionByName(full), "join-prefixes")
     again = prefixes.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     return prefixes.join(again, "token"), most
@@ -328,7 +328,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, pe
             keep = apart * (100 + percent) <= (100 - percent) * (p.column(2).to_numpy() + p.column(3).to_numpy())
             yield p.select([0, 1]).filter(pa.array(keep))
 
-    pairs = materialise(drawn.mapInArrow(alike, "a long, b long"), "join-pairs")
+    pairs = materialise(drawn.mapInArrow(lean(alike), "a long, b long"), "join-pairs")
     picked = _whole(texts, pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))), size)
     return _near(pairs, picked, [], percent)
 
@@ -353,7 +353,7 @@ def _near(pairs: DataFrame, sets: DataFrame, within: list[str], percent: int) ->
                 keep.append((100 + percent) * apart <= (100 - percent) * (na + nb))
             yield p.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(both.mapInArrow(verify, "a long, b long"), "join-links")
+    return materialise(both.mapInArrow(lean(verify), "a long, b long"), "join-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -491,17 +491,17 @@ def _grouped_links(posted: DataFrame, texts: DataFrame, size: int, percent: int)
         sizes = members.groupBy("cl").agg(F.count("*").alias("k"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("k > 1")
         rows = members.join(sizes, "cl").join(whole, "uid").select("cl", "k", F.pmod(F.xxhash64("uid"), "shares").cast("int").alias("s"), "uid", "n", "codes")
         rows = materialise(rows, "join-grouped")
-        counts = rows.select("cl", "codes").mapInArrow(_group_counts, "cl long, token long, f long").groupBy("cl", "token").agg(F.sum("f").alias("f"))
+        counts = rows.select("cl", "codes").mapInArrow(lean(_group_counts), "cl long, token long, f long").groupBy("cl", "token").agg(F.sum("f").alias("f"))
         common = counts.join(sizes, "cl").where(F.col("f") * COMMON >= F.col("k")).groupBy("cl", "k", "shares").agg(F.collect_list("token").alias("common"), F.collect_list("f").alias("f"))
         heads = common.select("cl", "k", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("s"), F.lit(None).cast("long").alias("uid"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("codes"), "common", "f")
         both = rows.withColumn("common", F.lit(None).cast("array<long>")).withColumn("f", F.lit(None).cast("array<long>")).unionByName(heads)
         both = both.repartition("cl", "s").sortWithinPartitions("cl", "s", F.col("uid").asc_nulls_first())
-        apart = materialise(both.select("cl", "k", "uid", "n", "codes", "common", "f").mapInArrow(_differences, "cl long, uid long, n long, x long, codes binary"), "join-apart")
+        apart = materialise(both.select("cl", "k", "uid", "n", "codes", "common", "f").mapInArrow(lean(_differences), "cl long, uid long, n long, x long, codes binary"), "join-apart")
         slack = apart.withColumn("g", (100 + percent) * F.col("x") - (100 - percent) * F.col("n"))
         hubs = slack.groupBy("cl").agg(F.min(F.struct("g", "uid")).alias("hub"))
         slack = slack.join(hubs, "cl").withColumn("h", F.col("hub.g"))
         links.append(materialise(slack.where((F.col("g") + F.col("h") <= 0) & (F.col("uid") != F.col("hub.uid"))).select(F.col("uid").alias("a"), F.col("hub.uid").alias("b")), "join-hubs"))
-        first = materialise(slack.select("cl", "uid", "n", "x", "codes", "g", "h").mapInArrow(_difference_prefixes(percent), "cl long, token long, uid long, n long, x long, probe boolean"), "join-differences")
+        first = materialise(slack.select("cl", "uid", "n", "x", "codes", "g", "h").mapInArrow(lean(_difference_prefixes(percent)), "cl long, token long, uid long, n long, x long, probe boolean"), "join-differences")
         shared = materialise(first.groupBy("cl", "token").agg(F.count("*").alias("df"), F.max("probe").alias("probed")).where("df > 1 AND probed"), "join-shared")
         most = _frequent(shared, first.count())
         rare = first.join(shared.where(F.col("df") <= most).select("cl", "token"), ["cl", "token"])
@@ -542,7 +542,7 @@ def _linked(docs: DataFrame, size: int, percent: int, row: Column) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark, 256)
     texts = docs.select(row.alias("uid"), "text")
-    sets = materialise(docs.select(row.alias("uid"), "doc_id", "text").mapInArrow(_sets(size, percent), "uid long, doc_id long, n long, sig binary, outline binary, head binary"), "join-all")
+    sets = materialise(docs.select(row.alias("uid"), "doc_id", "text").mapInArrow(lean(_sets(size, percent)), "uid long, doc_id long, n long, sig binary, outline binary, head binary"), "join-all")
     members = sets.select("uid", "doc_id", "n", "sig")
     part = members.where("n > 0").groupBy("sig", F.pmod("uid", F.lit(SALTS)).alias("s")).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low_id"))
     classes = materialise(part.groupBy("sig").agg(F.min("uid").alias("rep"), F.min("low_id").alias("low_id"), F.collect_list("s").alias("salts")), "join-classes")
@@ -550,7 +550,7 @@ def _linked(docs: DataFrame, size: int, percent: int, row: Column) -> DataFrame:
     copies = materialise(members.withColumn("s", F.pmod("uid", F.lit(SALTS))).join(keys, ["sig", "s"]).where("uid <> rep").select("uid"), "join-copies")
     found, most = _candidate_prefixes(sets, copies, texts, size, percent)
     grouped = found.groupBy("uid").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "rank", "df")).alias("t"))
-    posted = materialise(grouped.mapInArrow(_levels(percent, most), "token long, uid long, rank int, n int, df long, level int"), "join-postings")
+    posted = materialise(grouped.mapInArrow(lean(_levels(percent, most)), "token long, uid long, rank int, n int, df long, level int"), "join-postings")
     settle(spark)
     links = [_verified(_rare_pairs(posted.where(F.col("df") <= most), percent), sets, texts, size, percent)]
     links += _grouped_links(posted.where(F.col("df") > most), texts, size, percent)

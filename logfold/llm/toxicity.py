@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfold.llm.common import batches, bounded_labels, materialise, small_batches
+from logfold.llm.common import batches, bounded_labels, lean, materialise, small_batches
 
 # The closed word classes.
 TARGETS = "you your yours yourself they them he him she her u ur du dich dir ihr euch sie tu toi te vous ti usted ustedes vosotros ellos".split()
@@ -113,7 +113,7 @@ class Lexicon:
                 if len(word) > k:
                     weight = max(weight, self.stems.get(word[:k], 0.0))
             kind = INSULT if weight else self.closed.get(word, OTHER)
-            if len(self.seen) >= 500_000:
+            if len(self.seen) >= 200_000:
                 self.seen.clear()
             got = self.seen[word] = (kind, weight or 1.0)
         return got
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 25_000, lexicon_bound:
     small_batches(docs.sparkSession)
     marks = F.broadcast(bounded_labels(labels.where(~held_out(F.col("doc_id"))), "toxic", bound))
     known = materialise(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(marks, "doc_id").select("text", "label"), "toxic-labelled")
-    counted = known.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = known.mapInArrow(lean(_count), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = materialise(counted.where("toxic + clean >= 3"), "toxic-features")
     total = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     n_toxic, n_clean = total[0], total[1] - total[0]
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 25_000, lexicon_bound:
         kind = pa.schema([("x", pa.list_(pa.float64())), ("label", pa.int32()), ("n", pa.int64())])
         yield from batches(((list(x), y, n) for (x, y), n in out.items()), kind)
 
-    data = known.mapInArrow(featured, "x array<double>, label int, n long").groupBy("x", "label").agg(F.sum("n").alias("n")).orderBy("x", "label").collect()
+    data = known.mapInArrow(lean(featured), "x array<double>, label int, n long").groupBy("x", "label").agg(F.sum("n").alias("n")).orderBy("x", "label").collect()
     x, y, n = np.array([r["x"] for r in data], float), np.array([r["label"] for r in data], float), np.array([r["n"] for r in data], float)
     weights, bias = _logistic(x, y, n)
     return Model(lexicon, weights, bias)
@@ -253,7 +253,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(_scorer(shared)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _scorer(shared):
@@ -279,4 +279,4 @@ def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
             texts = _texts(p.column(p.schema.get_field_index("text")))
             yield p.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(civil, docs.schema)
+    return docs.mapInArrow(lean(civil), docs.schema)
