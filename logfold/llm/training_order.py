@@ -6,9 +6,8 @@ as one shard of fixed stride, so slot s is row s % rows_per_shard of shard
 s // rows_per_shard, and a reader can resume anywhere. Where the order of the documents
 matters, as after a curriculum, sequences are permuted inside blocks only.
 
-How many sequences there are must be known before one is placed. Counting a text's tokens
-is much cheaper than making them, as what stands between two spaces is counted once in a
-process and then known.
+Texts are tokenised twice, as how many sequences there are must be known before one is
+placed: keeping the ids between the passes would cost as much disk as their shuffle.
 """
 
 from __future__ import annotations
@@ -44,11 +43,6 @@ def encoding(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
     return _loaded[vocabulary, pattern]
 
 
-#: Units whose tokens a process remembers the number of, and their length at most.
-REMEMBERED, UNIT = 200_000, 32
-_counts: dict[str, dict[str, int]] = {}
-
-
 def tokens(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     """The ids of the whole text, then the end of text. Null and empty texts have the end only."""
     enc = encoding(vocabulary)
@@ -56,30 +50,6 @@ def tokens(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     return np.append(enc.encode_to_numpy(clean), np.uint32(enc.max_token_value + 1))
 
 
-def count_tokens(text: str | None, vocabulary: str = VOCABULARY) -> int:
-    """How many ids ``tokens`` gives.
-
-    The pattern's pieces have a space at their start or are white space, so none reaches
-    across a space between two characters that are no white space: what such spaces part
-    can be counted apart. A text with any other space is tokenised.
-    """
-    enc, known = encoding(vocabulary), _counts.setdefault(vocabulary, {})
-    first, *rest = (text or "").split(" ")
-    found = list(map(known.get, rest))
-    if rest and (not first or first[-1].isspace()):
-        return len(tokens(text, vocabulary))
-    if None in found:
-        for i, n in enumerate(found):
-            if n is None:
-                unit = rest[i]
-                if not unit or unit[0].isspace() or unit[-1].isspace():
-                    return len(tokens(text, vocabulary))
-                found[i] = n = len(enc.encode_ordinary(" " + unit.encode("utf-8", "replace").decode("utf-8")))
-                if len(unit) <= UNIT and len(known) < REMEMBERED:
-                    known[unit] = n
-    return sum(found) + len(enc.encode_ordinary(first.encode("utf-8", "replace").decode("utf-8"))) + 1
-
-
 def feistel(n: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
     """A keyed permutation of 0 .. size - 1, applied to each of ``n``.
 
@@ -139,9 +109,9 @@ def materialise_order(docs: DataFrame, path: str | None = None, length: int = 51
         base = materialise(docs.select("doc_id", "text"), "order-rows")
     rows = base.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     first, total = {}, 0
-    for r in rows.mapInArrow(lean(_counter(length, vocabulary)), "file string, at long, n long, seal long").orderBy("file", "at").toLocalIterator():  # a row for each file split
-        first[r["file"], r["at"]] = (total, r["n"], r["seal"])
-        total += r["n"]
+    for file, at, n, seal in sorted(map(tuple, rows.mapInArrow(lean(_counter(length, vocabulary)), "file string, at long, n long, seal long").collect())):  # a row for each file split
+        first[file, at] = (total, n, seal)
+        total += n
     enc = encoding(vocabulary)
     width = 2 if enc.max_token_value + 2 < 1 << 16 else 4
     shared = spark.sparkContext.broadcast(first)
@@ -183,7 +153,7 @@ def _counter(length: int, vocabulary: str):
         found: dict[tuple, tuple[int, int]] = {}
         for b in parts:
             for doc, text, split in _texts(b):
-                size = count_tokens(text, vocabulary)
+                size = len(tokens(text, vocabulary))
                 n, seal = found.get(split, (0, 0))
                 found[split] = (n + _sequences(size, length), _seal(doc, size, seal))
         yield from batches([(*split, *v) for split, v in found.items()], schema)
