@@ -38,6 +38,10 @@ OUTLINE = 1024
 SPARE = 16
 #: A group's common tokens are those that one in COMMON of its texts has; so many of its texts share a task.
 COMMON, SHARE = 8, 4096
+#: A group of at most SHARE texts and LIGHT set elements is joined in the memory of one task;
+LIGHT = 1 << 21
+#: there, tokens in more texts than LOCAL at most are frequent, and rare ones make so many pairs for each posting.
+LOCAL, LOCAL_PAIRS = 32, 4
 
 SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("outline", pa.binary()), ("head", pa.binary())])
 WHOLE = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("codes", pa.binary())])
@@ -129,7 +133,7 @@ def _tokens(wanted=None):
 
 
 class Bitmap:
-    """Hashed keys, 16 bits for each: false positives only, about one in sixteen."""
+    """Hashed keys, 16 bits for each if there is room: false positives only, about one in sixteen then."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
@@ -145,12 +149,15 @@ def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
         return ((h ^ (h >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _bitmap(keys: DataFrame, most_bits: int = 26):
-    """A broadcast bitmap of a written column of integers; None where 2 ** ``most_bits`` bits are too few."""
+def _bitmap(keys: DataFrame, most_bits: int = 27):
+    """A broadcast bitmap of a written column of integers, of up to 2 ** ``most_bits`` bits; None for more keys than those.
+
+    With less than 16 bits for a key it lets more through, two of three at most.
+    """
     n, name = keys.count(), keys.columns[0]
-    bits = 1 << max(10, (16 * n - 1).bit_length())
-    if bits > 1 << most_bits:
+    if n > 1 << most_bits:
         return None
+    bits = min(1 << most_bits, 1 << max(10, (16 * n - 1).bit_length()))
 
     def slots(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(bits // 64, np.int64)
@@ -395,16 +402,145 @@ def _rare_pairs(posted: DataFrame, percent: int) -> DataFrame:
 
 
 def _first_groups(posted: DataFrame, percent: int) -> DataFrame:
-    """cl, uid: every two texts of compatible sizes that share a token are in one group.
+    """cl, uid, n: every two texts of compatible sizes that share a token are in one group.
 
     A token's texts of two neighbouring size bands are a group; groups of a band whose
     tokens have the same text of least hash are one.
     """
     band = F.floor(F.log("n") / math.log(100 / (percent - 0.5)))
-    at = posted.select("token", "uid", F.explode(F.array(band, band + 1)).alias("band"))
+    at = posted.select("token", "uid", "n", F.explode(F.array(band, band + 1)).alias("band"))
     lead = at.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "uid")).alias("l"), F.count("*").alias("k")).where("k > 1")
     named = lead.select("token", "band", F.xxhash64("band", "l.uid").alias("cl"))
-    return at.join(named, ["token", "band"]).select("cl", "uid").distinct()
+    return at.join(named, ["token", "band"]).select("cl", "uid", "n").distinct()
+
+
+def _next_groups(hot: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cl, uid, n: the texts of each (cl, token) of ``hot`` are in one group of at most half as many as ``cl`` has.
+
+    Tokens that the same texts of a group have give one group, and so do those whose
+    texts have the same text of least hash, unless it would be too large.
+    """
+    told = hot.groupBy("cl", "token").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "uid"))["uid"].alias("lead"), F.expr("bit_xor(xxhash64(uid, 1))").alias("seal"))
+    at = hot.join(told, ["cl", "token"]).select("cl", "uid", "n", "lead", "seal").distinct()
+    unions = at.select("cl", "lead", "uid").distinct().groupBy("cl", "lead").agg(F.count("*").alias("u"))
+    small = unions.join(sizes.select("cl", "k"), "cl").where(2 * F.col("u") <= F.col("k")).select("cl", "lead", F.lit(True).alias("one"))
+    name = F.when(F.col("one"), F.xxhash64("cl", "lead", F.lit(1))).otherwise(F.xxhash64("cl", "seal", F.lit(2)))
+    return at.join(small, ["cl", "lead"], "left").select(name.alias("cl"), "uid", "n").distinct()
+
+
+def within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all of ``sets`` (sorted, distinct) which link: what ``_grouped_links`` does, in memory."""
+    size, label = np.array([len(s) for s in sets], np.int64), np.arange(len(sets))
+    links: list[tuple[int, int]] = []
+    todo = [np.arange(len(sets))]
+    while todo:
+        at = todo.pop()
+        if len(at) < 2 or (label[at] == label[at[0]]).all():
+            continue
+        found, hot = _within_once([sets[i] for i in at], size[at], label[at], percent)
+        for a, b in found:
+            a, b = int(at[a]), int(at[b])
+            if label[a] != label[b]:
+                links.append((a, b))
+                label[label == label[a]] = label[b]
+        todo += [at[part] for part in hot]
+    return links
+
+
+def _within_once(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """The links of a group that its hub and its rare differences show, and the texts that share a frequent difference."""
+    k, up, down = len(sets), 100 + percent, 100 - percent
+    distinct, token = np.unique(np.concatenate(sets), return_inverse=True)
+    text, f = np.repeat(np.arange(k), n), np.bincount(token)
+    middle = np.flatnonzero(2 * f > k)
+    place = np.full(len(distinct), -1)
+    place[middle] = np.arange(len(middle))
+    inside = place[token] >= 0
+    lacks = np.ones((k, len(middle)), bool)
+    lacks[text[inside], place[token[inside]]] = False
+    row, column = np.nonzero(lacks)
+    text, token = np.concatenate((text[~inside], row)), np.concatenate((token[~inside], middle[column]))
+    order = np.lexsort((token, np.minimum(f, k - f)[token], text))
+    text, token, x = text[order], token[order], np.bincount(text, minlength=k)
+    g = up * x - down * n
+    hub = int(np.argmin(g))
+    near, probe = g + g[hub] <= 0, g + g[hub] > 0
+    near[hub] = False
+    links = [(int(i), hub) for i in np.flatnonzero(near)]
+    if not probe.any():
+        return links, []
+    label = label.copy()
+    label[np.isin(label, label[near])] = label[hub]
+    shared = np.maximum(np.maximum(1, -(-np.where(probe, g + g[hub], g - g[hub] + 1) // (2 * up))), x - down * n // percent)
+    start = np.cumsum(x) - x
+    first = np.arange(len(token)) - start[text] <= (x - shared)[text]
+    who, what = text[first], token[first]
+    order = np.lexsort((who, what))
+    who, what = who[order], what[order]
+    heads = np.flatnonzero(np.diff(what, prepend=-1))
+    if not len(heads):
+        return links, []
+    df = np.diff(np.append(heads, len(what)))
+    useful = (df > 1) & np.logical_or.reduceat(probe[who], heads)
+    heads, df = heads[useful], df[useful]
+    most = LOCAL
+    while most > LEAST_FREQUENT and (df * (df - 1) // 2)[df <= most].sum() > LOCAL_PAIRS * len(what):
+        most //= 2
+    keys = [np.zeros(0, np.int64)]
+    for d in np.unique(df[df <= most]).tolist():
+        texts = who[heads[df == d][:, None] + np.arange(d)]
+        i, j = np.triu_indices(d, 1)
+        a, b = texts[:, i].ravel(), texts[:, j].ravel()
+        fits = (probe[a] | probe[b]) & (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (up * np.abs(x[a] - x[b]) <= down * (n[a] + n[b]))
+        keys.append(np.unique(a[fits] * k + b[fits]))
+    pairs = np.unique(np.concatenate(keys))
+    mark, ends = np.zeros(len(distinct), bool), start + x
+    left, at = np.unique(pairs // k, return_index=True)
+    for a, lo, hi in zip(left.tolist(), at.tolist(), np.append(at, len(pairs))[1:].tolist(), strict=True):
+        own = token[start[a] : ends[a]]
+        mark[own] = True
+        for b in (pairs[lo:hi] % k).tolist():
+            both = int(mark[token[start[b] : ends[b]]].sum())
+            if up * (x[a] + x[b] - 2 * both) <= down * (n[a] + n[b]):
+                links.append((a, b))
+        mark[own] = False
+    frequent = zip(heads[df > most].tolist(), df[df > most].tolist(), strict=True)
+    return links, _hot_groups([who[h : h + d] for h, d in frequent], k)
+
+
+def _hot_groups(lists: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """``lists`` of texts, each once; those of the same first text are one group unless that has more than half of ``k``."""
+    by_lead: dict[int, dict[bytes, np.ndarray]] = {}
+    lead = np.random.default_rng(k).permutation(k)
+    for texts in lists:
+        by_lead.setdefault(int(lead[texts].min()), {})[texts.tobytes()] = texts
+    out = []
+    for found in by_lead.values():
+        union = np.unique(np.concatenate(list(found.values())))
+        out += [union] if 2 * len(union) <= k else list(found.values())
+    return out
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _light_links(percent: int):
+    """The links of groups whose rows (cl, uid, codes) come together."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, uids, sets = None, [], []
+        for b in parts:
+            rows: list[tuple] = []
+            for cl, uid, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if cl != group:
+                    rows += [(uids[i], uids[j]) for i, j in within(sets, percent)]
+                    group, uids, sets = cl, [], []
+                uids.append(uid)
+                sets.append(_codes(raw))
+            yield from _batch(rows, LINKS)
+        yield from _batch([(uids[i], uids[j]) for i, j in within(sets, percent)], LINKS)
+
+    return run
 
 
 def _group_counts(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,6 +617,9 @@ def _grouped_links(posted: DataFrame, texts: DataFrame, size: int, percent: int)
     a prefix filter on differences, rare ones first, finds candidates. Texts that share
     a difference which is still frequent are a group again; as the middle is what most
     have, it is at most half as large, so this ends.
+
+    A group that fits the memory of a task is dealt out once and joined there, with all
+    groups inside it; only larger ones are taken apart with files between.
     """
     members = materialise(_first_groups(posted, percent), "join-members")
     if members.isEmpty():
@@ -488,11 +627,18 @@ def _grouped_links(posted: DataFrame, texts: DataFrame, size: int, percent: int)
     spark, links = posted.sparkSession, []
     whole = _whole(texts, members, size)
     while True:
-        sizes = members.groupBy("cl").agg(F.count("*").alias("k"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("k > 1")
-        rows = members.join(sizes, "cl").join(whole, "uid").select("cl", "k", F.pmod(F.xxhash64("uid"), "shares").cast("int").alias("s"), "uid", "n", "codes")
-        rows = materialise(rows, "join-grouped")
+        light = (F.count("*") <= SHARE) & (F.sum("n") <= LIGHT)
+        sizes = materialise(members.groupBy("cl").agg(F.count("*").alias("k"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares"), light.alias("light")).where("k > 1"), "join-sizes")
+        dealt = members.join(sizes, "cl").select("cl", "k", "shares", "light", "uid").join(whole, "uid")
+        ready = dealt.where("light").select("cl", "uid", "codes").repartition("cl").sortWithinPartitions("cl", "uid")
+        links.append(materialise(ready.mapInArrow(lean(_light_links(percent)), "a long, b long"), "join-within"))
+        settle(spark)
+        sizes = sizes.where("NOT light").drop("light")
+        if sizes.isEmpty():
+            return links
+        rows = materialise(dealt.where("NOT light").select("cl", "k", F.pmod(F.xxhash64("uid"), "shares").cast("int").alias("s"), "uid", "n", "codes"), "join-grouped")
         counts = rows.select("cl", "codes").mapInArrow(lean(_group_counts), "cl long, token long, f long").groupBy("cl", "token").agg(F.sum("f").alias("f"))
-        common = counts.join(sizes, "cl").where(F.col("f") * COMMON >= F.col("k")).groupBy("cl", "k", "shares").agg(F.collect_list("token").alias("common"), F.collect_list("f").alias("f"))
+        common = counts.join(sizes, "cl").where((F.col("f") > 1) & (F.col("f") * COMMON >= F.col("k"))).groupBy("cl", "k", "shares").agg(F.collect_list("token").alias("common"), F.collect_list("f").alias("f"))
         heads = common.select("cl", "k", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("s"), F.lit(None).cast("long").alias("uid"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("codes"), "common", "f")
         both = rows.withColumn("common", F.lit(None).cast("array<long>")).withColumn("f", F.lit(None).cast("array<long>")).unionByName(heads)
         both = both.repartition("cl", "s").sortWithinPartitions("cl", "s", F.col("uid").asc_nulls_first())
@@ -513,7 +659,7 @@ def _grouped_links(posted: DataFrame, texts: DataFrame, size: int, percent: int)
         links.append(_near(pairs, apart, ["cl"], percent))
         settle(spark)
         hot = first.join(shared.where(F.col("df") > most).select("cl", "token"), ["cl", "token"])
-        members = materialise(hot.select(F.xxhash64("cl", "token").alias("cl"), "uid"), "join-members")
+        members = materialise(_next_groups(hot.select("cl", "token", "uid", "n"), sizes), "join-members")
         if members.isEmpty():
             return links
 

@@ -8,7 +8,7 @@ import pytest
 from brute import CLASHING, base_scores, decontaminated, jaccard_components, measures, personal, ratios, scoped_events, shingles, water_filled
 from pyspark.sql import functions as F
 
-from logfold.llm import contracts, curriculum, decontam, jaccard_join, pii, quality, sharding, suffix_tree, toxicity, training_order, warc
+from logfold.llm import common, contracts, curriculum, decontam, jaccard_join, pii, quality, sharding, suffix_tree, toxicity, training_order, warc
 from logfold.llm.common import table
 
 rng = random.Random(7)
@@ -170,6 +170,60 @@ def test_op3_a_large_cluster_with_links_only_between_some(spark, make_docs, monk
     assert by_id(got) == by_id(jaccard_components(rows, 5, 80))
 
 
+def test_op3_groups_inside_a_light_group_are_joined_in_memory(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRS", 0.0)
+    monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 2)
+    made = []
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, name: (made.append(name), common.materialise(df, name))[1])
+    words = [f"w{k}" for k in range(60)]
+    # all share most words; every fourth pair of places is changed in the same way by many
+    rows = [(d, " ".join(f"x{d % 3}" if k % 15 == d % 5 else w for k, w in enumerate(words)) + f" e{d // 4}") for d in range(40)]
+    got = [tuple(r)[:3] for r in jaccard_join.link_components(make_docs(rows), size=2, percent=80).collect()]
+    assert by_id(got) == by_id(jaccard_components(rows, 2, 80))
+    assert made.count("join-members") == 1 and "join-grouped" not in made
+
+
+@pytest.mark.parametrize(("local", "percent"), [(2, 80), (2, 85), (32, 80)])
+def test_op3_within_a_group_connects_what_links(monkeypatch, local, percent):
+    monkeypatch.setattr(jaccard_join, "LOCAL", local)
+    monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 2)
+    rng = np.random.default_rng(local + percent)
+    for _ in range(20):
+        pool = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+        bases = [rng.choice(pool, int(rng.integers(20, 60)), replace=False) for _ in range(4)]
+        sets = [np.unique(np.concatenate((rng.permutation(bases[k % 4])[int(rng.integers(0, 5)) :], rng.choice(pool, int(rng.integers(0, 6)))))) for k in range(60)]
+        links = [(a, b) for a in range(60) for b in range(a) if 100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= percent * (len(sets[a]) + len(sets[b]) - both)]
+        got = jaccard_join.within(sets, percent)
+        assert {(max(p), min(p)) for p in got} <= set(links)
+        assert _groups(60, got) == _groups(60, links)
+
+
+def _groups(n: int, links: list[tuple[int, int]]) -> list[int]:
+    low = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+def test_op3_large_groups_inside_a_group_are_merged(spark):
+    hot = [(1, t, u, 9) for t in range(50) for u in (3, 4, 5)] + [(1, 99, u, 9) for u in (3, 7)]
+    sizes = spark.createDataFrame([(1, 8, 1)], "cl long, k long, shares int")
+    got = {}
+    for r in jaccard_join._next_groups(spark.createDataFrame(hot, "cl long, token long, uid long, n int"), sizes).collect():
+        got.setdefault(r["cl"], set()).add(r["uid"])
+    assert len(got) <= 2 and any({3, 4, 5} <= g for g in got.values()) and any({3, 7} <= g for g in got.values())
+    assert all(len(g) <= 4 for g in got.values())
+
+
+def test_op3_a_bitmap_for_more_keys_than_a_sixteenth_of_its_bits(spark):
+    keys = common.materialise(spark.range(0, 7000, 7).toDF("token"), "keys")
+    bitmap = jaccard_join._bitmap(keys, most_bits=10).value
+    have = bitmap.has(np.arange(7000))
+    assert have[::7].all() and not have.all()
+    assert jaccard_join._bitmap(keys, most_bits=9) is None
+
+
 def test_op3_keep_one(spark, make_docs):
     rows = [(4, sentence(50, 1)), (3, sentence(50, 1)), (3, sentence(50, 1)), (5, None), (6, ""), (7, sentence(50, 2)), (None, sentence(50, 2))]
     kept = jaccard_join.keep_one(make_docs(rows, extra=["uid", "n"]))
