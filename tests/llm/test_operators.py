@@ -448,6 +448,17 @@ def test_op6_skew_nulls_and_clashes(spark, make_docs):
     assert curriculum.plan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_op6_copies_are_range_sorted_into_slots(spark, make_docs, partitions):
+    rows = [(i, sentence(1 + i % 29, i), f"s{i % 3}") for i in range(300)] + [(7, "a b", None), (7, "a b", None), (None, None, "s0"), (900, "", "void")]
+    df = make_docs(rows)
+    got = curriculum.plan(df, partitions=partitions).collect()
+    places = sorted((slot, at, repr(r["doc_id"])) for r in got for slot, at in zip(r["slots"], r["positions"], strict=True))
+    assert [p[0] for p in places] == list(range(len(places))) and len(places) == sum(r["copies"] for r in got) > 300
+    assert [p[1] for p in places] == sorted(p[1] for p in places)
+    assert [p[2] for p in places] == [repr(r["doc_id"]) for r in curriculum.mixed(df, partitions=partitions).collect()]
+
+
 def test_op6_positions_invert_the_integrated_schedule(spark):
     df = spark.createDataFrame([(i / 50, s) for i in range(51) for s in (0.6, 0.0, -0.6)], "share double, slope double")
     for r in df.select("share", "slope", curriculum._invert(F.col("share"), F.col("slope")).alias("t")).collect():
