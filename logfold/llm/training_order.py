@@ -27,6 +27,8 @@ from logfold.llm.common import batches, filesystem, lean, materialise, new_dir,
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's public pre-splitting pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Patterns that find the same pieces without backtracking.
+SAME = {PATTERN: r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"}
 
 _loaded: dict[tuple[str, str], object] = {}
 
@@ -39,15 +41,20 @@ def encoding(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
         fs, name = filesystem(vocabulary)
         with fs.open_input_stream(name, compression=None) as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f.read().splitlines() if line)}
-        _loaded[vocabulary, pattern] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _loaded[vocabulary, pattern] = tiktoken.Encoding("file", pat_str=SAME.get(pattern, pattern), mergeable_ranks=ranks, special_tokens={})
     return _loaded[vocabulary, pattern]
 
 
 def tokens(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     """The ids of the whole text, then the end of text. Null and empty texts have the end only."""
-    enc = encoding(vocabulary)
-    clean = (text or "").encode("utf-8", "replace").decode("utf-8")
-    return np.append(enc.encode_to_numpy(clean), np.uint32(enc.max_token_value + 1))
+    ids = _ids(text, vocabulary)
+    ids.append(encoding(vocabulary).max_token_value + 1)
+    return np.fromiter(ids, np.uint32, len(ids))
+
+
+def _ids(text: str | None, vocabulary: str) -> list[int]:
+    """The ids without the end; no text is special, so none is looked for."""
+    return encoding(vocabulary).encode_ordinary((text or "").encode("utf-8", "replace").decode("utf-8"))
 
 
 def feistel(n: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -153,7 +160,7 @@ def _counter(length: int, vocabulary: str):
         found: dict[tuple, tuple[int, int]] = {}
         for b in parts:
             for doc, text, split in _texts(b):
-                size = len(tokens(text, vocabulary))
+                size = len(_ids(text, vocabulary)) + 1
                 n, seal = found.get(split, (0, 0))
                 found[split] = (n + _sequences(size, length), _seal(doc, size, seal))
         yield from batches([(*split, *v) for split, v in found.items()], schema)

@@ -84,6 +84,20 @@ def test_op1_damage_is_found(spark, tmp_path):
 # --- op2 -------------------------------------------------------------------------------
 
 
+def test_op2_the_faster_pattern_finds_the_same_pieces():
+    import tiktoken
+
+    enc = training_order.encoding()
+    plain = tiktoken.Encoding("plain", pat_str=training_order.PATTERN, mergeable_ranks=enc._mergeable_ranks, special_tokens={})
+    assert enc._pat_str != plain._pat_str
+    r = random.Random(3)
+    parts = ["'s", "'ll", "'", "'sab", " ", "  ", "\n", " \n ", "\t", "\u00a0", "\u2003", "a", "Bc", "é", "你好", "١٢", "7", "42", "!", "?!", "_", "\r\n", "\U0001f600", "\u0301", "\x00"]
+    texts = ["", sentence(60, 3), *("".join(r.choices(parts, k=r.randrange(1, 30))) for _ in range(3000))]
+    for t in texts:
+        assert enc.encode_ordinary(t) == plain.encode(t, disallowed_special=()), repr(t)
+        assert training_order.tokens(t).tolist() == [*plain.encode_to_numpy(t).tolist(), enc.max_token_value + 1]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 1000, 4097])
 def test_op2_feistel_permutes(size):
     out = training_order.feistel(np.arange(size), size, key=99)
