@@ -1,9 +1,11 @@
+import cProfile
 import hashlib
 import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import CLASHING, base_scores, decontaminated, jaccard_components, measures, personal, ratios, scoped_events, shingles, water_filled
 from pyspark.sql import functions as F
@@ -404,6 +406,44 @@ def test_op5_learns_across_words_however_far_back(spark, make_docs):
     assert min(got[ids[0]], got[ids[1]]) > max(got[ids[2]], got[ids[3]]) + 1
 
 
+def test_op5_a_block_for_an_owner_costs_few_steps():
+    # there are as many blocks as bundles times owners
+    owners, limits = 400, suffix_tree.Limits(10_000)
+    said = lambda rows, schema: list(common.batches(rows, schema, size=64))
+    rows_of = lambda parts: [r for b in parts for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    bodies = [" ".join(f"w{random.Random(i * 1000 + k).randrange(3000)}" for k in range(300)).encode() for i in range(60)]
+    bundle = said([(0, suffix_tree._packed(list(range(60)), [False] * 60, bodies))], suffix_tree.BUNDLE)
+    asked = sorted(rows_of(suffix_tree._ask_words(owners)(bundle)))
+    replies = [("w", r[3]) for owner, _, _, p in asked for r in suffix_tree._word_answers(owner, [(0, p)], owners)]
+    parts = said([(0, k, p) for k, p in [*replies, ("z", bundle[0].column(1)[0].as_py())]], pa.schema([("bundle", pa.int64()), ("kind", pa.string()), ("payload", pa.binary())]))
+    left = said([(0, r[3]) for r in rows_of(suffix_tree._advance(owners, 0, limits)(parts)) if r[2] == "z"], suffix_tree.BUNDLE)
+    for ask in (suffix_tree._ask_words(owners), suffix_tree._ask(owners, 1, limits)):
+        with cProfile.Profile() as seen:
+            blocks = sum(b.num_rows for b in ask(bundle if ask.__qualname__.startswith("_ask_words") else left))
+        assert blocks > 0.9 * owners
+        assert sum(entry.callcount for entry in seen.getstats()) < 60 * blocks
+
+
+def test_op5_grams_are_ranked_whatever_bits_tell_them_apart():
+    r = np.random.default_rng(5)
+    for high, x_bits in ((1 << 63, 4), (1 << 63, 40), (1, 10), (0, 62)):
+        h = r.integers(0, 6, 3000).astype(np.uint64) + np.uint64(high) * r.integers(0, 2, 3000).astype(np.uint64)
+        x = r.integers(0, 1 << x_bits, 40).astype(np.uint64)[r.integers(0, 40, 3000)]
+        first, where = suffix_tree._distinct(h, x)
+        pairs = list(zip(h.tolist(), x.tolist(), strict=True))
+        assert [pairs[i] for i in first] == sorted(set(pairs))
+        assert [pairs[first[i]] for i in where] == pairs
+
+
+def test_op5_words_of_any_length_are_told_apart():
+    long = ["a" * 256 + "b" + "a" * 255 + "c", "a" * 256 + "c" + "a" * 255 + "b", "a" * 300, "b" + "a" * 299]
+    texts = [" ".join(long), " \t" + "\x0b".join(reversed(long)) + "\n", "", " ", "\x1c \0 \x85", "Ab aB ab. ä Ä"]
+    _, place, sizes = suffix_tree._words([suffix_tree.spelled(t.encode()) for t in texts])
+    want = [w for t in texts for w in [*t.encode().lower().split(), None]]
+    assert sizes.tolist() == [len(t.encode().split()) + 1 for t in texts]
+    assert len(set(zip(want, place.tolist(), strict=True))) == len(set(want)) == len(set(place.tolist()))
+
+
 # --- op6 -------------------------------------------------------------------------------
 
 
